@@ -1,34 +1,43 @@
 """Seeding, changing and rolling back the configuration."""
 
+from collections.abc import Mapping
 from datetime import datetime
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frostline import constants as C
-from frostline import schemas
 from frostline.functions import ids, times
+from frostline.sources import lake as tables
 
 
 class UnknownConfigKey(KeyError):
     """A change names a key that the configuration does not have."""
 
 
-def key_value_rows(spark: SparkSession, values: dict[str, str]) -> DataFrame:
-    schema = schemas.OFFLOAD_CONFIG.names[:2]
-    return spark.createDataFrame(list(values.items()), ", ".join(f"{n} string" for n in schema))
+def key_value_rows(spark: SparkSession, values: Mapping[str, str]) -> DataFrame:
+    """A parameter of a few rows as a DataFrame."""
+    return spark.createDataFrame(
+        pa.table({"config_key": list(values), "config_value": list(values.values())})
+    )
+
+
+def _keys(present: DataFrame) -> DataFrame:
+    """Each key once: the versions of a key may be any number of rows."""
+    return present.select("config_key").distinct()
 
 
 def missing_keys(spark: SparkSession, present: DataFrame) -> DataFrame:
     """Required keys that the configuration lacks."""
     required = key_value_rows(spark, C.DEFAULT_CONFIG).select("config_key")
-    return required.join(present, "config_key", "left_anti")
+    return required.join(_keys(present), "config_key", "left_anti")
 
 
 def seed_rows(spark: SparkSession, present: DataFrame, now: Column, defaults=None) -> DataFrame:
     """Config rows for the default keys that are not there yet."""
-    wanted = key_value_rows(spark, dict(defaults or C.DEFAULT_CONFIG))
-    return wanted.join(present, "config_key", "left_anti").select(
+    wanted = key_value_rows(spark, defaults or C.DEFAULT_CONFIG)
+    return wanted.join(_keys(present), "config_key", "left_anti").select(
         "config_key", "config_value",
         F.lit(C.SEED_USER).alias("updated_by"),
         now.alias("updated_at"),
@@ -78,12 +87,9 @@ def rollback_requests(log: DataFrame, changed_by: Column) -> DataFrame:
 
 def update(lake, key: str, value: str, changed_by: str, reason: str, now: datetime) -> bool:
     """Change one key and log the change. Returns whether the value was different."""
-    from frostline.sources import lake as tables
-
     current = lake.config()
     request = lake.spark.createDataFrame(
-        [(key, value, changed_by, reason)],
-        "config_key string, new_value string, changed_by string, change_reason string",
+        pa.table({"config_key": [key], "new_value": [value], "changed_by": [changed_by], "change_reason": [reason]})
     )
     row = current.where(F.col("config_key") == key).select("config_value").first()
     if row is None:
@@ -110,7 +116,5 @@ def rollback(lake, key: str, changed_by: str, now: datetime) -> bool:
 
 def seed(lake, now: datetime) -> None:
     """Insert the defaults that are missing; safe to call at every start."""
-    from frostline.sources import lake as tables
-
     rows = seed_rows(lake.spark, lake.config(), times.ntz(now))
     lake.write_batch(tables.CONFIG, rows, f"seed-{now:%Y%m%d-%H%M%S}", "seed")

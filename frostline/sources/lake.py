@@ -53,14 +53,16 @@ class Lake:
     spark: SparkSession
     database: str
 
-    def ensure_tables(self) -> None:
-        """Create database and tables where they do not exist yet."""
-        self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {self.database}")
+    def ensure_tables(self, location: str | None = None) -> None:
+        """Create database (at a location, if given) and tables where they do not exist yet."""
+        place = f" LOCATION '{location}'" if location else ""
+        self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {self.database}{place}")
         for name, (columns, partitions) in LAYOUT.items():
             spec = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in [*columns, *partitions])
             by = ", ".join(f.name for f in partitions)
             self.spark.sql(
-                f"CREATE TABLE IF NOT EXISTS {self.database}.{name} ({spec}) USING parquet PARTITIONED BY ({by})"
+                f"CREATE TABLE IF NOT EXISTS {self.database}.{name} ({spec}) USING parquet"
+                f" OPTIONS (partitionOverwriteMode 'dynamic') PARTITIONED BY ({by})"
             )
 
     def list_tables(self) -> DataFrame:
@@ -72,7 +74,11 @@ class Lake:
         return self.spark.table(f"{self.database}.{name}")
 
     def write_batch(self, name: str, rows: DataFrame, run: str, stage: str) -> None:
-        """Write the rows of a batch, in place of any it wrote before."""
+        """Write the rows of a batch, in place of any it wrote before.
+
+        The tables are created with dynamic partition overwrite, so only the partitions of the
+        batch are replaced, and they may be computed from the other partitions of the same table.
+        """
         columns, partitions = LAYOUT[name]
         values = {BATCH_RUN: F.lit(run), BATCH_STAGE: F.lit(stage)}
         if name == EVENTS:
@@ -82,7 +88,7 @@ class Lake:
         rows.select(
             *[F.col(f.name).cast(f.dataType) for f in columns],
             *[values[f.name].alias(f.name) for f in partitions],
-        ).write.option("partitionOverwriteMode", "dynamic").insertInto(f"{self.database}.{name}", overwrite=True)
+        ).write.insertInto(f"{self.database}.{name}", overwrite=True)
 
     def batch(self, name: str, run: str, stage: str) -> DataFrame:
         """The rows that a batch wrote."""

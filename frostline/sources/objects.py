@@ -7,6 +7,7 @@ Stores are pyarrow filesystems, named by URI or absolute path (a local folder, H
 """
 
 import hashlib
+import re
 from collections.abc import Iterator
 from datetime import datetime
 from uuid import uuid4
@@ -39,6 +40,8 @@ METADATA_KEYS = (
 def _store(root: str):
     from pyarrow import fs
 
+    # Hadoop's spellings of the schemes.
+    root = re.sub("^s3[an]://", "s3://", re.sub("^file:/(?!/)", "file:///", root))
     filesystem, base = fs.FileSystem.from_uri(root)
     return filesystem, base.rstrip("/")
 

@@ -1,8 +1,9 @@
-"""The folder that all executors share."""
+"""The folder that all executors share, and tables written there to cut lineage."""
 
 import tempfile
+from uuid import uuid4
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -15,3 +16,16 @@ def shared_dir(spark: SparkSession) -> str:
     folder = tempfile.mkdtemp(prefix="frostline-")
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
+
+
+def scratch_dir(spark: SparkSession, purpose: str) -> str:
+    """New name below the shared folder."""
+    return f"{shared_dir(spark)}/{purpose}-{uuid4().hex}"
+
+
+def written(rows: DataFrame, purpose: str) -> DataFrame:
+    """The rows as a table in the shared folder: computed once, and safe from lost executors."""
+    spark = rows.sparkSession
+    folder = scratch_dir(spark, purpose)
+    rows.write.parquet(folder)
+    return spark.read.schema(rows.schema).parquet(folder)

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from frostline import constants as C
 from frostline.functions import notes, settings, times
 from frostline.reports import audit, events
+from frostline.sources.shared import scratch_dir
+from frostline.streaming import alerts
+from frostline.workload import fixtures
 from frostline.workload.fixtures import AS_OF, AS_OF_SQL
 from frostline.workload.registered import query
 from frostline.workload.registry_queries import ELEMENT
@@ -338,3 +341,18 @@ def _(t):
        f"SELECT count(*) AS entries FROM audit_table WHERE timestamp > {AS_OF_SQL} - INTERVAL '1' HOUR", "audit_table")
 def _(t):
     return audit.audit_count_recent(t.audit_table, AS_OF)
+
+
+# Alerts
+
+@query("failure_alert_feed",
+       """SELECT event_id, element_handle, event_type, event_timestamp, source_path, error_message, pipeline_run_id
+       FROM lifecycle_events WHERE success = FALSE""", E_)
+def _(t):
+    """The event table read as a stream; the alerts that reached the sink."""
+    schema = t.spark.read.parquet(f"{t.sf_dir}/events.parquet").schema
+    stream = alerts.event_stream(t.spark, t.sf_dir, schema, name_pattern="events.parquet")
+    folder = scratch_dir(t.spark, "alerts")
+    failures = alerts.failure_alerts(fixtures.derive(stream, E_))
+    alerts.deliver(failures, f"{folder}/out", f"{folder}/progress")
+    return t.spark.read.schema(failures.schema).parquet(f"{folder}/out")

@@ -242,8 +242,12 @@ TABLES = {
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived table as DataFrame."""
-    source, condition, columns = TABLES[name]
-    rows = spark.read.parquet(f"{sf_dir}/{source}.parquet")
+    return derive(spark.read.parquet(f"{sf_dir}/{TABLES[name][0]}.parquet"), name)
+
+
+def derive(rows: DataFrame, name: str) -> DataFrame:
+    """A derived table from the rows of its driver table, which may be a stream."""
+    _, condition, columns = TABLES[name]
     if condition:
         rows = rows.where(condition)
     return rows.selectExpr(*[f"{_spark(expr)} AS `{column}`" for expr, column in columns])

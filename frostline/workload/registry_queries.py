@@ -1,14 +1,16 @@
 """Queries on the asset registry and the catalog."""
 
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 from frostline import constants as C
-from frostline.functions import paths
-from frostline.operators import prefixes
+from frostline.functions import ids, paths
+from frostline.operators import latest, prefixes
 from frostline.plans import discover
 from frostline.reports import catalog, reconcile, registry
 from frostline.sources.catalog import cold, is_file, scan_catalog
 from frostline.workload.fixtures import AS_OF, AS_OF_SQL
 from frostline.workload.registered import query
-from pyspark.sql import functions as F
 
 ELEMENT = "0x" + "7".rjust(16, "0")
 COLD_SQL = f"element_type = 'FILE' AND atime < {AS_OF_SQL} - INTERVAL '60' DAY"
@@ -172,7 +174,7 @@ def _(t):
 
 @query("bucket_from_mapping_table", BUCKET_SQL, "catalog_snapshot", extra={"buckets": BUCKETS_SQL})
 def _(t):
-    mapping = t.spark.createDataFrame(list(BUCKETS.items()), "prefix string, bucket string")
+    mapping = t.spark.createDataFrame(pa.table({"prefix": list(BUCKETS), "bucket": list(BUCKETS.values())}))
     files = t.catalog_snapshot.select("handle", "parent_path")
     return prefixes.assign_buckets(files, "parent_path", mapping, [len(p) for p in BUCKETS]).drop("parent_path")
 
@@ -347,3 +349,37 @@ def _(t):
        "asset_registry")
 def _(t):
     return registry.recommended_batch_size(t.asset_registry, memory_gb=4, verify=True)
+
+
+# Versions of the registry: its rows, and the state that every event left behind.
+VERSIONS_SQL = """SELECT element_handle, registration_id, current_location, last_state_change FROM asset_registry
+ UNION ALL SELECT element_handle, registration_id, CASE event_type WHEN 'REGISTERED' THEN 'LOCAL'
+ WHEN 'COPY_COMPLETED' THEN 'BOTH' ELSE 'LOCAL_DELETED' END, event_timestamp FROM lifecycle_events
+ WHERE event_type IN ('REGISTERED', 'COPY_COMPLETED', 'LOCAL_DELETED')"""
+
+
+@query("current_registry",
+       """SELECT element_handle, registration_id, current_location, last_state_change FROM (SELECT *, row_number()
+       OVER (PARTITION BY element_handle ORDER BY last_state_change DESC, registration_id DESC) AS rn
+       FROM versions) WHERE rn = 1""",
+       "asset_registry", "lifecycle_events", extra={"versions": VERSIONS_SQL})
+def _(t):
+    moves = t.lifecycle_events.select(
+        "element_handle", "registration_id",
+        reconcile.state_after(F.col("event_type")).alias("current_location"),
+        F.col("event_timestamp").alias("last_state_change"),
+    ).where(F.col("current_location").isNotNull())
+    rows = t.asset_registry.select(*moves.columns)
+    return latest.current_registry(rows.unionByName(moves))
+
+
+DIGEST_SQL = "md5(concat_ws('|', pipeline_run_id, element_handle, event_type))"
+
+
+@query("new_id",
+       f"""SELECT event_id AS row_id, substr(d, 1, 8) || '-' || substr(d, 9, 4) || '-' || substr(d, 13, 4) || '-'
+       || substr(d, 17, 4) || '-' || substr(d, 21, 12) AS new_id
+       FROM (SELECT event_id, {DIGEST_SQL} AS d FROM lifecycle_events)""", "lifecycle_events")
+def _(t):
+    new_id = ids.event_id(F.col("pipeline_run_id"), F.col("element_handle"), F.col("event_type"))
+    return t.lifecycle_events.select(F.col("event_id").alias("row_id"), new_id.alias("new_id"))
