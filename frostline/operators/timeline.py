@@ -4,6 +4,9 @@ A window over a key puts all rows of that key into one task. Here the rows of a
 are cut into time slices: a window runs inside each slice, a small table holds one
 summary row per key and slice, and what earlier (or later) slices contribute is joined
 back. The results are those of the plain window, whatever the slice length.
+
+The rows are shuffled by key and slice explicitly: rows that come in shuffled by the key
+alone would satisfy the window as well, with all slices of a hot key in one task.
 """
 
 from collections.abc import Sequence
@@ -37,7 +40,7 @@ def carry_last(
 
     upto = Window.currentRow if inclusive else -1
     inside = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, upto)
-    local = sliced.withColumn("_local", F.last("_value", ignorenulls=True).over(inside))
+    local = sliced.repartition(*group).withColumn("_local", F.last("_value", ignorenulls=True).over(inside))
 
     earlier = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     carried = (
@@ -84,7 +87,7 @@ def marks_between(
     back = Window.partitionBy(*group).orderBy("_at", "_side").rowsBetween(*grow)
     ahead = Window.partitionBy(*group).orderBy(F.desc("_at"), F.desc("_side")).rowsBetween(*grow)
     # Marks leave the stream as soon as the running values are known.
-    local = points.select(
+    local = points.repartition(*group).select(
         *group, probe_id, "_side",
         F.count("_mark").over(back).alias("_n"),
         F.max("_mark").over(back).alias("_prev"),

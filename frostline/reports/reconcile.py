@@ -79,8 +79,11 @@ def audit_corroborate(
     claims = events.where(F.col("event_type") == event_type).select(
         "event_id", "element_handle", "source_path", "event_timestamp"
     )
-    seen = audit.where(F.col("operation").isin(*operations)).select(
-        F.col("object_path").alias("source_path"), F.col("timestamp").alias("seen_at")
+    # Most of the log is about paths that nobody claims anything about.
+    seen = (
+        audit.where(F.col("operation").isin(*operations))
+        .select(F.col("object_path").alias("source_path"), F.col("timestamp").alias("seen_at"))
+        .join(claims.select("source_path").distinct(), "source_path", "left_semi")
     )
     probes = claims.select(
         "event_id", "source_path",
@@ -129,8 +132,8 @@ def layer_reconcile(
 ) -> DataFrame:
     """What each of the four independent records knows of every path, and a verdict.
 
-    One aggregate over the union of the records, so that each is shuffled once and in reduced
-    form. destination has original_path, element_handle and source_md5 per cold object.
+    One aggregate over the union of the records: no record needs to have a path only once.
+    destination has original_path, element_handle and source_md5 per cold object.
     """
     blank = {
         "handle": "string", "location": "string", "registry_md5": "string", "object_md5": "string",
@@ -144,6 +147,11 @@ def layer_reconcile(
         )
 
     one = F.lit(1)
+    # The log is by far the longest record; sums alone are aggregated by hash, without a sort.
+    accesses = audit.groupBy("object_path").agg(
+        F.sum((F.col("operation") == "GetObject").cast("bigint")).alias("reads"),
+        F.sum((F.col("operation") == "PutObject").cast("bigint")).alias("writes"),
+    )
     records = (
         layer(registry, F.col("original_path"), handle=F.col("element_handle"), location=F.col("current_location"),
               registry_md5=F.col("destination_md5"), in_registry=one)
@@ -151,9 +159,7 @@ def layer_reconcile(
                            handle=F.col("handle"), in_catalog=one))
         .unionByName(layer(destination, F.col("original_path"), handle=F.col("element_handle"),
                            object_md5=F.col("source_md5"), in_destination=one))
-        .unionByName(layer(audit, F.col("object_path"),
-                           reads=(F.col("operation") == "GetObject").cast("bigint"),
-                           writes=(F.col("operation") == "PutObject").cast("bigint")))
+        .unionByName(layer(accesses, F.col("object_path"), reads=F.col("reads"), writes=F.col("writes")))
     )
     by_path = records.groupBy("path").agg(
         F.max("in_registry").isNotNull().alias("in_registry"),

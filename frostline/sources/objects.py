@@ -9,6 +9,7 @@ Stores are pyarrow filesystems, named by URI or absolute path (a local folder, H
 import hashlib
 import re
 from collections.abc import Iterator
+from contextlib import suppress
 from datetime import datetime
 from uuid import uuid4
 
@@ -67,15 +68,23 @@ def _digest(filesystem, path: str) -> tuple[str, int]:
 
 
 def _put(filesystem, path: str, chunks) -> None:
-    """Write an object; a reader sees all of it or none."""
+    """Write an object; a reader sees all of it or none, and a failure leaves nothing behind."""
+    chunks = iter(chunks)
+    first = next(chunks, b"")  # a source that cannot be read fails here, before anything is written
     if filesystem.type_name in _ATOMIC_PUT:
         target = path
     else:
         filesystem.create_dir(path.rpartition("/")[0], recursive=True)
         target = f"{path}.{uuid4().hex}.part"
-    with filesystem.open_output_stream(target) as out:
-        for chunk in chunks:
-            out.write(chunk)
+    try:
+        with filesystem.open_output_stream(target) as out:
+            out.write(first)
+            for chunk in chunks:
+                out.write(chunk)
+    except BaseException:
+        with suppress(OSError):
+            filesystem.delete_file(target)
+        raise
     if target != path:
         filesystem.move(target, path)
 
@@ -87,7 +96,11 @@ def _spread(rows: DataFrame, partitions: int | None) -> DataFrame:
 
 
 def read_bodies(spark: SparkSession, folder: str) -> DataFrame:
-    """Objects below a folder as path, size and MD5; for objects up to 2 GB each."""
+    """Objects below a folder as path, size and MD5; for objects up to 2 GB each.
+
+    Spark's file sources do not list empty files; where those count, stream_digests over a
+    manifest gives a row for each object, empty, missing or of any size.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     return files.select("path", F.col("length").alias("size"), F.md5("content").alias("md5"))
 

@@ -6,6 +6,9 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own_folders: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder named by spark.checkpoint.dir; a local session without one gets its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -13,9 +16,10 @@ def shared_dir(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.conf.get("spark.master", "").startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="frostline-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    application = spark.conf.get("spark.app.id", "")
+    if application not in _own_folders:
+        _own_folders[application] = tempfile.mkdtemp(prefix="frostline-")
+    return _own_folders[application]
 
 
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
