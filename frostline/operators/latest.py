@@ -2,21 +2,19 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def latest_by(versions: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """One row per key: the one with the greatest order values.
 
-    An aggregate rather than a ranking window, so that the versions of a hot key
-    are reduced before the shuffle.
+    Spark turns the filter on the rank into a limit per key that each task applies before the
+    shuffle, so that a key with very many versions sends at most one row per task.
     """
-    rest = [c for c in versions.columns if c not in keys]
-    newest = F.max_by(F.struct(*rest), F.struct(*order)).alias("newest")
-    return versions.groupBy(*keys).agg(newest).select(
-        *[F.col(c) if c in keys else F.col(f"newest.`{c}`").alias(c) for c in versions.columns]
-    )
+    newest_first = Window.partitionBy(*keys).orderBy(*[c.desc() for c in order])
+    ranked = versions.withColumn("_rank", F.row_number().over(newest_first))
+    return ranked.where(F.col("_rank") == 1).drop("_rank")
 
 
 def current_registry(versions: DataFrame) -> DataFrame:

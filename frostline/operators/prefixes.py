@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from frostline.operators import skew
+
 
 def assign_buckets(paths: DataFrame, path: str, mapping: DataFrame, lengths: list[int]) -> DataFrame:
     """Add the bucket of the longest prefix of the mapping (prefix, bucket), NULL where none fits.
@@ -20,4 +22,4 @@ def assign_buckets(paths: DataFrame, path: str, mapping: DataFrame, lengths: lis
         .groupBy(path)
         .agg(F.max_by("bucket", "_n").alias("bucket"))
     )
-    return paths.join(best, path, "left")
+    return skew.lookup(paths, best, [path], "left")

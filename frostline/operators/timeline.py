@@ -1,9 +1,9 @@
 """Running values along time for keys of any size.
 
-A window over a key puts all rows of that key into one task. Here the rows of a key
-are cut into time slices: a window runs inside each slice, a small table holds one
-summary row per key and slice, and what earlier (or later) slices contribute is joined
-back. The results are those of the plain window, whatever the slice length.
+A window over a key puts all rows of that key into one task. Here the rows of hot keys are
+cut into time slices: a window runs inside each slice, a small table holds one summary row
+per hot key and slice, and what earlier (or later) slices contribute is joined back. The
+results are those of the plain window, whatever the slices and whichever keys are cut.
 
 The rows are shuffled by key and slice explicitly: rows that come in shuffled by the key
 alone would satisfy the window as well, with all slices of a hot key in one task.
@@ -15,8 +15,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from frostline.functions.times import time_slice
+from frostline.operators import skew
 
 SLICE = "_slice"
+# Rows of one key that a single task may sort.
+HOT_ROWS = 1_000_000
+
+
+def _cut(rows: DataFrame, keys: Sequence[str], at: str, slice_seconds: int, hot_rows: int) -> DataFrame:
+    """Add the time slice of the rows of hot keys; NULL for the others, which stay in one piece."""
+    rows = skew.classed(rows, keys)
+    hot = skew.hot_classes(rows, hot_rows)
+    return (
+        skew.flag_hot(rows, hot, "_hot")
+        .withColumn(SLICE, F.when(F.col("_hot"), time_slice(F.col(at), slice_seconds)))
+        .drop("_hot", skew.CLASS)
+    )
 
 
 def carry_last(
@@ -26,16 +40,17 @@ def carry_last(
     tie: Sequence[str],
     value: Column,
     out: str,
-    slice_seconds: int,
     inclusive: bool = True,
+    slice_seconds: int = 600,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add the last non-NULL value at (or, not inclusive, before) each row of its key.
 
     Rows of a key are ordered by `at` and then by `tie`, which must make the order total.
-    Keys must not be NULL.
+    Keys and times must not be NULL.
     """
     order = [F.col(c) for c in (at, *tie)]
-    sliced = rows.withColumn("_value", value).withColumn(SLICE, time_slice(F.col(at), slice_seconds))
+    sliced = _cut(rows.withColumn("_value", value), keys, at, slice_seconds, hot_rows)
     group = [*keys, SLICE]
 
     upto = Window.currentRow if inclusive else -1
@@ -44,7 +59,8 @@ def carry_last(
 
     earlier = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     carried = (
-        sliced.groupBy(*group)
+        sliced.where(F.col(SLICE).isNotNull())
+        .groupBy(*group)
         .agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), F.struct(*order))).alias("_end"))
         .select(*group, F.last("_end", ignorenulls=True).over(earlier).alias("_carried"))
     )
@@ -63,7 +79,8 @@ def marks_between(
     low: str,
     high: str,
     mark_at: str,
-    slice_seconds: int,
+    slice_seconds: int = 60,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Per probe, how many marks of its key lie in [low, high], with the first and the last.
 
@@ -71,15 +88,25 @@ def marks_between(
     of its key, and the counts of marks up to each point are subtracted.
     Returns probe_id, n_marks, first_mark and last_mark; probe_id must be unique.
     """
-    # At equal times a low point sorts before the marks and a high point after them.
+    probes, marks = skew.classed(probes, [key]), skew.classed(marks, [key])
+    id_type = probes.schema[probe_id].dataType
+    # At equal times a low point (0) sorts before the marks (1) and a high point (2) after them.
+    ends = F.array(
+        F.struct(F.col(low).alias("_at"), F.lit(0).alias("_side")),
+        F.struct(F.col(high).alias("_at"), F.lit(2).alias("_side")),
+    )
     points = (
-        marks.select(key, F.col(mark_at).alias("_at"), F.lit(1).alias("_side"),
-                     F.lit(None).cast(probes.schema[probe_id].dataType).alias(probe_id))
-        .unionByName(probes.select(key, F.col(low).alias("_at"), F.lit(0).alias("_side"), probe_id))
-        .unionByName(probes.select(key, F.col(high).alias("_at"), F.lit(2).alias("_side"), probe_id))
+        probes.select(key, skew.CLASS, probe_id, F.inline(ends))
+        .unionByName(
+            marks.select(
+                key, skew.CLASS, F.lit(None).cast(id_type).alias(probe_id),
+                F.col(mark_at).alias("_at"), F.lit(1).alias("_side"),
+            )
+        )
         .where(F.col(key).isNotNull() & F.col("_at").isNotNull())
-        .withColumn(SLICE, time_slice(F.col("_at"), slice_seconds))
-        .withColumn("_mark", F.when(F.col("_side") == 1, F.col("_at")))
+    )
+    sliced = _cut(points, [key], "_at", slice_seconds, hot_rows).withColumn(
+        "_mark", F.when(F.col("_side") == 1, F.col("_at"))
     )
     group = [key, SLICE]
     # Both frames grow row by row; a frame that shrinks would be computed anew for every row.
@@ -87,7 +114,7 @@ def marks_between(
     back = Window.partitionBy(*group).orderBy("_at", "_side").rowsBetween(*grow)
     ahead = Window.partitionBy(*group).orderBy(F.desc("_at"), F.desc("_side")).rowsBetween(*grow)
     # Marks leave the stream as soon as the running values are known.
-    local = points.repartition(*group).select(
+    local = sliced.repartition(*group).select(
         *group, probe_id, "_side",
         F.count("_mark").over(back).alias("_n"),
         F.max("_mark").over(back).alias("_prev"),
@@ -97,18 +124,19 @@ def marks_between(
     earlier = Window.partitionBy(key).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     later = Window.partitionBy(key).orderBy(F.desc(SLICE)).rowsBetween(Window.unboundedPreceding, -1)
     carried = (
-        points.groupBy(*group)
+        sliced.where(F.col(SLICE).isNotNull())
+        .groupBy(*group)
         .agg(F.count("_mark").alias("_c"), F.min("_mark").alias("_min"), F.max("_mark").alias("_max"))
         .select(
             *group,
-            F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_n0"),
+            F.sum("_c").over(earlier).alias("_n0"),
             F.max("_max").over(earlier).alias("_prev0"),
             F.min("_min").over(later).alias("_next0"),
         )
     )
-    at_points = local.join(carried, group).select(
+    at_points = local.join(carried, group, "left").select(
         probe_id, "_side",
-        (F.col("_n") + F.col("_n0")).alias("_upto"),
+        (F.col("_n") + F.coalesce("_n0", F.lit(0))).alias("_upto"),
         F.coalesce("_prev", "_prev0").alias("_prev"),
         F.coalesce("_next", "_next0").alias("_next"),
     )
@@ -140,8 +168,7 @@ def value_at(
 
     For a change log that is small beside the rows. A table with one row per time slice in use
     holds the value that the slice starts with and the changes inside it (one per change time);
-    rows look their slice up. This is a plain left join: it is a broadcast when that table is
-    small enough, and otherwise slices with very many rows can be split.
+    rows look their slice up. A slice may hold very many rows, such as all events of a run.
     """
     sliced = rows.withColumn(SLICE, time_slice(F.col(at), slice_seconds))
     steps = (
@@ -155,13 +182,13 @@ def value_at(
         F.max_by(F.struct("value"), "at").alias("_end"),
     )
     slices = sliced.select(SLICE).distinct().join(per_slice, SLICE, "full_outer")
+    # One row per slice of the whole time range, nothing more, goes through this window.
     earlier = Window.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    # One row per slice of the whole time range.
-    lookup = slices.withColumn("_start", F.last("_end", ignorenulls=True).over(earlier)).drop("_end")
+    table = slices.withColumn("_start", F.last("_end", ignorenulls=True).over(earlier)).drop("_end")
     upto = F.element_at(F.filter("_inside", lambda step: step["at"] <= F.col(at)), -1)
     some = F.exists("_inside", lambda step: step["at"] <= F.col(at))
     return (
-        sliced.join(lookup, SLICE, "left")
+        skew.lookup(sliced, table, [SLICE], "left")
         .withColumn(out, F.when(some, upto["value"]).otherwise(F.col("_start.value")))
         .drop(SLICE, "_inside", "_start")
     )

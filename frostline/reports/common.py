@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from frostline.functions import times
+from frostline.operators import skew
 
 GIB = 1024.0**3
 
@@ -34,4 +35,4 @@ def of_elements(rows: DataFrame, handles: str | DataFrame) -> DataFrame:
     """Rows of one element, or of all elements in a DataFrame with the column element_handle."""
     if isinstance(handles, str):
         return rows.where(F.col("element_handle") == handles)
-    return rows.join(handles.select("element_handle").distinct(), "element_handle", "left_semi")
+    return skew.lookup(rows, handles.select("element_handle").distinct(), ["element_handle"], "left_semi")

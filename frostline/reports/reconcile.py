@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from frostline import constants as C
 from frostline.functions import paths
 from frostline.functions.settings import json_field
-from frostline.operators import timeline
+from frostline.operators import skew, timeline
 from frostline.operators.latest import current_config
 
 
@@ -27,7 +27,7 @@ def stale_threshold(registry: DataFrame, events: DataFrame, config: DataFrame) -
     )
     # Reduced to the rows and columns that matter before it meets the registry.
     return (
-        copies.join(registry.select("element_handle", "original_path"), "element_handle")
+        skew.lookup(copies, registry.select("element_handle", "original_path"), ["element_handle"], "inner")
         .select(
             "element_handle", "original_path", "event_timestamp", "threshold_at_offload",
             now.alias("current_threshold"), "event_id",
@@ -69,7 +69,6 @@ def tag_vs_registry(registry: DataFrame, catalog: DataFrame) -> DataFrame:
 
 def audit_corroborate(
     events: DataFrame, audit: DataFrame, event_type: str, operations: tuple[str, ...], within: str,
-    slice_seconds: int = 60,
 ) -> DataFrame:
     """Per event of a type, the audit rows on its path within a time span before and after it.
 
@@ -79,18 +78,20 @@ def audit_corroborate(
     claims = events.where(F.col("event_type") == event_type).select(
         "event_id", "element_handle", "source_path", "event_timestamp"
     )
-    # Most of the log is about paths that nobody claims anything about.
-    seen = (
-        audit.where(F.col("operation").isin(*operations))
-        .select(F.col("object_path").alias("source_path"), F.col("timestamp").alias("seen_at"))
-        .join(claims.select("source_path").distinct(), "source_path", "left_semi")
+    seen = audit.where(F.col("operation").isin(*operations)).select(
+        F.col("object_path").alias("source_path"), F.col("timestamp").alias("seen_at")
     )
-    probes = claims.select(
-        "event_id", "source_path",
-        (F.col("event_timestamp") - span).alias("low"),
-        (F.col("event_timestamp") + span).alias("high"),
+    probes = skew.classed(
+        claims.select(
+            "event_id", "source_path",
+            (F.col("event_timestamp") - span).alias("low"),
+            (F.col("event_timestamp") + span).alias("high"),
+        ),
+        ["source_path"],
     )
-    found = timeline.marks_between(probes, seen, "source_path", "event_id", "low", "high", "seen_at", slice_seconds)
+    # Most of the log may be about paths that nobody claims anything about.
+    seen = skew.sieve(skew.classed(seen, ["source_path"]), probes)
+    found = timeline.marks_between(probes, seen, "source_path", "event_id", "low", "high", "seen_at")
     return claims.join(found, "event_id", "left").select(
         "event_id", "element_handle", "source_path", "event_timestamp",
         F.coalesce("n_marks", F.lit(0)).cast("bigint").alias("witnesses"),
@@ -110,7 +111,7 @@ def orphan_events(events: DataFrame, registry: DataFrame) -> DataFrame:
     """Events whose element and registration id are not in the registry together; dry runs aside."""
     real = events.where(~F.col("registration_id").eqNullSafe(C.DRY_RUN_REGISTRATION))
     known = registry.select("element_handle", "registration_id")
-    return real.join(known, ["element_handle", "registration_id"], "left_anti").select(
+    return skew.lookup(real, known, ["element_handle", "registration_id"], "left_anti").select(
         "event_id", "element_handle", "registration_id", "event_type", "event_timestamp"
     )
 
@@ -212,7 +213,7 @@ def state_after(event_type: Column) -> Column:
     return state
 
 
-def state_replay(events: DataFrame, slice_seconds: int = 3600) -> DataFrame:
+def state_replay(events: DataFrame) -> DataFrame:
     """Every change of state with the state before it, and whether the move is allowed."""
     moves = (
         events.where(F.col("element_handle").isNotNull() & F.col("event_timestamp").isNotNull())
@@ -224,7 +225,7 @@ def state_replay(events: DataFrame, slice_seconds: int = 3600) -> DataFrame:
     )
     replayed = timeline.carry_last(
         moves, ["element_handle"], "event_timestamp", ["event_id"], F.col("to_state"), "from_state",
-        slice_seconds, inclusive=False,
+        inclusive=False,
     )
     legal = F.lit(False)
     for old, new in C.LEGAL_TRANSITIONS:

@@ -114,3 +114,11 @@ def test_repeated_builds_give_the_same_ids(stored):
     first = ids()
     assert first == ids() and len(set(first)) == len(first)
     assert fixtures.AS_OF == datetime(2024, 1, 31) and F is not None
+
+
+def test_versions_are_reduced_before_the_shuffle(stored):
+    from frostline.operators import latest
+
+    lines = plan_of(latest.current_registry(stored("asset_registry"))).splitlines()
+    exchange = next(i for i, line in enumerate(lines) if "Exchange hashpartitioning(element_handle" in line)
+    assert any("WindowGroupLimit" in line and "Partial" in line for line in lines[exchange:])
