@@ -37,7 +37,10 @@ def run_offload(
 ) -> None:
     manifest = discover.manifest(lake.batch(tables.CANDIDATES, run_id, "discover"))
     jobs = objects.copy_jobs(manifest, settings, as_of)
-    copies = objects.copy_objects(jobs, source_root, dest_root, settings.flag("verify_checksum"))
+    tasks = min(settings.batch_size, int(lake.spark.conf.get("spark.sql.shuffle.partitions")))
+    copies = objects.copy_objects(
+        jobs, source_root, dest_root, settings.flag("verify_checksum"), partitions=max(tasks, 1)
+    )
     lake.write_batch(tables.COPIES, copies, run_id, "offload")
     outcomes = offload.with_outcome(manifest, lake.batch(tables.COPIES, run_id, "offload"))
     lake.write_batch(tables.EVENTS, offload.offload_events(outcomes, settings, as_of, run_id), run_id, "offload")

@@ -24,10 +24,12 @@ def _last(hours: int) -> str:
 
 
 @query("scan_events",
-       f"""SELECT event_type, event_timestamp, source_path, destination_path, success, checksum_value, error_message
-       FROM lifecycle_events WHERE element_handle = '{ELEMENT}'""", E_)
+       """SELECT event_type, event_timestamp, source_path, destination_path, success, checksum_value, error_message
+       FROM lifecycle_events WHERE element_handle IN
+       (SELECT element_handle FROM asset_registry WHERE current_location = 'LOCAL')""", E_, "asset_registry")
 def _(t):
-    return events.of_element(t.lifecycle_events, ELEMENT)
+    still_local = t.asset_registry.where(F.col("current_location") == C.LOCAL)
+    return events.of_element(t.lifecycle_events, still_local)
 
 
 HISTORY_SQL = ", ".join(events.HISTORY)
@@ -121,10 +123,9 @@ CONFIG_AT_SQL = """SELECT event_id, element_handle, event_type, event_timestamp,
  FROM lifecycle_events WHERE event_type = '{kind}'"""
 
 
-@query("config_at_evaluation",
-       CONFIG_AT_SQL.format(kind="THRESHOLD_EVALUATED") + f" AND element_handle = '{ELEMENT}'", E_)
+@query("config_at_evaluation", CONFIG_AT_SQL.format(kind="THRESHOLD_EVALUATED"), E_)
 def _(t):
-    return events.config_at_event(t.lifecycle_events, C.THRESHOLD_EVALUATED, ELEMENT)
+    return events.config_at_event(t.lifecycle_events, C.THRESHOLD_EVALUATED)
 
 
 @query("config_at_offload", CONFIG_AT_SQL.format(kind="COPY_COMPLETED"), E_)

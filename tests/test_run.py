@@ -11,6 +11,7 @@ from frostline.functions.settings import Settings
 from frostline.plans import config, discover, offload, purge, run
 from frostline.reports import reconcile
 from frostline.sources import lake as tables
+from frostline.sources.lake import Lake
 
 NOW = datetime(2024, 5, 1, 2)
 
@@ -96,6 +97,34 @@ def test_running_again_changes_nothing(world):
     assert snapshot(lake) == first
 
 
+@pytest.mark.parametrize(
+    "table, stage", [(tables.EVENTS, "discover"), (tables.REGISTRY, "offload"), (tables.REGISTRY, "purge")]
+)
+def test_a_run_that_broke_off_is_completed_by_running_it_again(world, monkeypatch, table, stage):
+    """Whatever was written before the failure, the second attempt ends like an undisturbed run."""
+    lake, catalog, source, dest = world
+    config.update(lake, "auto_delete_local", "true", "admin", "purge", NOW - timedelta(days=100))
+    write_batch = Lake.write_batch
+    broken = []
+
+    def failing(self, name, rows, run_id, at):
+        if (name, at) == (table, stage) and not broken:
+            broken.append(name)
+            raise OSError("executor lost")
+        return write_batch(self, name, rows, run_id, at)
+
+    monkeypatch.setattr(Lake, "write_batch", failing)
+    try:
+        run.run_all(lake, catalog, NOW, source, dest)
+    except OSError:
+        run.run_all(lake, catalog, NOW, source, dest)
+    once = Lake(lake.spark, f"{lake.database}_once")
+    once.ensure_tables(f"{source}/../once")
+    once.write_batch(tables.CONFIG, lake.config(), "copy", "config")
+    run.run_all(once, catalog, NOW, source, dest)
+    assert snapshot(lake) == snapshot(once)
+
+
 def test_next_run_retries_under_the_same_registration(world, tmp_path):
     lake, catalog, source, dest = world
     run.run_all(lake, catalog, NOW, source, dest)
