@@ -8,12 +8,14 @@ Stores are pyarrow filesystems, named by URI or absolute path (a local folder, H
 
 import hashlib
 import re
+import sys
 from collections.abc import Iterator
 from contextlib import suppress
 from datetime import datetime
 from uuid import uuid4
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +24,10 @@ from frostline import schemas
 from frostline.functions import paths, times
 from frostline.functions.settings import Settings
 
+# The task functions travel with their helpers, so that executors need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+cloudpickle.register_pickle_by_value(C)
+
 CHUNK_BYTES = 8 * 1024 * 1024
 # Stores in which an object only appears when its writer closes it.
 _ATOMIC_PUT = ("s3", "gcs", "abfs")

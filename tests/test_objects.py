@@ -51,3 +51,25 @@ def test_metadata_round_trip(spark):
     packed = spark.range(1).select(objects.object_metadata("p", *fields).alias("m"))
     assert set(packed.first().m) == {f"p-{k}" for k in objects.METADATA_KEYS}
     assert tuple(packed.select(*objects.metadata_fields(F.col("m"), "p")).first()) == tuple("0123456")
+
+
+def test_tasks_do_not_import_the_package(tmp_path):
+    """Executors may lack the package: a process that cannot import it can run what they are sent."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    target = tmp_path / "sent"
+    (tmp_path / "a").write_bytes(b"hello world")
+    target.write_bytes(cloudpickle.dumps((objects._store, objects._below, objects._digest, objects._put)))
+    code = (
+        "import pickle, sys\n"
+        f"store, below, digest, put = pickle.load(open({str(target)!r}, 'rb'))\n"
+        f"fs, base = store({str(tmp_path)!r})\n"
+        "put(fs, below(base, 'b'), [b'hello ', b'world'])\n"
+        "assert not any(m.startswith('frostline') for m in sys.modules)\n"
+        "print(digest(fs, below(base, 'b'))[0])\n"
+    )
+    ran = subprocess.run([sys.executable, "-c", code], cwd="/", capture_output=True, text=True, timeout=100)
+    assert ran.stdout.strip() == "5eb63bbbe01eeed093cb22bb8f5acdc3", ran.stderr
