@@ -36,7 +36,11 @@ def failure_alerts(events: DataFrame) -> DataFrame:
 
 
 def deliver(alerts: DataFrame, folder: str, checkpoint: str) -> None:
-    """Append new alerts to a folder, each exactly once, and stop when all input is read."""
+    """Append the alerts from new files to a folder and stop when all input is read.
+
+    A file is read once. A batch of events that was run again comes in new files, though, and its
+    alerts are appended again under the same event ids; `delivered` counts them once.
+    """
     stream = (
         alerts.writeStream.format("parquet")
         .option("path", folder)
@@ -46,3 +50,8 @@ def deliver(alerts: DataFrame, folder: str, checkpoint: str) -> None:
         .start()
     )
     stream.awaitTermination()
+
+
+def delivered(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
+    """The alerts in a folder, one per event."""
+    return spark.read.schema(schema).parquet(folder).dropDuplicates(["event_id"])

@@ -57,6 +57,17 @@ def test_reports_read_only_their_columns(stored):
     assert "GreaterThan(event_timestamp,2024-01-30T00:00)" in plan
 
 
+def test_audit_scan_is_pushed_down(spark, stored):
+    from frostline.reports import audit
+    from frostline.sources.audit import read_audit
+
+    stored("audit_table")
+    log = read_audit(spark, f"{stored.root}/audit_table")
+    plan = plan_of(audit.audit_for_path(log, "/tenant/src1/%", AS_OF, operations=("GetObject",)))
+    assert "GreaterThanOrEqual(timestamp,2024-01-31T00:00)" in plan
+    assert "StringStartsWith(object_path,/tenant/src1/)" in plan and "EqualTo(operation,GetObject)" in plan
+
+
 def test_one_registry_join_serves_discovery(stored):
     settings = Settings(C.DEFAULT_CONFIG | {"source_paths": ""})
     chosen = discover.candidates(stored("catalog_snapshot"), stored("asset_registry"), settings, AS_OF, "run", 500)
