@@ -78,7 +78,12 @@ class Lake:
 
         The tables are created with dynamic partition overwrite, so only the partitions of the
         batch are replaced, and they may be computed from the other partitions of the same table.
+        Without any rows nothing would be replaced; the earlier partitions are then dropped.
         """
+        earlier = self._partitions(name, run, stage)
+        if earlier and rows.isEmpty():
+            self._drop(name, earlier)
+            return
         columns, partitions = LAYOUT[name]
         values = {BATCH_RUN: F.lit(run), BATCH_STAGE: F.lit(stage)}
         if name == EVENTS:
@@ -90,6 +95,18 @@ class Lake:
             *[values[f.name].alias(f.name) for f in partitions],
         ).write.insertInto(f"{self.database}.{name}", overwrite=True)
 
+    def _partitions(self, name: str, run: str, stage: str) -> list[str]:
+        """Partitions of a batch, as the catalog lists them: one, or one per date."""
+        spec = f"{BATCH_RUN}='{run}', {BATCH_STAGE}='{stage}'"
+        listed = self.spark.sql(f"SHOW PARTITIONS {self.database}.{name} PARTITION ({spec})")
+        return [row[0] for row in listed.collect()]
+
+    def _drop(self, name: str, partitions: list[str]) -> None:
+        for partition in partitions:
+            pairs = (part.split("=", 1) for part in partition.split("/"))
+            spec = ", ".join(f"{column}='{value}'" for column, value in pairs)
+            self.spark.sql(f"ALTER TABLE {self.database}.{name} DROP IF EXISTS PARTITION ({spec})")
+
     def batch(self, name: str, run: str, stage: str) -> DataFrame:
         """The rows that a batch wrote."""
         columns, _ = LAYOUT[name]
@@ -137,8 +154,4 @@ class Lake:
         known = F.concat_ws("/", BATCH_RUN, BATCH_STAGE).isin(*["/".join(b) for b in batches])
         live = latest.current_registry(versions.where(known).drop(BATCH_RUN, BATCH_STAGE))
         self.write_batch(REGISTRY, live, run, COMPACTION)
-        for batch_run, batch_stage in batches:
-            self.spark.sql(
-                f"ALTER TABLE {self.database}.{REGISTRY} DROP IF EXISTS PARTITION "
-                f"({BATCH_RUN}='{batch_run}', {BATCH_STAGE}='{batch_stage}')"
-            )
+        self._drop(REGISTRY, [f"{BATCH_RUN}={run}/{BATCH_STAGE}={stage}" for run, stage in batches])

@@ -62,6 +62,20 @@ def test_a_batch_replaces_itself_and_nothing_else(spark, lake):
     assert lake.batch(tables.REGISTRY, "r2", "discover").count() == 1
 
 
+def test_a_batch_that_comes_out_empty_replaces_itself_too(spark, lake):
+    rows = assets(spark, ("a", "LOCAL", T0, None))
+    lake.write_batch(tables.REGISTRY, rows, "r1", "discover")
+    lake.write_batch(tables.REGISTRY, rows, "r2", "discover")
+    lake.write_batch(tables.REGISTRY, rows.limit(0), "r1", "discover")
+    assert [r.batch_run for r in lake.table(tables.REGISTRY).collect()] == ["r2"]
+    event = dict.fromkeys(schemas.LIFECYCLE_EVENTS.names)
+    days = [tuple((event | {"event_id": str(i), "event_timestamp": T0 + timedelta(days=i)}).values()) for i in (0, 1)]
+    events = spark.createDataFrame(days, schemas.LIFECYCLE_EVENTS)
+    lake.write_batch(tables.EVENTS, events, "r1", "discover")
+    lake.write_batch(tables.EVENTS, events.limit(0), "r1", "discover")
+    assert lake.table(tables.EVENTS).count() == 0
+
+
 def test_versions_and_views(spark, lake):
     lake.write_batch(tables.REGISTRY, assets(spark, ("a", "LOCAL", T0, None), ("b", "LOCAL", T0, None)), "r1", "discover")
     later = T0 + timedelta(days=1)
