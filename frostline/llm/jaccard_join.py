@@ -370,3 +370,19 @@ def join(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
     ).select("doc_id", "n_shingles", "component_id")
     empty = sets.where(F.col("n_shingles") == 0).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return filled.unionByName(empty)
+
+
+def without_copies(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """The documents whose doc_id is their component's, with all their columns: one of each group stays.
+
+    Rows without doc_id stay, and of rows that repeat an id those of one text count once.
+    """
+    first = join(documents, settings).where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(
+        F.count("*").alias("n_rows")
+    )
+    first = written(first, "first").withColumnRenamed("doc_id", "first_id")
+    kept = documents.join(first, F.col("doc_id").cast("long") == F.col("first_id"))
+    once = kept.where(F.col("n_rows") == 1)
+    if first.where(F.col("n_rows") > 1).limit(1).count():
+        once = once.unionByName(kept.where(F.col("n_rows") > 1).dropDuplicates(["doc_id", "text"]))
+    return once.select(*documents.columns).unionByName(documents.where(F.col("doc_id").isNull()))

@@ -171,15 +171,15 @@ def train(documents: DataFrame, labels: DataFrame, settings: Settings = Settings
                [arrays[i] for i in order if sample["unlabelled"][i]], prior, settings)
 
 
-def scorer(model: Model):
-    """Function from a batch with a column text to that batch without it, with score."""
+def score_column(text: Column, model: Model) -> Column:
+    """Score of a whole text, 0 to 1. Null and empty texts have no words and get the bias's score."""
     weights, bias = model.weights, model.bias
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known: dict[str, tuple[int, ...]] = {}
         for batch in batches:
             scores = []
-            for text in batch["text"]:
+            for text in batch:
                 found: set[int] = set()
                 for word in distinct_words(text):
                     hits = known.get(word)
@@ -191,19 +191,16 @@ def scorer(model: Model):
                         found.update(hits)
                 total = bias + sum(weights[f] for f in sorted(found))
                 scores.append(1 / (1 + np.exp(-min(max(total, -50.0), 50.0))))
-            out = batch.drop(columns="text")
-            out["score"] = np.asarray(scores, float)
-            yield out
+            yield pd.Series(scores, dtype="float64")
 
-    return score
+    return F.pandas_udf(score, "double")(text)
 
 
-def scored(documents: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns and the score of every whole text, 0 to 1. Null counts as empty; both get the bias's score."""
-    fields = [documents.schema[name] for name in keep]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return documents.select(*keep, "text").mapInPandas(scorer(model), f"{schema}, score double")
+def scored(documents: DataFrame, model: Model) -> DataFrame:
+    """doc_id, score of every row; repeated rows are scored each, an empty table gives no rows."""
+    return documents.select("doc_id", score_column(F.col("text"), model).alias("score"))
 
 
-def is_toxic(score: Column) -> Column:
-    return score >= 0.5
+def without_toxic(documents: DataFrame, model: Model) -> DataFrame:
+    """The documents whose score is below 0.5, with all their columns."""
+    return documents.where(score_column(F.col("text"), model) < 0.5)
