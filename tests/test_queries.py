@@ -5,10 +5,11 @@ import pytest
 
 import __spark_entry__ as entry
 import check
+from frostline.workload import registered
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES = entry.queries()
-ORACLES = entry.oracle_sql()
+QUERIES = {name: entry.queries()[name] for name in registered.QUERIES}
+ORACLES = {name: entry.oracle_sql()[name] for name in registered.ORACLES}
 # These run Python on bodies and files; everything else stays in the JVM.
 BYTES = {"copy_objects", "object_checksums_streamed", "probe_objects"}
 
