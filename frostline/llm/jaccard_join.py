@@ -380,9 +380,12 @@ def without_copies(documents: DataFrame, settings: Settings = Settings()) -> Dat
     first = join(documents, settings).where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(
         F.count("*").alias("n_rows")
     )
-    first = written(first, "first").withColumnRenamed("doc_id", "first_id")
-    kept = documents.join(first, F.col("doc_id").cast("long") == F.col("first_id"))
-    once = kept.where(F.col("n_rows") == 1)
+    first = written(first, "first").select(F.col("doc_id").alias("first_id"), "n_rows")
+    rows = documents.select(F.struct(*[F.col(f"`{name}`") for name in documents.columns]).alias("row"),
+                            F.col("doc_id").cast("long").alias("id"))
+    kept = rows.join(first, F.col("id") == F.col("first_id"))
+    once = kept.where(F.col("n_rows") == 1).select("row")
     if first.where(F.col("n_rows") > 1).limit(1).count():
-        once = once.unionByName(kept.where(F.col("n_rows") > 1).dropDuplicates(["doc_id", "text"]))
-    return once.select(*documents.columns).unionByName(documents.where(F.col("doc_id").isNull()))
+        again = kept.where(F.col("n_rows") > 1).select("row", "id", F.col("row.text").alias("content"))
+        once = once.unionByName(again.dropDuplicates(["id", "content"]).select("row"))
+    return once.unionByName(rows.where(F.col("id").isNull()).select("row")).select("row.*")

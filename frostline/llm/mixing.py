@@ -200,7 +200,7 @@ def mixed(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The documents as often as the mix takes them, with their own columns."""
     names = documents.columns
     sized = documents.select(
-        F.struct(*names).alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
+        F.struct(*[F.col(f"`{name}`") for name in names]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
         word_count(F.col("text")).alias("size"), F.col("source").cast("string").alias("source"),
     )
     few = written(sized.select("doc_id", "size", "source"), "sizes")

@@ -30,6 +30,7 @@ class Settings:
     """min_length: characters of a token that is judged. max_documents: documents whose tokens train the models.
 
     prior: share of random strings among such tokens; the ratio must outweigh it. smoothing: added to every count.
+    min_distinct: different characters of a random string; rulers and fillers have fewer.
     """
 
     min_length: int = 16
@@ -37,6 +38,7 @@ class Settings:
     max_documents: int = 5000
     prior: float = 1e-4
     smoothing: float = 0.5
+    min_distinct: int = 7
 
 
 @dataclass(frozen=True)
@@ -166,7 +168,8 @@ def _none(kind: str = f"array<{SPAN}>") -> Column:
 
 
 def _is_random(token: Column, model: Model, settings: Settings) -> Column:
-    return log_ratio(token, model) >= F.lit(math.log((1 - settings.prior) / settings.prior))
+    varied = F.size(F.array_distinct(F.split(token, ""))) >= settings.min_distinct
+    return varied & (log_ratio(token, model) >= F.lit(math.log((1 - settings.prior) / settings.prior)))
 
 
 def scan(text: Column, model: Model, settings: Settings = Settings()) -> Column:
