@@ -16,6 +16,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from frostline.sources.shared import written
+
 TOKEN = re.compile(r"[^\W\d_]+")
 PREFIXES = (3, 4, 5, 7)  # a word also counts by its first characters, so that unseen endings are known
 
@@ -59,12 +61,35 @@ def distinct_words(text: str | None) -> set[str]:
     return set(TOKEN.findall(text.lower())) if text else set()
 
 
+class Features(dict):
+    """Features of each word, remembered while they fit."""
+
+    LIMIT = 200_000
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) >= self.LIMIT:
+            self.clear()
+        value = self[word] = tuple(features_of(word))
+        return value
+
+
 def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    known = Features()
     for batch in batches:
-        ids = [sorted({f for word in distinct_words(text) for f in features_of(word)}) for text in batch["text"]]
+        ids = [sorted({f for word in distinct_words(text) for f in known[word]}) for text in batch["text"]]
         yield pd.DataFrame({"positive": batch["positive"], "unlabelled": batch["unlabelled"], "ids": ids})
 
 
+def _only(ids: np.ndarray):
+    """Function that leaves of each row's ids those given (sorted)."""
+
+    def only(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(ids=[np.intersect1d(own, ids, assume_unique=True) for own in batch["ids"]])
+
+    return only
+
+
 def chosen(key: Column, salt: int, rows: int, most: int) -> Column:
     """Keep about `most` of `rows` rows, by the hash of their key: the same rows in every run."""
     share = 1.0 if rows <= most else most / rows
@@ -158,13 +183,32 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     return Model({int(i): float(w) for i, w in zip(ids, weights, strict=True) if w}, float(bias))
 
 
+def telling(rows: DataFrame, prior: float, settings: Settings = Settings()) -> np.ndarray:
+    """Ids, sorted, of the features worth training on, by their counts in the sample; at most max_features."""
+    n = rows.agg(F.count(F.when(F.col("positive"), 1)).alias("p"), F.count(F.when(F.col("unlabelled"), 1)).alias("u")).first()
+    if not n.p or not n.u:
+        return np.zeros(0, np.int64)
+    least = max(min(settings.min_positive_docs, n.p), settings.min_share * n.p)
+    counts = rows.select("positive", "unlabelled", F.explode("ids").alias("id")).groupBy("id").agg(
+        F.count(F.when(F.col("positive"), 1)).alias("p"), F.count(F.when(F.col("unlabelled"), 1)).alias("u")
+    ).where(F.col("p") >= least)
+    share, usual = (F.col("p") + 0.5) / (n.p + 1), (F.col("u") + 0.5) / (n.u + 1)
+    best = counts.where(F.lit(prior) * share >= F.lit(settings.min_precision) * usual).orderBy(
+        (share * F.log(share / usual)).desc(), "id"
+    ).limit(settings.max_features)
+    return np.sort(np.array([r.id for r in best.select("id").collect()], np.int64))
+
+
 def train(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
-    """Model from documents (doc_id, text) and labels (doc_id, toxic). Only the bounded sample reaches the driver.
+    """Model from documents (doc_id, text) and labels (doc_id, toxic).
 
-    Without any confirmed example the model scores every text near 0.
+    The features of the bounded sample are counted in Spark; the driver gets the telling ones of each text. Without
+    any confirmed example the model scores every text near 0.
     """
     rows, prior = training_rows(documents, labels, settings)
-    sample = rows.toArrow().to_pydict()
+    rows = written(rows, "features")
+    few = rows.mapInPandas(_only(telling(rows, prior, settings)), rows.schema)
+    sample = few.toArrow().to_pydict()
     arrays = [np.asarray(ids or [], np.int64) for ids in sample["ids"]]
     order = sorted(range(len(arrays)), key=lambda i: arrays[i].tobytes())  # any order of arrival, one result
     return fit([arrays[i] for i in order if sample["positive"][i]],
