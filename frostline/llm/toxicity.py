@@ -102,7 +102,7 @@ def training_rows(
     """(positive, unlabelled, ids) of a bounded sample of documents (doc_id, text), and the class prior.
 
     labels: doc_id, toxic. Only label 1 marks a row as positive; the rest is unlabelled whatever its label.
-    The prior is the share of label 1 among the labelled rows.
+    The prior is the share of label 1 among the labelled rows. Rows that repeat an id count once.
     """
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(
         F.max((F.col("toxic") == 1).cast("int")).alias("toxic")
@@ -112,12 +112,13 @@ def training_rows(
     prior = min(max(positives / known.rows, 1e-4), 0.9) if positives else settings.default_prior
     rows = documents.select("doc_id").where(F.col("doc_id").isNotNull()).count()
     key = F.col("doc_id")
-    confirmed = marks.where((F.col("toxic") == 1) & chosen(key, 1, positives, settings.max_positive)).select("doc_id")
+    # At most max_positive ids, so they may be broadcast and no text is shuffled to find theirs.
+    confirmed = marks.where(F.col("toxic") == 1).orderBy(F.xxhash64(F.lit(1), key), key).limit(settings.max_positive)
     texts = documents.select("doc_id", "text").where(key.isNotNull())
-    as_positive = texts.where(chosen(key, 1, positives, settings.max_positive)).join(confirmed, "doc_id").select(
+    as_positive = texts.join(F.broadcast(confirmed.select("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(
         "text", F.lit(True).alias("positive"), F.lit(False).alias("unlabelled")
     )
-    as_unlabelled = texts.where(chosen(key, 2, rows, settings.max_unlabelled)).select(
+    as_unlabelled = texts.where(chosen(key, 2, rows, settings.max_unlabelled)).dropDuplicates(["doc_id"]).select(
         "text", F.lit(False).alias("positive"), F.lit(True).alias("unlabelled")
     )
     sample = as_positive.unionByName(as_unlabelled)
