@@ -383,7 +383,7 @@ def without_copies(documents: DataFrame, settings: Settings = Settings()) -> Dat
     first = written(first, "first").select(F.col("doc_id").alias("first_id"), "n_rows")
     rows = documents.select(F.struct(*[F.col(f"`{name}`") for name in documents.columns]).alias("row"),
                             F.col("doc_id").cast("long").alias("id"))
-    kept = rows.join(first, F.col("id") == F.col("first_id"))
+    kept = rows.join(first.hint("shuffle_hash"), F.col("id") == F.col("first_id"))  # texts needn't be sorted
     once = kept.where(F.col("n_rows") == 1).select("row")
     if first.where(F.col("n_rows") > 1).limit(1).count():
         again = kept.where(F.col("n_rows") > 1).select("row", "id", F.col("row.text").alias("content"))
