@@ -7,8 +7,9 @@ failure and leaves the same rows.
 """
 
 from dataclasses import dataclass
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,6 +47,15 @@ LAYOUT = {
 }
 
 
+# How the catalog lists the partition of rows without a date.
+NO_DATE = "__HIVE_DEFAULT_PARTITION__"
+
+
+def _quoted(value: str) -> str:
+    """A text as a SQL literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 @dataclass(frozen=True)
 class Lake:
     """Access to the tables of one database."""
@@ -78,33 +88,46 @@ class Lake:
 
         The tables are created with dynamic partition overwrite, so only the partitions of the
         batch are replaced, and they may be computed from the other partitions of the same table.
-        Without any rows nothing would be replaced; the earlier partitions are then dropped.
+        Partitions that the batch wrote earlier and doesn't write now (other dates, or no rows at
+        all) are dropped afterwards; the write itself tells which it wrote.
         """
         earlier = self._partitions(name, run, stage)
-        if earlier and rows.isEmpty():
-            self._drop(name, earlier)
-            return
         columns, partitions = LAYOUT[name]
         values = {BATCH_RUN: F.lit(run), BATCH_STAGE: F.lit(stage)}
         if name == EVENTS:
             values[EVENT_DATE] = F.col("event_timestamp").cast("date")
         if name == REGISTRY and "is_deleted" not in rows.columns:
             rows = rows.withColumn("is_deleted", F.lit(False))
-        rows.select(
-            *[F.col(f.name).cast(f.dataType) for f in columns],
+        batch = rows.select(
+            *[F.col(f.name).cast(f.dataType).alias(f.name) for f in columns],
             *[values[f.name].alias(f.name) for f in partitions],
-        ).write.insertInto(f"{self.database}.{name}", overwrite=True)
-
-    def _partitions(self, name: str, run: str, stage: str) -> list[str]:
+        )
+        if not earlier:
+            batch.write.insertInto(f"{self.database}.{name}", overwrite=True)
+            return
+        seen = Observation()
+        date = F.col(EVENT_DATE).cast("string") if name == EVENTS else F.lit("")
+        batch.observe(seen, F.collect_set(F.coalesce(date, F.lit(NO_DATE))).alias("dates")).write.insertInto(
+            f"{self.database}.{name}", overwrite=True
+        )
+        now = set(seen.get["dates"])
+        self._drop(name, [p for p in earlier if p.get(EVENT_DATE, "") not in now])
+
+    def _partitions(self, name: str, run: str, stage: str) -> list[dict[str, str]]:
         """Partitions of a batch, as the catalog lists them: one, or one per date."""
-        spec = f"{BATCH_RUN}='{run}', {BATCH_STAGE}='{stage}'"
+        spec = f"{BATCH_RUN}={_quoted(run)}, {BATCH_STAGE}={_quoted(stage)}"
         listed = self.spark.sql(f"SHOW PARTITIONS {self.database}.{name} PARTITION ({spec})")
-        return [row[0] for row in listed.collect()]
+        # Names are listed as in paths, with the odd characters escaped.
+        return [
+            {column: unquote(value) for column, value in (part.split("=", 1) for part in row[0].split("/"))}
+            for row in listed.collect()
+        ]
 
-    def _drop(self, name: str, partitions: list[str]) -> None:
+    def _drop(self, name: str, partitions: list[dict[str, str]]) -> None:
         for partition in partitions:
-            pairs = (part.split("=", 1) for part in partition.split("/"))
-            spec = ", ".join(f"{column}='{value}'" for column, value in pairs)
+            spec = ", ".join(
+                f"{column}={'NULL' if value == NO_DATE else _quoted(value)}" for column, value in partition.items()
+            )
             self.spark.sql(f"ALTER TABLE {self.database}.{name} DROP IF EXISTS PARTITION ({spec})")
 
     def batch(self, name: str, run: str, stage: str) -> DataFrame:
@@ -154,4 +177,4 @@ class Lake:
         known = F.concat_ws("/", BATCH_RUN, BATCH_STAGE).isin(*["/".join(b) for b in batches])
         live = latest.current_registry(versions.where(known).drop(BATCH_RUN, BATCH_STAGE))
         self.write_batch(REGISTRY, live, run, COMPACTION)
-        self._drop(REGISTRY, [f"{BATCH_RUN}={run}/{BATCH_STAGE}={stage}" for run, stage in batches])
+        self._drop(REGISTRY, [{BATCH_RUN: run, BATCH_STAGE: stage} for run, stage in batches])

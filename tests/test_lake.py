@@ -76,6 +76,43 @@ def test_a_batch_that_comes_out_empty_replaces_itself_too(spark, lake):
     assert lake.table(tables.EVENTS).count() == 0
 
 
+def events_on(spark, *days):
+    event = dict.fromkeys(schemas.LIFECYCLE_EVENTS.names)
+    rows = [tuple((event | {"event_id": str(i), "event_timestamp": day}).values()) for i, day in enumerate(days)]
+    return spark.createDataFrame(rows, schemas.LIFECYCLE_EVENTS)
+
+
+@pytest.mark.parametrize("run", ["r1", "manual:2024-01-01T02:00", "it's 100% a\\b=c"])
+def test_a_rerun_leaves_no_earlier_date_and_no_odd_run_behind(spark, lake, run):
+    lake.write_batch(tables.EVENTS, events_on(spark, T0), "other", "discover")
+    lake.write_batch(tables.EVENTS, events_on(spark, T0, T0 + timedelta(days=1), None), run, "discover")
+    lake.write_batch(tables.EVENTS, events_on(spark, T0 + timedelta(days=1), T0 + timedelta(days=2)), run, "discover")
+    kept = lake.batch(tables.EVENTS, run, "discover")
+    assert {r.event_timestamp for r in kept.collect()} == {T0 + timedelta(days=1), T0 + timedelta(days=2)}
+    lake.write_batch(tables.EVENTS, events_on(spark, T0).limit(0), run, "discover")
+    assert kept.sparkSession.table(f"{lake.database}.{tables.EVENTS}").count() == 1
+
+
+def test_a_rerun_computes_its_rows_once(spark, lake):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    rows = events_on(spark, T0)
+    lake.write_batch(tables.EVENTS, rows, "r1", "discover")
+    lake.write_batch(tables.EVENTS, rows.mapInPandas(counted, rows.schema), "r1", "discover")
+    assert seen.value == 1
+
+
+def test_elements_without_a_handle_stay_apart(spark, lake):
+    rows = assets(spark, ("a", "LOCAL", T0, None), ("b", "LOCAL", T0, None)).withColumn("element_handle", F.lit(None).cast("string"))
+    lake.write_batch(tables.REGISTRY, rows, "r1", "discover")
+    assert lake.registry().count() == 2
+
+
 def test_versions_and_views(spark, lake):
     lake.write_batch(tables.REGISTRY, assets(spark, ("a", "LOCAL", T0, None), ("b", "LOCAL", T0, None)), "r1", "discover")
     later = T0 + timedelta(days=1)
