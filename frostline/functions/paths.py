@@ -6,9 +6,6 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# A longer mapping is applied by a join instead (operators.prefixes).
-MAX_INLINE_PREFIXES = 200
-
 
 def full_path(parent: Column, name: Column) -> Column:
     """Parent and name joined by one slash; a trailing slash of the parent is not doubled."""
@@ -60,10 +57,15 @@ def under_any(parent: Column, roots: Sequence[str]) -> Column:
 
 
 def mapped_bucket(path: Column, buckets: Mapping[str, str]) -> Column:
-    """Bucket of the longest prefix that the path starts with; NULL where none does."""
-    if len(buckets) > MAX_INLINE_PREFIXES:
-        raise ValueError("too many prefixes for an expression, use operators.prefixes.assign_buckets")
-    choice = F.lit(None).cast("string")
-    for prefix in sorted(buckets, key=len):
-        choice = F.when(path.startswith(prefix), F.lit(buckets[prefix])).otherwise(choice)
-    return choice
+    """Bucket of the longest prefix that the path starts with; NULL where none does.
+
+    One look-up for each length in use, in a map that is part of the plan. A mapping kept as a table is
+    joined instead (operators.prefixes).
+    """
+    if not buckets:
+        return F.lit(None).cast("string")
+    table = F.create_map(*(F.lit(part) for pair in buckets.items() for part in pair))
+    lengths = sorted({len(prefix) for prefix in buckets}, reverse=True)
+    return F.coalesce(*(
+        F.when(F.length(path) >= n, F.try_element_at(table, F.substring(path, 1, n))) for n in lengths
+    ))

@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 from frostline import constants as C
 
-# The configuration is a handful of rows; a larger table is a mistake, not a configuration.
-MAX_CONFIG_KEYS = 1000
-
 
 @dataclass(frozen=True)
 class Settings:
@@ -58,10 +55,8 @@ class Settings:
 
 
 def load_settings(current_config: DataFrame, bootstrap: Mapping[str, str] | None = None) -> Settings:
-    """Settings from a configuration with one row per key."""
-    rows = current_config.select("config_key", "config_value").limit(MAX_CONFIG_KEYS + 1).collect()
-    if len(rows) > MAX_CONFIG_KEYS:
-        raise ValueError(f"more than {MAX_CONFIG_KEYS} configuration keys")
+    """Settings from a configuration with one row per key, kept by hand."""
+    rows = current_config.select("config_key", "config_value").collect()
     return Settings({r.config_key: r.config_value for r in rows}, dict(bootstrap or {}))
 
 

@@ -18,11 +18,16 @@ def latest_by(versions: DataFrame, keys: Sequence[str], order: Sequence[Column])
 
 
 def current_registry(versions: DataFrame) -> DataFrame:
-    """Live registry row per element; rows marked deleted hide the element."""
+    """Live registry row per element; rows marked deleted hide the element.
+
+    Elements without a handle are told apart by their registration.
+    """
     order = [F.col("last_state_change"), F.col("registration_id")]
+    versions = versions.withColumn("_own", F.when(F.col("element_handle").isNull(), F.col("registration_id")))
+    keys = ["element_handle", "_own"]
     if "is_deleted" not in versions.columns:
-        return latest_by(versions, ["element_handle"], order)
-    live = latest_by(versions, ["element_handle"], [*order, F.col("is_deleted")])
+        return latest_by(versions, keys, order).drop("_own")
+    live = latest_by(versions, keys, [*order, F.col("is_deleted")]).drop("_own")
     return live.where(~F.col("is_deleted")).drop("is_deleted")
 
 

@@ -57,7 +57,10 @@ def candidates(
         .drop("current_location")
         .withColumn(
             "registration_id",
-            F.coalesce("known_registration_id", ids.registration_id(run_id, F.col("handle"))),
+            F.coalesce(
+                "known_registration_id",
+                ids.registration_id(run_id, F.col("handle"), paths.full_path(F.col("parent_path"), F.col("name"))),
+            ),
         )
     )
     if batch_size is None:

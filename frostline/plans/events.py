@@ -65,7 +65,7 @@ def emit(
         F.explode(F.array_compact(F.array(*steps))).alias("e"),
     )
     constant = {
-        "event_id": ids.event_id(F.lit(run_id), F.col("element_handle"), F.col("e.event_type")),
+        "event_id": ids.event_id(F.lit(run_id), F.coalesce("element_handle", "registration_id"), F.col("e.event_type")),
         "pipeline_run_id": F.lit(run_id),
         "function_name": F.lit(function_name),
         "triggered_by": F.lit(triggered_by),

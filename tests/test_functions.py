@@ -86,8 +86,17 @@ def test_mapped_bucket_takes_the_longest_prefix(spark):
     mapping = {"/a": "short", "/a/b": "long", "/a/b/c/d": "too long"}
     assert value(spark, paths.mapped_bucket(F.lit("/a/b/c"), mapping)) == "long"
     assert value(spark, paths.mapped_bucket(F.lit("/x"), mapping)) is None
-    with pytest.raises(ValueError):
-        paths.mapped_bucket(F.lit("/x"), {str(i): "b" for i in range(1000)})
+    many = {f"/a/{i}": f"b{i}" for i in range(1000)}
+    assert value(spark, paths.mapped_bucket(F.lit("/a/9990/x"), many)) == "b999"
+    assert value(spark, paths.mapped_bucket(F.lit("/x"), {})) is None
+
+
+def test_ids_tell_nulls_and_separators_apart(spark):
+    null = F.lit(None).cast("string")
+    texts = [(F.lit("a"), null), (F.lit("a"),), (F.lit("a"), F.lit("")), (F.lit("a|b"),), (F.lit("a"), F.lit("b")), (F.lit("\\N"),), (null,)]
+    assert len({value(spark, ids.stable_id(*parts)) for parts in texts}) == len(texts)
+    files = [value(spark, ids.registration_id("r", null, F.lit(path))) for path in ("/a", "/b")]
+    assert len(set(files)) == 2
 
 
 @pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Europe/Berlin"])
