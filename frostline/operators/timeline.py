@@ -181,14 +181,16 @@ def value_at(
         F.sort_array(F.collect_list(F.struct("at", "value"))).alias("_inside"),
         F.max_by(F.struct("value"), "at").alias("_end"),
     )
-    slices = sliced.select(SLICE).distinct().join(per_slice, SLICE, "full_outer")
-    # One row per slice of the whole time range, nothing more, goes through this window.
+    slices = sliced.select(SLICE).distinct().join(per_slice.select(SLICE, "_end"), SLICE, "full_outer")
+    # Number and last value of each slice of the whole time range go through this window; the changes
+    # themselves join afterwards.
     earlier = Window.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    table = slices.withColumn("_start", F.last("_end", ignorenulls=True).over(earlier)).drop("_end")
-    upto = F.element_at(F.filter("_inside", lambda step: step["at"] <= F.col(at)), -1)
-    some = F.exists("_inside", lambda step: step["at"] <= F.col(at))
+    starts = slices.select(SLICE, F.last("_end", ignorenulls=True).over(earlier).alias("_start"))
+    table = starts.join(per_slice.select(SLICE, "_inside"), SLICE, "left")
+    upto = F.try_element_at(F.filter("_inside", lambda step: step["at"] <= F.col(at)), F.lit(-1))
     return (
         skew.lookup(sliced, table, [SLICE], "left")
-        .withColumn(out, F.when(some, upto["value"]).otherwise(F.col("_start.value")))
-        .drop(SLICE, "_inside", "_start")
+        .withColumn("_upto", upto)
+        .withColumn(out, F.when(F.col("_upto").isNotNull(), F.col("_upto.value")).otherwise(F.col("_start.value")))
+        .drop(SLICE, "_inside", "_start", "_upto")
     )

@@ -27,9 +27,10 @@ def audit_for_path(
     return rows.select(*COLUMNS).orderBy("timestamp", *_ORDER)
 
 
-def audit_recent(audit: DataFrame, as_of: datetime, hours: float = 1, limit: int = 10) -> DataFrame:
+def audit_recent(audit: DataFrame, as_of: datetime, hours: float = 1, limit: int | None = None) -> DataFrame:
     rows = audit.where(since("timestamp", as_of, hours=hours)).select(*COLUMNS)
-    return rows.orderBy(F.col("timestamp").desc(), *_ORDER).limit(limit)
+    ordered = rows.orderBy(F.col("timestamp").desc(), *_ORDER)
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def audit_count_recent(

@@ -68,7 +68,7 @@ def failed_events(events: DataFrame, limit: int | None = None) -> DataFrame:
     return newest(rows, "event_timestamp", "event_id", limit)
 
 
-def failures_recent(events: DataFrame, as_of: datetime, hours: float = 24, limit: int | None = 20) -> DataFrame:
+def failures_recent(events: DataFrame, as_of: datetime, hours: float = 24, limit: int | None = None) -> DataFrame:
     rows = failures(events).where(since("event_timestamp", as_of, hours=hours)).select(
         "event_id", "event_timestamp", "event_type", "source_path", "error_message"
     )
@@ -82,7 +82,7 @@ def failed_by_type(events: DataFrame, event_type: str, limit: int | None = None)
     return newest(rows, "event_timestamp", "event_id", limit)
 
 
-def recent_scans(events: DataFrame, limit: int = 20) -> DataFrame:
+def recent_scans(events: DataFrame, limit: int | None = None) -> DataFrame:
     rows = events.where(F.col("event_type").isin(C.REGISTERED, C.SCANNED)).select(
         "event_id", "event_type", "event_timestamp", "source_path", "error_message"
     )
@@ -189,7 +189,7 @@ def daily_dashboard(events: DataFrame, as_of: datetime, days: int = 7) -> DataFr
     )
 
 
-def copy_minutes_per_file(events: DataFrame, as_of: datetime, days: int = 7, limit: int = 10) -> DataFrame:
+def copy_minutes_per_file(events: DataFrame, as_of: datetime, days: int = 7, limit: int | None = None) -> DataFrame:
     """Minutes from the first start to the last completion of a run, per copy event of the run.
 
     The count takes in both starts and completions.
@@ -203,14 +203,14 @@ def copy_minutes_per_file(events: DataFrame, as_of: datetime, days: int = 7, lim
         .agg(F.count("*").alias("files_copied"), started.alias("_from"), ended.alias("_to"))
     )
     minutes = elapsed_micros(F.col("_from"), F.col("_to")) / 1e6 / F.col("files_copied") / 60
+    newest_first = runs.orderBy(F.col("pipeline_run_id").desc())
     return (
-        runs.orderBy(F.col("pipeline_run_id").desc())
-        .limit(limit)
+        (newest_first if limit is None else newest_first.limit(limit))
         .select("pipeline_run_id", "files_copied", F.round(minutes, 2).alias("avg_mins_per_file"))
     )
 
 
-def copies_by_target(events: DataFrame, limit: int | None = 5) -> DataFrame:
+def copies_by_target(events: DataFrame, limit: int | None = None) -> DataFrame:
     targets = (
         events.where(F.col("event_type") == C.COPY_COMPLETED)
         .groupBy("aws_bucket", "aws_key")

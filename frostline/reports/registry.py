@@ -61,7 +61,7 @@ def purged_by_path(registry: DataFrame, pattern: str) -> DataFrame:
     return newest(found, "last_state_change", "element_handle")
 
 
-def recently_offloaded(registry: DataFrame, limit: int = 20) -> DataFrame:
+def recently_offloaded(registry: DataFrame, limit: int | None = None) -> DataFrame:
     both = by_location(registry, C.BOTH, ["element_handle", "file_name", "current_location", "last_state_change"])
     return newest(both, "last_state_change", "element_handle", limit)
 

@@ -81,7 +81,7 @@ def _(t):
        f"""SELECT event_id, event_timestamp, event_type, source_path, error_message FROM lifecycle_events
        WHERE success = FALSE AND {_last(24)} ORDER BY event_timestamp DESC, event_id LIMIT 20""", E_)
 def _(t):
-    return events.failures_recent(t.lifecycle_events, AS_OF)
+    return events.failures_recent(t.lifecycle_events, AS_OF, limit=20)
 
 
 BY_TYPE_SQL = """SELECT event_id, element_handle, source_path, checksum_value, error_message, event_timestamp
@@ -105,7 +105,7 @@ _register_failures()
        """SELECT event_id, event_type, event_timestamp, source_path, error_message FROM lifecycle_events
        WHERE event_type IN ('REGISTERED', 'SCANNED') ORDER BY event_timestamp DESC, event_id LIMIT 20""", E_)
 def _(t):
-    return events.recent_scans(t.lifecycle_events)
+    return events.recent_scans(t.lifecycle_events, 20)
 
 
 @query("run_events",
@@ -224,7 +224,7 @@ def _(t):
        FROM lifecycle_events WHERE event_type IN ('COPY_STARTED', 'COPY_COMPLETED') AND {_last(7 * 24)}
        GROUP BY pipeline_run_id ORDER BY pipeline_run_id DESC LIMIT 10""", E_)
 def _(t):
-    return events.copy_minutes_per_file(t.lifecycle_events, AS_OF)
+    return events.copy_minutes_per_file(t.lifecycle_events, AS_OF, limit=10)
 
 
 @query("copies_by_target",
@@ -232,7 +232,7 @@ def _(t):
        WHERE event_type = 'COPY_COMPLETED' GROUP BY aws_bucket, aws_key
        ORDER BY copies DESC, aws_bucket, aws_key LIMIT 5""", E_)
 def _(t):
-    return events.copies_by_target(t.lifecycle_events)
+    return events.copies_by_target(t.lifecycle_events, 5)
 
 
 def _register_type_counts():
@@ -328,7 +328,7 @@ def _(t):
        f"""{AUDIT_SQL} WHERE timestamp > {AS_OF_SQL} - INTERVAL '1' HOUR
        ORDER BY timestamp DESC, object_path, operation, protocol, user_name, bytes LIMIT 10""", "audit_table")
 def _(t):
-    return audit.audit_recent(t.audit_table, AS_OF)
+    return audit.audit_recent(t.audit_table, AS_OF, limit=10)
 
 
 @query("audit_count_recent",

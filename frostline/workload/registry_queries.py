@@ -176,7 +176,7 @@ def _(t):
 def _(t):
     mapping = t.spark.createDataFrame(pa.table({"prefix": list(BUCKETS), "bucket": list(BUCKETS.values())}))
     files = t.catalog_snapshot.select("handle", "parent_path")
-    return prefixes.assign_buckets(files, "parent_path", mapping, [len(p) for p in BUCKETS]).drop("parent_path")
+    return prefixes.assign_buckets(files, "parent_path", mapping).drop("parent_path")
 
 
 # Registry
@@ -263,7 +263,7 @@ def _(t):
        WHERE current_location = 'BOTH' ORDER BY last_state_change DESC, element_handle LIMIT 20""",
        "asset_registry")
 def _(t):
-    return registry.recently_offloaded(t.asset_registry)
+    return registry.recently_offloaded(t.asset_registry, 20)
 
 
 INTEGRITY_SQL = """SELECT element_handle, original_path, source_md5, destination_md5, current_location,

@@ -124,14 +124,14 @@ MANIFEST_SQL = f"""SELECT handle, reg_id, path, size, bucket, {ISO_SQL.format('a
  {ISO_SQL.format('mtime')} AS mtime FROM candidates"""
 
 
-@query("candidate_manifest", MANIFEST_SQL, CAT, REG, extra=BATCH)
+@query("candidate_manifest", MANIFEST_SQL, CAT, REG, extra=ALL)
 def _(t):
-    return discover.manifest(_candidates(t, SETTINGS.batch_size))
+    return discover.manifest(_candidates(t))
 
 
-@query("stage_discover", DISCOVER_SQL, CAT, REG, extra=BATCH)
+@query("stage_discover", DISCOVER_SQL, CAT, REG, extra=ALL)
 def _(t):
-    return discover.discover_events(_candidates(t, SETTINGS.batch_size), SETTINGS, AS_OF, RUN)
+    return discover.discover_events(_candidates(t), SETTINGS, AS_OF, RUN)
 
 
 @query("discover_events", DISCOVER_SQL, CAT, REG, extra=ALL)

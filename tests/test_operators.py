@@ -107,7 +107,7 @@ def test_assign_buckets_is_the_expression_for_tables(spark):
     files = [("/a/b/c",), ("/a/b/c",), ("/a",), ("/q",), (None,), ("",), ("/a/b/c/d/e",)]
     df = frame(spark, files, path="s")
     table = frame(spark, list(mapping.items()), prefix="s", bucket="s")
-    got = prefixes.assign_buckets(df, "path", table, [len(p) for p in mapping])
+    got = prefixes.assign_buckets(df, "path", table)
     same = df.withColumn("bucket", paths.mapped_bucket(F.col("path"), mapping))
     order = lambda rows: sorted((str(r.path), str(r.bucket)) for r in rows)
     assert order(got.collect()) == order(same.collect())
