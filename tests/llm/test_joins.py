@@ -249,7 +249,8 @@ def test_collapse_as_by_brute_force(spark, block):
         if conv % 3 and rows:
             source = rng.randrange(conv)
             old = [r[1:] for r in rows if r[0] == source]
-            own = old[: rng.randrange(1, len(old) + 1)] + [(len(old) + 7, "user", f"new {rng.randrange(3)}")] * (conv % 2)
+            own = old[: rng.randrange(1, len(old) + 1)]
+            own += [(own[-1][0] + 7, "user", f"new {rng.randrange(3)}")] * (conv % 2)
         else:
             own = [(i, rng.choice(["user", "assistant", None]), rng.choice(["a", "b", "", None])) for i in range(rng.randrange(1, 7))]
         rows += [(conv, *r) for r in own]
@@ -259,6 +260,13 @@ def test_collapse_as_by_brute_force(spark, block):
     assert sorted(tuple(r) for r in out.collect()) == plain_render(rows, block)
 
 
+def test_turns_of_one_number_have_one_order(spark):
+    rows = [(c, 0, "user", "start") for c in (1, 2, 3)] + [(c, 1, "user", t) for c in (1, 2) for t in ("abcde" if c == 1 else "edcba")]
+    out = chat.render(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert [(r.conv_id, r.n_turns, r.n_copies) for r in out] == [(1, 6, 2)]
+    assert sorted(re.findall(r"\n(\w)<", out[0].rendered)) == list("abcde")
+
+
 def test_conversations_without_id_or_turns(spark):
     rows = [(None, 0, "user", "a"), (None, 1, "user", "b"), (1, 0, "user", "a")]
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
