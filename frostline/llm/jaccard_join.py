@@ -4,9 +4,9 @@ The shingles of a document are hashed into groups and the groups' counts make a
 over the groups of the smaller count, and no more than that with the box around several points, which prunes an
 R-tree; surviving pairs are verified on their sets.
 
-Finding points that can meet: sets with at least 90 % in common differ in few shingles, so with more groups than that,
-some group is the same in both. Documents that share no group content can't link. Chains of shared groups part the
-documents into clusters; each cluster gets an R-tree (large clusters one for each tile of bounded size, joined tile by
+Finding points that can meet: linked sets differ in few shingles, so with more groups than that, some group is the
+same in both. Documents that share no group content can't link. Chains of shared groups part the documents into
+clusters; each cluster gets an R-tree (large clusters one for each tile of bounded size, joined tile by
 tile). Only components are asked for, so pairs that are connected already are not looked at again.
 """
 
@@ -67,46 +67,57 @@ def most_different(size: int, percent: int) -> int:
 def group_keys(shingles: np.ndarray, settings: Settings) -> np.ndarray:
     """Keys of which any two linked different sets share at least one.
 
-    In a band of sizes up to s, linked sets differ in at most d shingles, and so in at most d groups. With
-    d + 1 + spare groups, some group is equal in both and not empty in a set that has at most `spare` empty groups;
-    only sets with more empty groups (both would need to have them) also give keys for empty ones. A set near the top
-    of its band takes part in the next band as well.
+    Per band of sizes the groups are more than any two linked sets of the band can differ in, so some group is equal
+    in both. All documents order their groups' keys alike, by hash with empty groups last. The first key in that order
+    which two sets share is preceded, in each of them, only by groups in which they differ; so the set's first keys,
+    one more than it can differ in from any partner, are enough. A set near the top of its band takes part in the next
+    band as well.
     """
-    size = len(shingles)
+    size, percent = len(shingles), settings.percent
     if not size:
         return np.zeros(0, np.int64)
     band = int(math.floor(math.log(size) / math.log(settings.band) + 1e-9))
     keys = []
     for number in (band, band + 1):
         top = int(math.ceil(settings.band ** (number + 1)))
-        if number > band and 100 * size < settings.percent * int(math.floor(settings.band**number)):
+        if number > band and 100 * size < percent * int(math.floor(settings.band**number)):
             continue
-        differ = most_different(top, settings.percent)
+        partner = min(100 * size // percent, top)
+        differ = (100 - percent) * (size + partner) // (100 + percent)
         if not differ:
             continue  # only equal sets link
-        spare = 1 + differ // 16
-        groups = differ + 1 + spare
+        most = most_different(top, percent)
+        groups = most + 2 + most // 16
         of = (shingles % np.uint64(groups)).astype(np.int64)
         order = np.argsort(of, kind="stable")
         starts = np.searchsorted(of[order], np.arange(groups))
         filled = np.bincount(of, minlength=groups) > 0
         sums = np.zeros(groups, np.uint64)
         sums[filled] = np.add.reduceat(mixed(shingles)[order], starts[filled])
-        emit = filled if int((~filled).sum()) <= spare else np.ones(groups, bool)
-        place = np.flatnonzero(emit).astype(np.uint64)
+        place = np.arange(groups, dtype=np.uint64)
         with np.errstate(over="ignore"):
-            keys.append(mixed(sums[emit] + mixed(place + np.uint64(number) * np.uint64(1 << 32) + np.uint64(1))))
+            whole = mixed(sums + mixed(place + np.uint64(number) * np.uint64(1 << 32) + np.uint64(1)))
+        keys.append(whole[np.lexsort((whole, ~filled))[: differ + 1]])
     return np.concatenate(keys).astype(np.int64) if keys else np.zeros(0, np.int64)
 
 
+SEEN = 1 << 18  # sets that a task remembers
+
+
 def _describe(settings: Settings):
+    """Sizes, fingerprints and keys; of equal sets that a task meets, the first has the keys for all."""
+
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
+        hashes, seen, none = WordHashes(), set(), np.zeros(0, np.int64)
         for batch in batches:
             rows = []
             for text in batch["text"]:
                 shingles = shingle_set(text, settings.words, hashes)
-                rows.append((len(shingles), *fingerprint(shingles), group_keys(shingles, settings)))
+                mark = fingerprint(shingles)
+                rows.append((len(shingles), *mark, none if mark in seen else group_keys(shingles, settings)))
+                if len(seen) >= SEEN:
+                    seen.clear()  # the keys are then given again
+                seen.add(mark)
             out = pd.DataFrame(rows, columns=["n_shingles", "fa", "fb", "keys"])
             out.insert(0, "doc_id", batch["doc_id"].to_numpy())
             yield out
@@ -255,13 +266,44 @@ def _across(settings: Settings):
     return across
 
 
+def _neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Edges (a, b) between sets that follow each other under one key, rows being sorted by key and set.
+
+    A key may begin or end in another partition: the first and the last row are given with their key and b null.
+    """
+    last = None
+
+    def ends(key, of):
+        return pd.DataFrame({"key": pd.array([key], "Int64"), "a": [of], "b": pd.array([None], "Int64")})
+
+    for batch in batches:
+        key, of = batch["key"].to_numpy(), batch["fa"].to_numpy()
+        if not len(key):
+            continue
+        if last is None:
+            yield ends(key[0], of[0])
+        else:
+            key, of = np.append(last[0], key), np.append(last[1], of)
+        last = key[-1], of[-1]
+        at = np.flatnonzero((key[1:] == key[:-1]) & (of[1:] != of[:-1]))
+        pairs = np.unique(np.stack([of[at], of[at + 1]]), axis=1)
+        yield pd.DataFrame({"key": pd.array([None] * pairs.shape[1], "Int64"), "a": pairs[0], "b": pairs[1]})
+    if last is not None:
+        yield ends(*last)
+
+
 def _clusters(sets: DataFrame) -> DataFrame:
-    """fa, root: the sets that chains of shared groups connect, by half of their fingerprint."""
-    entries = sets.select("fa", F.explode("keys").alias("key"))
-    shared = entries.groupBy("key").agg(F.min("fa").alias("least"), F.max("fa").alias("most")).where(
-        F.col("least") != F.col("most")
-    ).select(F.col("key").alias("of"), "least")
-    edges = entries.join(shared, F.col("key") == F.col("of")).select(F.col("fa").alias("a"), F.col("least").alias("b"))
+    """fa, root: the sets that chains of shared groups connect, by half of their fingerprint.
+
+    The keys are shuffled once, into ranges of (key, set): a key of very many sets is spread over several tasks.
+    """
+    entries = sets.select(F.explode("keys").alias("key"), "fa")
+    ranged = entries.repartitionByRange("key", "fa").sortWithinPartitions("key", "fa")
+    found = written(ranged.mapInPandas(_neighbours, "key long, a long, b long"), "neighbours")
+    ends = found.where(F.col("key").isNotNull())
+    least = ends.groupBy("key").agg(F.min("a").alias("least")).select(F.col("key").alias("of"), "least")
+    across = ends.join(least, F.col("key") == F.col("of")).select("a", F.col("least").alias("b"))
+    edges = found.where(F.col("b").isNotNull()).select("a", "b").unionByName(across)
     return components(edges).select(F.col("node").alias("in_cluster"), "root")
 
 

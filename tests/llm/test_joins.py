@@ -86,21 +86,47 @@ def test_messy_documents(messy, empty):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, [1, 3, 4, 5, 6, 8, 9, None, None]))
 
 
-def test_linked_sets_share_a_group():
-    rng, settings = np.random.default_rng(2), jaccard_join.Settings()
-    for size in [*range(8, 60), 100, 333, 1000, 5000]:
+@pytest.mark.parametrize("percent", [90, 80])
+def test_linked_sets_share_a_group(percent):
+    rng, settings = np.random.default_rng(2), jaccard_join.Settings(percent=percent)
+    for size in [*range(4, 60), 100, 333, 1000, 5000]:
         for _ in range(20):
             left = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
-            drop = rng.integers(0, jaccard_join.most_different(size, 90) + 1)
+            drop = rng.integers(0, jaccard_join.most_different(size, percent) + 1)
             lose = rng.integers(0, drop + 1)
             right = np.unique(np.concatenate([left[lose:], rng.integers(0, 2**63, drop - lose).astype(np.uint64)]))
             common = len(np.intersect1d(left, right))
-            linked = 100 * common >= 90 * (len(left) + len(right) - common)
-            assert jaccard_join._linked(left, right, 90) == linked
-            if linked and len(left) != common:
+            linked = 100 * common >= percent * (len(left) + len(right) - common)
+            assert jaccard_join._linked(left, right, percent) == linked
+            if linked and not len(left) == len(right) == common:
                 assert set(jaccard_join.group_keys(left, settings)) & set(jaccard_join.group_keys(right, settings))
 
 
+def test_sets_at_the_threshold_share_a_group():
+    """Subsets as small as the threshold lets them be: the partners that differ in size the most."""
+    rng, settings = np.random.default_rng(5), jaccard_join.Settings()
+    for size in range(10, 1500, 7):
+        left = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
+        right = left[size - -(-90 * size // 100) :]
+        assert jaccard_join._linked(left, right, 90)
+        assert set(jaccard_join.group_keys(left, settings)) & set(jaccard_join.group_keys(right, settings))
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_sets_under_one_key_are_connected(spark, partitions):
+    """Also a key that goes on over several partitions, and sets that give a key twice."""
+    rows = [(i, [5, 6]) for i in range(300)] + [(0, [5]), (900, [7]), (901, [7, 8]), (902, [9]), (299, [9, -3]), (950, [])]
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sets = spark.createDataFrame(rows, "fa long, keys array<long>")
+        got = {r.in_cluster: r.root for r in jaccard_join._clusters(sets).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == {i: 0 for i in range(300)} | {902: 0, 900: 900, 901: 900}
+
+
 def test_tree_passes_over_no_link():
     rng = np.random.default_rng(7)
     base = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in rng.integers(20, 400, 150)]
