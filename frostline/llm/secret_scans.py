@@ -27,7 +27,7 @@ TOKEN = r"[A-Za-z0-9+/_-]{%d,}"
 
 @dataclass(frozen=True)
 class Settings:
-    """min_length: characters of a token that is judged. max_documents: documents whose tokens train the models.
+    """min_length: characters of a token that is judged. train_length: of one that trains the models.
 
     prior: share of random strings among such tokens; the ratio must outweigh it. smoothing: added to every count.
     min_distinct: different characters of a random string; rulers and fillers have fewer.
@@ -35,7 +35,6 @@ class Settings:
 
     min_length: int = 16
     train_length: int = 8
-    max_documents: int = 5000
     prior: float = 1e-4
     smoothing: float = 0.5
     min_distinct: int = 7
@@ -49,17 +48,12 @@ class Model:
 
 
 def labelled_samples(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """token, is_random: the samples that the models are trained from, taken from a bounded sample of documents.
+    """token, is_random: the samples that the models are trained from, taken from all documents.
 
     Random strings are what the access and hex patterns match, and digests of the ids in hex and base64; ordinary
-    identifiers are all other runs of letters and digits. The bound is settings.max_documents; the choice follows a
-    hash of doc_id, so it is the same in every run.
+    identifiers are all other runs of letters and digits. Null texts give none.
     """
-    rows = documents.where(F.col("text").isNotNull()).count()
-    share = 1.0 if rows <= settings.max_documents else settings.max_documents / rows
-    some = documents.where(
-        F.col("text").isNotNull() & (F.pmod(F.xxhash64(F.lit(7), F.col("doc_id")), F.lit(1_000_000)) < int(share * 1e6))
-    )
+    some = documents.where(F.col("text").isNotNull())
     digest = F.sha2(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), 256)
     known = F.concat(F.regexp_extract_all("text", F.lit(HEX), F.lit(0)), F.regexp_extract_all("text", F.lit(ACCESS), F.lit(0)),
                      F.array(digest, F.upper(digest), F.translate(F.base64(F.unhex(digest)), "=", "")))
