@@ -102,6 +102,8 @@ class Lake:
             *[F.col(f.name).cast(f.dataType).alias(f.name) for f in columns],
             *[values[f.name].alias(f.name) for f in partitions],
         )
+        if name in (EVENTS, REGISTRY):  # statistics of the files then tell where an element's rows may be
+            batch = batch.sortWithinPartitions(*[f.name for f in partitions], "element_handle")
         if not earlier:
             batch.write.insertInto(f"{self.database}.{name}", overwrite=True)
             return
@@ -156,9 +158,11 @@ class Lake:
     def change_log(self) -> DataFrame:
         return self.table(CHANGE_LOG).drop(BATCH_RUN, BATCH_STAGE)
 
-    def events(self, since=None) -> DataFrame:
-        """Lifecycle events; a lower time bound also prunes the partitions by date."""
+    def events(self, since=None, run: str | None = None) -> DataFrame:
+        """Lifecycle events; a lower time bound prunes the partitions by date, a run id those of other runs' batches."""
         rows = self.table(EVENTS)
+        if run is not None:
+            rows = rows.where(F.col(BATCH_RUN) == run)
         if since is not None:
             rows = rows.where((F.col(EVENT_DATE) >= F.lit(since.date())) & (F.col("event_timestamp") > times.ntz(since)))
         return rows.drop(EVENT_DATE, BATCH_RUN, BATCH_STAGE)

@@ -216,3 +216,24 @@ def test_seeding_a_partly_filled_table_adds_only_what_is_missing(spark, lake):
     values = dict(load_settings(lake.config()).values)
     assert values == C.DEFAULT_CONFIG | {"batch_size": "7"}
     assert lake.table(tables.CONFIG).count() == len(C.DEFAULT_CONFIG)
+
+
+def test_events_of_a_run_read_its_partitions_only(spark, lake):
+    for run in ("r1", "r2"):
+        rows = spark.range(500).select(
+            *[F.lit(None).cast(f.dataType).alias(f.name) for f in schemas.LIFECYCLE_EVENTS
+              if f.name not in ("element_handle", "event_timestamp", "pipeline_run_id")],
+            F.concat(F.lit("h"), F.lpad((F.col("id") * 7 % 500).cast("string"), 3, "0")).alias("element_handle"),
+            F.lit(T0 if run == "r1" else T0 + timedelta(days=1)).cast("timestamp_ntz").alias("event_timestamp"),
+            F.lit(run).alias("pipeline_run_id"),
+        )
+        lake.write_batch(tables.EVENTS, rows.repartition(2), run, "discover")
+    found = lake.events(run="r2")
+    assert {r.pipeline_run_id for r in found.select("pipeline_run_id").distinct().collect()} == {"r2"}
+    assert found.count() == 500
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(batch_run" in plan
+    # Inside a file, elements are in order.
+    file = found.select(F.input_file_name().alias("f")).first().f
+    handles = [r.element_handle for r in spark.read.parquet(file).select("element_handle").coalesce(1).collect()]
+    assert len(handles) > 50 and handles == sorted(handles)
