@@ -21,8 +21,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of exact or near copies."""
-    return jaccard_join.without_copies(docs)
+    """One document of each group of exact or near copies: five words and 0.8; rows without an id are copies as well."""
+    return jaccard_join.without_copies(docs, jaccard_join.Settings(words=5, percent=80), null_ids=True)
 
 
 def blank_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -384,42 +384,74 @@ def _links(documents: DataFrame, sets: DataFrame, settings: Settings) -> tuple[D
     return members, inside.unionByName(across)
 
 
-def join(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """One row per document row: doc_id, n_shingles, component_id.
-
-    component_id is the smallest doc_id reachable by links, itself included. Null, empty and blank texts have no
-    shingles, link with nothing and keep their own id. Rows with a null doc_id take part; their ids don't count as
-    smallest unless a component has no other. Repeated rows are equal sets and one component. An empty table gives no
-    rows; other columns don't matter.
-    """
+def _described(documents: DataFrame, settings: Settings) -> DataFrame:
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = written(
+    return written(
         documents.mapInPandas(_describe(settings), "doc_id long, n_shingles long, fa long, fb long, keys array<long>"), "sets"
     )
+
+
+def _classes(documents: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
+    """of_a, of_b, component_id, leads: each distinct set with shingles, and the smallest id of its component (null if
+    the component has none). One set of each component leads."""
+    documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     members, links = _links(documents, sets, settings)
     roots = components(links).withColumnRenamed("root", "in_root")
     least = written(
         members.join(roots, "node").select("fa", "fb", "in_root", "doc_id"), "roots"
     )
-    smallest = least.groupBy("in_root").agg(F.min("doc_id").alias("smallest")).withColumnRenamed("in_root", "of_root")
-    linked = least.join(smallest, F.col("in_root") == F.col("of_root")).select("fa", "fb", "smallest")
+    smallest = least.groupBy("in_root").agg(
+        F.min("doc_id").alias("smallest"), F.min(F.struct("fa", "fb")).alias("first")
+    ).withColumnRenamed("in_root", "of_root")
+    linked = least.join(smallest, F.col("in_root") == F.col("of_root")).select(
+        "fa", "fb", "smallest", (F.struct("fa", "fb") == F.col("first")).alias("is_first")
+    )
     alone = sets.where(F.col("n_shingles") > 0).groupBy("fa", "fb").agg(F.min("doc_id").alias("own"))
-    ids = alone.join(linked, ["fa", "fb"], "left").select(
-        F.col("fa").alias("of_a"), F.col("fb").alias("of_b"), F.coalesce("smallest", "own").alias("component_id")
+    return alone.join(linked, ["fa", "fb"], "left").select(
+        F.col("fa").alias("of_a"), F.col("fb").alias("of_b"), F.coalesce("smallest", "own").alias("component_id"),
+        F.coalesce("is_first", F.lit(True)).alias("leads"),
     )
+
+
+def _joined(sets: DataFrame, classes: DataFrame) -> DataFrame:
     filled = sets.where(F.col("n_shingles") > 0).select("doc_id", "n_shingles", "fa", "fb").join(
-        ids, (F.col("fa") == F.col("of_a")) & (F.col("fb") == F.col("of_b"))
+        classes, (F.col("fa") == F.col("of_a")) & (F.col("fb") == F.col("of_b"))
     ).select("doc_id", "n_shingles", "component_id")
     empty = sets.where(F.col("n_shingles") == 0).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return filled.unionByName(empty)
 
 
-def without_copies(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
+def join(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """One row per document row: doc_id, n_shingles, component_id.
+
+    component_id is the smallest doc_id reachable by links, itself included. Null, empty and blank texts have no
+    shingles, link with nothing and keep their own id. Rows with a null doc_id take part; their ids don't count as
+    smallest unless a component has no other. Repeated rows are equal sets and one component. An empty table gives no
+    rows; other columns don't matter.
+    """
+    sets = _described(documents, settings)
+    return _joined(sets, _classes(documents, sets, settings))
+
+
+def _marks(settings: Settings):
+    def marks(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        hashes = WordHashes()
+        for batch in batches:
+            sets = [shingle_set(text, settings.words, hashes) for text in batch]
+            yield pd.DataFrame([(len(s), *fingerprint(s)) for s in sets], columns=["n", "fa", "fb"])
+
+    return F.pandas_udf(marks, "n long, fa long, fb long")
+
+
+def without_copies(documents: DataFrame, settings: Settings = Settings(), null_ids: bool = False) -> DataFrame:
     """The documents whose doc_id is their component's, with all their columns: one of each group stays.
 
-    Rows without doc_id stay, and of rows that repeat an id those of one text count once.
+    Of rows that repeat an id those of one text count once. Rows without doc_id stay, unless null_ids: then one stays
+    of each component without any id, and none of the others; those without shingles link with nothing and stay.
     """
-    first = join(documents, settings).where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(
+    sets = _described(documents, settings)
+    classes = written(_classes(documents, sets, settings), "classes")
+    first = _joined(sets, classes).where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(
         F.count("*").alias("n_rows")
     )
     first = written(first, "first").select(F.col("doc_id").alias("first_id"), "n_rows")
@@ -430,4 +462,12 @@ def without_copies(documents: DataFrame, settings: Settings = Settings()) -> Dat
     if first.where(F.col("n_rows") > 1).limit(1).count():
         again = kept.where(F.col("n_rows") > 1).select("row", "id", F.col("row.text").alias("content"))
         once = once.unionByName(again.dropDuplicates(["id", "content"]).select("row"))
-    return once.unionByName(rows.where(F.col("id").isNull()).select("row")).select("row.*")
+    nameless = rows.where(F.col("id").isNull()).select("row")
+    if null_ids and sets.where(F.col("doc_id").isNull() & (F.col("n_shingles") > 0)).limit(1).count():
+        marked = nameless.select("row", _marks(settings)(F.col("row.text").cast("string")).alias("mark"))
+        leading = classes.where(F.col("component_id").isNull() & F.col("leads")).select("of_a", "of_b")
+        one = marked.where(F.col("mark.n") > 0).select("row", F.col("mark.fa").alias("fa"), F.col("mark.fb").alias("fb")).join(
+            leading, (F.col("fa") == F.col("of_a")) & (F.col("fb") == F.col("of_b")), "left_semi"
+        ).dropDuplicates(["fa", "fb"]).select("row")
+        nameless = marked.where(F.col("mark.n") == 0).select("row").unionByName(one)
+    return once.unionByName(nameless).select("row.*")

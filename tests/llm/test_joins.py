@@ -299,3 +299,23 @@ def test_conversations_without_id_or_turns(spark):
     out = chat.render(table).collect()
     assert [(r.conv_id, r.n_turns) for r in out] == [(None, 2)]
     assert chat.render(table.where("false")).count() == 0
+
+
+# The pipeline's copies
+
+
+def test_pipeline_takes_near_copies_at_five_words_and_four_fifths(spark):
+    """A copy with 12 % cut off, one with 10 of 500 words edited; rows without an id are copies like any others."""
+    import corpus_pipeline
+
+    def words(salt, n=500):
+        return [f"{salt}{i}" for i in range(n)]
+
+    edited = ["edit" if i % 50 == 25 else w for i, w in enumerate(words("a"))]
+    rows = [(1, words("a")), (2, words("a")[:440]), (3, edited), (4, words("a")[:300]), (5, words("b")),
+            (None, words("a")), (None, words("a")[:440]), (None, words("c")), (None, words("c")), (None, words("c")[:440]),
+            (None, []), (None, [])]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    kept = corpus_pipeline.drop_copies(spark, docs, "").collect()
+    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == [1, 4, 5]
+    assert sorted(r.text[:1] for r in kept if r.doc_id is None) == ["", "", "c"]
