@@ -23,6 +23,7 @@ from frostline import constants as C
 from frostline import schemas
 from frostline.functions import paths, times
 from frostline.functions.settings import Settings
+from frostline.sources.shared import written
 
 # The task functions travel with their helpers, so that executors need not have the package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -104,13 +105,34 @@ def _spread(rows: DataFrame, partitions: int | None) -> DataFrame:
 def read_bodies(spark: SparkSession, folder: str) -> DataFrame:
     """Objects below a folder as path, size and MD5; for objects up to 2 GB each.
 
-    Spark's file sources do not list empty files; where those count, stream_digests over a
+    Spark's file sources do not list empty files; where those count, file_digests over a
     manifest gives a row for each object, empty, missing or of any size.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     return files.select("path", F.col("length").alias("size"), F.md5("content").alias("md5"))
 
 
+def file_digests(manifest: DataFrame, folder: str, whole_bytes: int = 256 * 1024 * 1024) -> DataFrame:
+    """handle, key, md5, size, error: a row for each row of a manifest (handle, key) of objects below a folder.
+
+    Spark reads the listed files of up to whole_bytes; what it does not list (empty files, names that begin with _ or .)
+    and larger files are streamed. A file that cannot be read has its error.
+    """
+    place = re.escape("/" + re.sub("^[a-z0-9]+:", "", folder).strip("/") + "/")
+    # The bound is pushed into the source, which does not read larger files.
+    listed = read_bodies(manifest.sparkSession, folder).where(F.col("size") <= whole_bytes)
+    listed = listed.select(F.split("path", place, 2)[1].alias("of_key"), "md5", "size")
+    wanted = manifest.select("handle", "key")
+    found = written(wanted.join(listed, F.ltrim(F.lit("/"), F.col("key")) == F.col("of_key"), "left").drop("of_key"), "digests")
+    read = found.where(F.col("md5").isNotNull()).withColumn("error", F.lit(None).cast("string"))
+    others = found.where(F.col("md5").isNull()).select(F.col("key").alias("handle"), "key").distinct()
+    streamed = stream_digests(others, folder).withColumnRenamed("handle", "of_key")
+    rest = found.where(F.col("md5").isNull()).select("handle", "key")
+    return read.select("handle", "key", "md5", "size", "error").unionByName(
+        rest.join(streamed, F.col("key").eqNullSafe(F.col("of_key"))).drop("of_key")
+    )
+
+
 def body_digests(objects: DataFrame, body: str = "body") -> DataFrame:
     """Replace a body column by its MD5."""
     return objects.select(*[c for c in objects.columns if c != body], F.md5(F.col(body)).alias("md5"))

@@ -437,9 +437,8 @@ def _(t):
 @query("object_checksums_files",
        f"SELECT key, md5(body) AS md5, {SIZE_SQL} AS size FROM source_objects", "source_objects")
 def _(t):
-    _, root = _staged(t)
-    files = objects.read_bodies(t.spark, f"{root}/source")
-    return files.select(F.regexp_extract("path", "/source/(.*)$", 1).alias("key"), "md5", "size")
+    staged, root = _staged(t)
+    return objects.file_digests(staged, f"{root}/source").select("key", "md5", "size")
 
 
 @query("probe_objects",

@@ -46,6 +46,31 @@ def test_digests_and_probes(spark, tmp_path):
     assert probes == {"1": C.FOUND, "2": C.NOT_FOUND, "3": C.NOT_FOUND}
 
 
+def test_file_digests_give_every_object(spark, tmp_path):
+    """Empty ones, names that Spark does not list, objects above the bound, missing ones and repeated keys."""
+    bodies = [("1", "a/b.txt", "hello world"), ("2", "c d.txt", ""), ("3", "_e/x", "hidden"), ("4", "big", "x" * 100),
+              ("5", "ü/source/%20", "name")]
+    table = spark.createDataFrame(bodies, "handle string, key string, body string")
+    root = f"{tmp_path}/source"
+    manifest = objects.write_objects(table, root).select("handle", "key").localCheckpoint()
+    more = spark.createDataFrame([("6", "gone"), ("7", "big"), ("8", "a/b.txt")], "handle string, key string")
+    got = {r.handle: r for r in objects.file_digests(manifest.unionByName(more), root, whole_bytes=50).collect()}
+    body = {h: b.encode() for h, _, b in bodies} | {"7": b"x" * 100, "8": b"hello world"}
+    assert {h: (r.md5, r["size"]) for h, r in got.items() if h != "6"} == {
+        h: (hashlib.md5(b).hexdigest(), len(b)) for h, b in body.items()
+    }
+    assert got["6"].md5 is None and "gone" in got["6"].error and got["1"].error is None
+
+
+def test_query_of_files_gives_empty_objects(spark, tmp_path, monkeypatch):
+    from frostline.workload import fixtures, registered, stage_queries  # noqa: F401
+
+    table = spark.createDataFrame([("1", "a", "hello world"), ("2", "b", "")], "handle string, key string, body string")
+    monkeypatch.setattr(fixtures, "table", lambda *_: table)
+    got = {tuple(r) for r in registered.QUERIES["object_checksums_files"](spark, str(tmp_path)).collect()}
+    assert got == {("a", "5eb63bbbe01eeed093cb22bb8f5acdc3", 11), ("b", "d41d8cd98f00b204e9800998ecf8427e", 0)}
+
+
 def test_metadata_round_trip(spark):
     fields = [F.lit(str(i)) for i in range(7)]
     packed = spark.range(1).select(objects.object_metadata("p", *fields).alias("m"))
