@@ -14,8 +14,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from frostline.functions.times import time_slice
+from frostline.functions.times import elapsed_micros, time_slice
 from frostline.operators import skew
+from frostline.sources.shared import written
 
 SLICE = "_slice"
 # Rows of one key that a single task may sort.
@@ -154,6 +155,62 @@ def marks_between(
     )
 
 
+# How many parts a slice with too many changes is cut into.
+FINER = 1000
+_LEVEL, _MICROS = "_level", "_micros"
+
+
+def _finer(rows: DataFrame, dense: DataFrame, width: int) -> DataFrame:
+    """Move the rows of dense slices into slices of a smaller width, counted from the start of their old one."""
+    part = F.col(SLICE) + F.floor((F.col(_MICROS) - F.col(SLICE)) / width).cast("bigint") * width
+    return (
+        skew.lookup(rows, dense.withColumn("_dense", F.lit(True)), [SLICE, _LEVEL], "left")
+        .withColumn(SLICE, F.when(F.col("_dense"), part).otherwise(F.col(SLICE)))
+        .withColumn(_LEVEL, F.when(F.col("_dense"), F.col(_LEVEL) + 1).otherwise(F.col(_LEVEL)))
+        .drop("_dense")
+    )
+
+
+def _slices(rows: DataFrame, at: str, steps: DataFrame, slice_seconds: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """(rows with their slice, slices): steps (at, value; one per time) put into slices of at most `most` steps.
+
+    slices: SLICE, _inside (its steps in order), _start (struct of the last value before it). A slice is named by its
+    first microsecond.
+    """
+    epoch, width = F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'"), slice_seconds * 1_000_000
+
+    def sliced(table, moment):
+        micros = table.withColumn(_MICROS, elapsed_micros(epoch, F.col(moment)))
+        start = F.col(_MICROS) - F.pmod(F.col(_MICROS), F.lit(width))
+        return micros.withColumn(SLICE, start).withColumn(_LEVEL, F.lit(0))
+
+    rows, steps, level, finer = sliced(rows, at), sliced(steps, "at"), 0, width
+    while finer > 1:
+        counts = steps.where(F.col(_LEVEL) == level).groupBy(SLICE, _LEVEL).agg(F.count("*").alias("_n"))
+        dense = written(counts.where(F.col("_n") > most).select(SLICE, _LEVEL), "dense")
+        if not dense.limit(1).count():
+            break
+        level, finer = level + 1, -(-finer // FINER)
+        rows, steps = _finer(rows, dense, finer), written(_finer(steps, dense, finer), "steps")
+
+    per_slice = steps.groupBy(SLICE).agg(
+        F.sort_array(F.collect_list(F.struct("at", "value"))).alias("_inside"),
+        F.max_by(F.struct("value"), "at").alias("_end"),
+    )
+    used = rows.select(SLICE).where(F.col(SLICE).isNotNull()).distinct().join(per_slice, SLICE, "full_outer")
+    # Ranges of slices, each with its own window; only one row per range goes through a window of all.
+    ranged = written(used.repartitionByRange(SLICE).withColumn("_range", F.spark_partition_id()), "slices")
+    before = (Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_range").orderBy(SLICE).rowsBetween(*before)
+    ends = ranged.groupBy("_range").agg(F.max_by("_end", F.when(F.col("_end").isNotNull(), F.col(SLICE))).alias("_last"))
+    carried = ends.select(
+        "_range", F.last("_last", ignorenulls=True).over(Window.orderBy("_range").rowsBetween(*before)).alias("_carried")
+    )
+    local = ranged.select("_range", SLICE, F.last("_end", ignorenulls=True).over(inside).alias("_local"))
+    starts = local.join(F.broadcast(carried), "_range").select(SLICE, F.coalesce("_local", "_carried").alias("_start"))
+    return rows.drop(_MICROS, _LEVEL), ranged.select(SLICE, "_inside").join(starts, SLICE)
+
+
 def value_at(
     rows: DataFrame,
     at: str,
@@ -163,30 +220,20 @@ def value_at(
     value: str,
     out: str,
     slice_seconds: int = 60,
+    most_changes: int = 256,
 ) -> DataFrame:
     """Add the value set by the latest change at or before each row; NULL before the first.
 
-    For a change log that is small beside the rows. A table with one row per time slice in use
-    holds the value that the slice starts with and the changes inside it (one per change time);
-    rows look their slice up. A slice may hold very many rows, such as all events of a run.
+    A table with one row per time slice in use holds the value that the slice starts with and the changes inside it
+    (one per change time); rows look their slice up. A slice with more than most_changes changes is cut into finer
+    ones, down to a microsecond. A slice may hold very many rows, such as all events of a run.
     """
-    sliced = rows.withColumn(SLICE, time_slice(F.col(at), slice_seconds))
     steps = (
         changes.groupBy(F.col(changed_at).alias("at"))
         .agg(F.max_by(value, tie).alias("value"))
         .where(F.col("at").isNotNull())
-        .withColumn(SLICE, time_slice(F.col("at"), slice_seconds))
-    )
-    per_slice = steps.groupBy(SLICE).agg(
-        F.sort_array(F.collect_list(F.struct("at", "value"))).alias("_inside"),
-        F.max_by(F.struct("value"), "at").alias("_end"),
     )
-    slices = sliced.select(SLICE).distinct().join(per_slice.select(SLICE, "_end"), SLICE, "full_outer")
-    # Number and last value of each slice of the whole time range go through this window; the changes
-    # themselves join afterwards.
-    earlier = Window.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    starts = slices.select(SLICE, F.last("_end", ignorenulls=True).over(earlier).alias("_start"))
-    table = starts.join(per_slice.select(SLICE, "_inside"), SLICE, "left")
+    sliced, table = _slices(rows, at, written(steps, "changes"), slice_seconds, most_changes)
     upto = F.try_element_at(F.filter("_inside", lambda step: step["at"] <= F.col(at)), F.lit(-1))
     return (
         skew.lookup(sliced, table, [SLICE], "left")

@@ -92,6 +92,33 @@ def test_value_at_without_changes(spark):
     assert timeline.value_at(rows, "at", none, "changed", "tie", "value", "now").first().now is None
 
 
+def test_value_at_with_a_million_changes_in_one_slice(spark):
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    micros = lambda n: start + F.expr(f"make_dt_interval(0, 0, 0, ({n}) / 1000000.0)")
+    changes = spark.range(1_000_000).select(micros("id * 50").alias("at"), F.lit("t").alias("tie"), F.col("id").cast("string").alias("value"))
+    rows = spark.range(20_000).select("id", micros("id * 3000 + 1").alias("at"))  # the last after all changes
+    got = timeline.value_at(rows, "at", changes, "at", "tie", "value", "now")
+    wrong = got.where(~F.col("now").eqNullSafe(F.least(F.col("id") * 60, F.lit(999_999)).cast("string")))
+    assert got.count() == 20_000 and wrong.count() == 0
+    _, slices = timeline._slices(rows, "at", changes.select("at", "value"), 60, 256)
+    assert slices.agg(F.max(F.size("_inside"))).first()[0] <= 256
+
+
+@pytest.mark.parametrize("slice_seconds, most", [(7, 1), (60, 3), (10**9, 2)])
+def test_value_at_in_finer_slices(spark, slice_seconds, most):
+    rng = random.Random(most)
+    at = lambda: START + timedelta(days=rng.choice([-20000, 0, 3]), microseconds=rng.randrange(10**rng.randrange(1, 9)))
+    changes = [(at(), str(i), rng.choice(["30", "60", None])) for i in range(200)]
+    rows = [(i, at()) for i in range(400)] + [(900, None), (901, changes[0][0])]
+    got = timeline.value_at(
+        frame(spark, rows, id="i", at="t"), "at", frame(spark, changes, changed="t", tie="s", value="s"),
+        "changed", "tie", "value", "now", slice_seconds, most,
+    )
+    ordered = sorted(changes, key=lambda c: (c[0], c[1]))
+    expected = {number: ([c[2] for c in ordered if when and c[0] <= when] or [None])[-1] for number, when in rows}
+    assert {r.id: r.now for r in got.collect()} == expected and got.columns == ["id", "at", "now"]
+
+
 def test_latest_by(spark):
     rows = [("a", START, "1", "x"), ("a", START + timedelta(1), "1", None), ("b", START, "1", "y"), ("b", START, "2", "z")]
     df = frame(spark, rows, key="s", at="t", tie="s", value="s")
