@@ -125,12 +125,12 @@ def file_digests(manifest: DataFrame, folder: str, whole_bytes: int = 256 * 1024
     wanted = manifest.select("handle", "key")
     found = written(wanted.join(listed, F.ltrim(F.lit("/"), F.col("key")) == F.col("of_key"), "left").drop("of_key"), "digests")
     read = found.where(F.col("md5").isNotNull()).withColumn("error", F.lit(None).cast("string"))
-    others = found.where(F.col("md5").isNull()).select(F.col("key").alias("handle"), "key").distinct()
-    streamed = stream_digests(others, folder).withColumnRenamed("handle", "of_key")
     rest = found.where(F.col("md5").isNull()).select("handle", "key")
-    return read.select("handle", "key", "md5", "size", "error").unionByName(
-        rest.join(streamed, F.col("key").eqNullSafe(F.col("of_key"))).drop("of_key")
-    )
+    if not rest.limit(1).count():
+        return read
+    streamed = stream_digests(rest.select(F.col("key").alias("handle"), "key").distinct(), folder)
+    streamed = written(streamed.withColumnRenamed("handle", "of_key"), "streamed")  # each is read once
+    return read.unionByName(rest.join(streamed, F.col("key").eqNullSafe(F.col("of_key"))).drop("of_key"))
 
 
 def body_digests(objects: DataFrame, body: str = "body") -> DataFrame:
