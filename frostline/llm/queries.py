@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from frostline.llm import (
     chat,
+    filter_audit,
     jaccard_join,
     mixing,
     nearest,
@@ -18,7 +19,9 @@ from frostline.llm import (
     secret_scans,
     toxicity,
     url_filters,
+    warc_store,
 )
+from frostline.sources.shared import scratch_dir
 
 URL_RULES = url_filters.Rules(
     (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -99,10 +102,24 @@ def op10_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render(_table(spark, sf_dir, "conversations"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    return filter_audit.audit(filter_audit.masked(documents, labels))
+
+
+def op13_warc_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = scratch_dir(spark, "archive")
+    warc_store.deposit(_table(spark, sf_dir, "pages"), archive)
+    return warc_store.restored(spark, archive).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q for q in (
         op1_host_trust, op2_toxicity, op3_length_buckets, op4_secrets, op5_jaccard_join, op6_collision_search,
         op7_host_rules, op8_entropy_balance, op9_personal_data, op10_snapshot_collapse,
+        op12_filter_audit, op13_warc_store,
     )
 }
 
@@ -206,9 +223,59 @@ SELECT conv_id, turn // 1024 AS part, n_turns, n_copies,
   string_agg('<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10), '' ORDER BY turn) AS rendered
 FROM turns JOIN kept USING (conv_id) GROUP BY conv_id, part, n_turns, n_copies"""
 
+FILTER_AUDIT_SQL = r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+said AS (
+  SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+failing AS (
+  SELECT t.part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    (CASE WHEN len(words) < 50 THEN 'A' ELSE '' END)
+    || (CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 'B' ELSE '' END)
+    || (CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) THEN 'C' ELSE '' END)
+    || (CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END)
+    || (CASE WHEN t.doc_id > min(t.doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END) AS fails
+  FROM texts t LEFT JOIN said USING (doc_id)),
+counted AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM failing GROUP BY 1, 2),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (
+  SELECT filter_order, step::INT AS step, filter_order[step:step] AS f, filter_order[1:step - 1] AS earlier
+  FROM orders, range(1, 6) AS t(step)),
+met AS (
+  SELECT part, filter_order, step, f, n, good, toxic, contains(fails, f) AS hit, fails = f AS only_this,
+    earlier <> '' AND regexp_matches(fails, '[' || (CASE WHEN earlier = '' THEN 'x' ELSE earlier END) || ']') AS gone
+  FROM counted, steps),
+summed AS (
+  SELECT part, filter_order, step, f,
+    coalesce(sum(n) FILTER (WHERE NOT gone AND NOT hit), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (WHERE NOT gone AND hit), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (WHERE gone AND hit), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (WHERE only_this), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (WHERE NOT gone AND hit), 0)::BIGINT AS good_lost,
+    coalesce(sum(toxic) FILTER (WHERE NOT gone AND hit), 0)::BIGINT AS toxic_lost
+  FROM met GROUP BY 1, 2, 3, 4)
+SELECT * EXCLUDE (f), (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM summed"""
+
+WARC_SQL = """
+WITH bodies AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+measured AS (SELECT page_id, strlen(body)::BIGINT AS payload_bytes, sha256(body) AS payload_digest FROM bodies),
+ranked AS (
+  SELECT *, row_number() OVER w AS place, first_value(page_id) OVER w AS first_id FROM measured
+  WINDOW w AS (PARTITION BY payload_digest ORDER BY page_id NULLS LAST))
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND place > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND place > 1 THEN first_id END AS refers_to
+FROM ranked"""
+
 ORACLES: dict[str, str] = {
     "op1_host_trust": _host_trust_sql(),
     "op5_jaccard_join": JACCARD_SQL,
     "op7_host_rules": HOST_RULES_SQL,
     "op10_snapshot_collapse": SNAPSHOT_SQL,
+    "op12_filter_audit": FILTER_AUDIT_SQL,
+    "op13_warc_store": WARC_SQL,
 }
