@@ -11,6 +11,7 @@ from frostline.llm import (
     chat,
     filter_audit,
     jaccard_join,
+    lexical_search,
     mixing,
     nearest,
     packing,
@@ -102,6 +103,10 @@ def op10_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render(_table(spark, sf_dir, "conversations"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     return filter_audit.audit(filter_audit.masked(documents, labels))
@@ -119,7 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q for q in (
         op1_host_trust, op2_toxicity, op3_length_buckets, op4_secrets, op5_jaccard_join, op6_collision_search,
         op7_host_rules, op8_entropy_balance, op9_personal_data, op10_snapshot_collapse,
-        op12_filter_audit, op13_warc_store,
+        op11_lexical_search, op12_filter_audit, op13_warc_store,
     )
 }
 
@@ -223,6 +228,31 @@ SELECT conv_id, turn // 1024 AS part, n_turns, n_copies,
   string_agg('<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10), '' ORDER BY turn) AS rendered
 FROM turns JOIN kept USING (conv_id) GROUP BY conv_id, part, n_turns, n_copies"""
 
+LEXICAL_SQL = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+totals AS (SELECT count(*) AS docs, sum(len(terms))::BIGINT AS words FROM texts WHERE len(terms) > 0),
+measured AS (
+  SELECT r, doc_id, 75 + ((25 * len(terms) * docs) // words) AS m FROM texts, totals WHERE len(terms) > 0),
+postings AS (SELECT r, term, count(*) AS tf FROM texts, unnest(terms) AS t(term) GROUP BY 1, 2),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM postings, totals GROUP BY term),
+asked AS (
+  SELECT DISTINCT item_id, coalesce(text, '') AS text FROM benchmark),
+wanted AS (
+  SELECT item_id, text, term, count(*) AS q FROM asked, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t(term) GROUP BY 1, 2, 3),
+scored AS (
+  SELECT item_id, text, r, doc_id, sum(q * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+  FROM wanted JOIN weights USING (term) JOIN postings USING (term) JOIN measured USING (r) GROUP BY ALL),
+ranked AS (
+  SELECT *, (row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS LAST))::INT AS rank
+  FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20"""
+
 FILTER_AUDIT_SQL = r"""
 WITH texts AS (
   SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
@@ -276,6 +306,7 @@ ORACLES: dict[str, str] = {
     "op5_jaccard_join": JACCARD_SQL,
     "op7_host_rules": HOST_RULES_SQL,
     "op10_snapshot_collapse": SNAPSHOT_SQL,
+    "op11_lexical_search": LEXICAL_SQL,
     "op12_filter_audit": FILTER_AUDIT_SQL,
     "op13_warc_store": WARC_SQL,
 }
