@@ -98,13 +98,31 @@ def update(lake, key: str, value: str, changed_by: str, reason: str, now: dateti
         return False
     versions, log = change_rows(current, request, times.ntz(now))
     batch = f"config-{now:%Y%m%d-%H%M%S-%f}-{key}"
-    # The log first: a value without its log row would hide who changed it. Both plans start
-    # from the configuration as it is now, so the log is written before the value changes.
-    lake.write_batch(tables.CHANGE_LOG, log, batch, "config")
-    lake.write_batch(tables.CONFIG, versions, batch, "config")
+    _publish(lake, versions, log, batch)
     return True
 
 
+def update_all(lake, values: Mapping[str, str], changed_by: str, reason: str, now: datetime) -> None:
+    """Change several keys and log the changes, all or none; keys that have their value already stay as they are."""
+    requests = key_value_rows(lake.spark, values).select(
+        "config_key", F.col("config_value").alias("new_value"), F.lit(changed_by).alias("changed_by"),
+        F.lit(reason).alias("change_reason"),
+    )
+    current = lake.config()
+    unknown = unknown_requests(current, requests).first()
+    if unknown is not None:
+        raise UnknownConfigKey(unknown.config_key)
+    versions, log = change_rows(current, requests, times.ntz(now))
+    _publish(lake, versions, log, f"config-{now:%Y%m%d-%H%M%S-%f}-several")
+
+
+def _publish(lake, versions: DataFrame, log: DataFrame, batch: str) -> None:
+    """Values and their log rows become visible together: a value without its log row would hide who changed it."""
+    with lake.one_batch(batch, "config"):
+        lake.write_batch(tables.CHANGE_LOG, log, batch, "config")
+        lake.write_batch(tables.CONFIG, versions, batch, "config")
+
+
 def rollback(lake, key: str, changed_by: str, now: datetime) -> bool:
     """Set one key back to the value before its last logged change."""
     history = lake.change_log().where(F.col("config_key") == key)

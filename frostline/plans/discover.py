@@ -9,6 +9,7 @@ from frostline import constants as C
 from frostline import schemas
 from frostline.functions import ids, notes, paths, times
 from frostline.functions.settings import Settings
+from frostline.operators.first_rows import first_rows
 from frostline.plans import events
 from frostline.sources.catalog import scan_catalog
 
@@ -65,7 +66,7 @@ def candidates(
     )
     if batch_size is None:
         return files
-    return files.orderBy("atime", "handle").limit(batch_size)
+    return first_rows(files, ["atime", "handle"], batch_size)
 
 
 def with_path(files: DataFrame) -> DataFrame:

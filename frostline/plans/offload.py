@@ -90,6 +90,14 @@ def offloaded(outcomes: DataFrame, settings: Settings) -> DataFrame:
     )
 
 
+def lineage(copies: DataFrame, settings: Settings, metadata_prefix: str = "source") -> DataFrame:
+    """Place and metadata of the objects copied, for the manifest that is kept with them."""
+    path = F.col("metadata")[f"{metadata_prefix}-original-path"]
+    return copies.where(F.col("status") == C.COPIED).select(
+        F.lit(settings.bucket).alias("aws_bucket"), paths.aws_key(path).alias("aws_key"), "metadata"
+    )
+
+
 def failed(outcomes: DataFrame) -> DataFrame:
     """Result list of the stage: the objects not copied, with the reason."""
     return outcomes.where(F.col("status") != C.COPIED).select(

@@ -1,7 +1,7 @@
 """A whole run: discover, offload and purge on the tables of a lake.
 
-Within a stage the events are written first and the registry second, so that no change of
-state can lack its event. Running a run id again rewrites the same batches.
+The tables of a stage are published together, so that no reader meets a change of state without its event, nor an
+event without its change. Running a run id again rewrites the same batches.
 """
 
 from datetime import datetime
@@ -19,6 +19,11 @@ STAGES = ("discover", "offload", "purge")
 
 
 def run_discover(lake: Lake, catalog: DataFrame, settings: Settings, as_of: datetime, run_id: str) -> None:
+    with lake.one_batch(run_id, "discover"):
+        _discover(lake, catalog, settings, as_of, run_id)
+
+
+def _discover(lake: Lake, catalog: DataFrame, settings: Settings, as_of: datetime, run_id: str) -> None:
     registry = lake.registry(run_id, STAGES)
     if settings.flag("dry_run"):
         scanned = discover.dry_run_events(catalog, registry, settings, as_of, run_id)
@@ -35,6 +40,11 @@ def run_discover(lake: Lake, catalog: DataFrame, settings: Settings, as_of: date
 def run_offload(
     lake: Lake, settings: Settings, as_of: datetime, run_id: str, source_root: str, dest_root: str
 ) -> None:
+    with lake.one_batch(run_id, "offload"):
+        _offload(lake, settings, as_of, run_id, source_root, dest_root)
+
+
+def _offload(lake: Lake, settings: Settings, as_of: datetime, run_id: str, source_root: str, dest_root: str) -> None:
     manifest = discover.manifest(lake.batch(tables.CANDIDATES, run_id, "discover"))
     jobs = objects.copy_jobs(manifest, settings, as_of)
     tasks = min(settings.batch_size, int(lake.spark.conf.get("spark.sql.shuffle.partitions")))
@@ -42,6 +52,8 @@ def run_offload(
         jobs, source_root, dest_root, settings.flag("verify_checksum"), partitions=max(tasks, 1)
     )
     lake.write_batch(tables.COPIES, copies, run_id, "offload")
+    # Before the commit: should the run die now, the store itself still tells what lies in it.
+    objects.publish_lineage(offload.lineage(lake.batch(tables.COPIES, run_id, "offload"), settings), dest_root, run_id)
     outcomes = offload.with_outcome(manifest, lake.batch(tables.COPIES, run_id, "offload"))
     lake.write_batch(tables.EVENTS, offload.offload_events(outcomes, settings, as_of, run_id), run_id, "offload")
     current = lake.registry(run_id, STAGES[1:])
@@ -51,6 +63,11 @@ def run_offload(
 def run_purge(lake: Lake, settings: Settings, as_of: datetime, run_id: str, dest_root: str) -> None:
     if not settings.flag("auto_delete_local"):
         return
+    with lake.one_batch(run_id, "purge"):
+        _purge(lake, settings, as_of, run_id, dest_root)
+
+
+def _purge(lake: Lake, settings: Settings, as_of: datetime, run_id: str, dest_root: str) -> None:
     current = lake.registry(run_id, STAGES[2:])
     probes = objects.probe_objects(objects.probe_jobs(purge.pending(current)), dest_root)
     lake.write_batch(tables.PROBES, probes, run_id, "purge")

@@ -4,12 +4,20 @@ Parquet tables have no UPDATE. Registry and configuration are therefore kept as
 of which the latest counts; events and change log only ever grow. Every write belongs to a
 batch (run id and stage) and replaces that batch, so that a stage may be run again after a
 failure and leaves the same rows.
+
+A batch may span several tables. Each attempt at it writes partitions of its own, and a commit
+record, one partition that the catalog adds in one step, publishes them all at once. Readers
+take the latest committed attempt of each batch: a stage that died between two tables is
+invisible, and while a batch is written again its earlier rows stay as they were.
 """
 
-from dataclasses import dataclass
+from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass, field
 from urllib.parse import unquote
+from uuid import uuid4
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,7 +25,7 @@ from frostline import schemas
 from frostline.functions import times
 from frostline.operators import latest
 
-BATCH_RUN, BATCH_STAGE, EVENT_DATE = "batch_run", "batch_stage", "event_date"
+BATCH_RUN, BATCH_STAGE, BATCH_ATTEMPT, EVENT_DATE = "batch_run", "batch_stage", "batch_attempt", "event_date"
 
 REGISTRY = "asset_registry"
 EVENTS = "lifecycle_events"
@@ -26,9 +34,13 @@ CHANGE_LOG = "config_change_log"
 CANDIDATES = "discovery_batches"
 COPIES = "copy_results"
 PROBES = "probe_results"
+COMMITS = "batch_commits"
 COMPACTION = "compaction"
 
-_BATCH = [T.StructField(BATCH_RUN, T.StringType()), T.StructField(BATCH_STAGE, T.StringType())]
+_BATCH = [T.StructField(name, T.StringType()) for name in (BATCH_RUN, BATCH_STAGE, BATCH_ATTEMPT)]
+_BATCH_NAMES = [f.name for f in _BATCH]
+# The tables that a commit publishes, as part of its name.
+COMMITTED = "committed"
 _DELETED = [T.StructField("is_deleted", T.BooleanType())]
 
 # Stored columns and partition columns per table.
@@ -44,6 +56,8 @@ LAYOUT = {
     ),
     COPIES: (schemas.COPY_RESULTS.fields, _BATCH),
     PROBES: (schemas.PROBE_RESULTS.fields, _BATCH),
+    # Commits have no rows: what counts is that the catalog knows the partition.
+    COMMITS: ([T.StructField("note", T.StringType())], [*_BATCH, T.StructField(COMMITTED, T.StringType())]),
 }
 
 
@@ -62,6 +76,9 @@ class Lake:
 
     spark: SparkSession
     database: str
+    # Batches being written through this object: their attempt, and the tables that each attempt has rows in.
+    _open: dict[tuple[str, str], str] = field(default_factory=dict, compare=False, repr=False)
+    _written: dict[str, list[str]] = field(default_factory=dict, compare=False, repr=False)
 
     def ensure_tables(self, location: str | None = None) -> None:
         """Create database (at a location, if given) and tables where they do not exist yet."""
@@ -81,19 +98,31 @@ class Lake:
         return tables.where(F.col("tableName").isin(*LAYOUT)).select(F.col("tableName").alias("table_name"))
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.table(f"{self.database}.{name}")
+        """The committed rows of a table, with the run and stage of their batch.
+
+        What is to be left out is known from the catalog alone, and it is little: attempts that broke off or are under
+        way. The rest of the plan is that of the plain table.
+        """
+        rows, open_now = self.spark.table(f"{self.database}.{name}"), self._open.values()
+        live = self._live(name)
+        dead = {p[BATCH_ATTEMPT] for p in self._partitions(name)
+                if live.get((p[BATCH_RUN], p[BATCH_STAGE])) != p[BATCH_ATTEMPT] and p[BATCH_ATTEMPT] not in open_now}
+        replaced = {live[batch] for batch, attempt in self._open.items() if self._wrote(name, batch, attempt) and batch in live}
+        hidden = sorted(dead | replaced)
+        return (rows.where(~F.col(BATCH_ATTEMPT).isin(*hidden)) if hidden else rows).drop(BATCH_ATTEMPT)
 
     def write_batch(self, name: str, rows: DataFrame, run: str, stage: str) -> None:
         """Write the rows of a batch, in place of any it wrote before.
 
-        The tables are created with dynamic partition overwrite, so only the partitions of the
-        batch are replaced, and they may be computed from the other partitions of the same table.
-        Partitions that the batch wrote earlier and doesn't write now (other dates, or no rows at
-        all) are dropped afterwards; the write itself tells which it wrote.
+        Inside `one_batch` the rows are published with those of the other tables (each written once), else at once. They
+        may be computed from the same table, and from what the batch wrote before.
         """
-        earlier = self._partitions(name, run, stage)
+        if (run, stage) not in self._open:
+            with self.one_batch(run, stage):
+                return self.write_batch(name, rows, run, stage)
         columns, partitions = LAYOUT[name]
-        values = {BATCH_RUN: F.lit(run), BATCH_STAGE: F.lit(stage)}
+        attempt = self._open[run, stage]
+        values = {BATCH_RUN: F.lit(run), BATCH_STAGE: F.lit(stage), BATCH_ATTEMPT: F.lit(attempt)}
         if name == EVENTS:
             values[EVENT_DATE] = F.col("event_timestamp").cast("date")
         if name == REGISTRY and "is_deleted" not in rows.columns:
@@ -104,21 +133,67 @@ class Lake:
         )
         if name in (EVENTS, REGISTRY):  # statistics of the files then tell where an element's rows may be
             batch = batch.sortWithinPartitions(*[f.name for f in partitions], "element_handle")
-        if not earlier:
-            batch.write.insertInto(f"{self.database}.{name}", overwrite=True)
-            return
-        seen = Observation()
-        date = F.col(EVENT_DATE).cast("string") if name == EVENTS else F.lit("")
-        batch.observe(seen, F.collect_set(F.coalesce(date, F.lit(NO_DATE))).alias("dates")).write.insertInto(
-            f"{self.database}.{name}", overwrite=True
-        )
-        now = set(seen.get["dates"])
-        self._drop(name, [p for p in earlier if p.get(EVENT_DATE, "") not in now])
+        batch.write.insertInto(f"{self.database}.{name}", overwrite=True)
+        self._written.setdefault(attempt, []).append(name)
+
+    @contextmanager
+    def one_batch(self, run: str, stage: str) -> Iterator[None]:
+        """Publish all that is written for a batch inside the block together, at its end; nothing if it fails.
+
+        Inside, this object sees the rows written so far. After the commit, what earlier attempts at the same tables left
+        is dropped; a failure in between leaves partitions that nobody reads and that the next attempt drops.
+        """
+        batch = (run, stage)
+        if batch in self._open:
+            raise ValueError(f"already being written: {batch}")
+        attempt = self._open[batch] = self._next_attempt(run, stage)
+        try:
+            yield
+            names = sorted(set(self._written.get(attempt, [])))
+            if names:
+                spec = {BATCH_RUN: run, BATCH_STAGE: stage, BATCH_ATTEMPT: attempt, COMMITTED: "+".join(names)}
+                self.spark.sql(f"ALTER TABLE {self.database}.{COMMITS} ADD PARTITION ({self._spec(spec)})")
+        finally:
+            del self._open[batch]
+            self._written.pop(attempt, None)
+        for name in names:
+            self._drop(name, [p for p in self._partitions(name, run, stage) if p[BATCH_ATTEMPT] != attempt])
+        earlier = [p for p in self._partitions(COMMITS, run, stage) if p[BATCH_ATTEMPT] != attempt]
+        self._drop(COMMITS, [p for p in earlier if set(p[COMMITTED].split("+")) <= set(names)])
+
+    def drop_leftovers(self) -> None:
+        """Drop the partitions of attempts that broke off and were never made again; not while others write."""
+        for name in LAYOUT:
+            if name != COMMITS:
+                live = self._live(name)
+                self._drop(name, [p for p in self._partitions(name)
+                                  if live.get((p[BATCH_RUN], p[BATCH_STAGE])) != p[BATCH_ATTEMPT]])
 
-    def _partitions(self, name: str, run: str, stage: str) -> list[dict[str, str]]:
-        """Partitions of a batch, as the catalog lists them: one, or one per date."""
-        spec = f"{BATCH_RUN}={_quoted(run)}, {BATCH_STAGE}={_quoted(stage)}"
-        listed = self.spark.sql(f"SHOW PARTITIONS {self.database}.{name} PARTITION ({spec})")
+    def _next_attempt(self, run: str, stage: str) -> str:
+        """A name for a new attempt that sorts after those committed for the batch."""
+        numbers = [int(p[BATCH_ATTEMPT].split("-")[0]) for p in self._partitions(COMMITS, run, stage)]
+        return f"{max(numbers, default=0) + 1:06d}-{uuid4().hex[:12]}"
+
+    def _live(self, name: str) -> dict[tuple[str, str], str]:
+        """The latest committed attempt of each batch with rows of a table."""
+        live: dict[tuple[str, str], str] = {}
+        for commit in self._partitions(COMMITS):
+            if name in commit[COMMITTED].split("+"):
+                batch = commit[BATCH_RUN], commit[BATCH_STAGE]
+                live[batch] = max(live.get(batch, ""), commit[BATCH_ATTEMPT])
+        return live
+
+    def _wrote(self, name: str, batch: tuple[str, str], attempt: str) -> bool:
+        return self._open.get(batch) == attempt and name in self._written.get(attempt, [])
+
+    @staticmethod
+    def _spec(values: dict[str, str]) -> str:
+        return ", ".join(f"{c}={'NULL' if v == NO_DATE else _quoted(v)}" for c, v in values.items())
+
+    def _partitions(self, name: str, run: str | None = None, stage: str | None = None) -> list[dict[str, str]]:
+        """Partitions of a table, or of one batch (one, or one per date), as the catalog lists them."""
+        spec = f" PARTITION ({self._spec({BATCH_RUN: run, BATCH_STAGE: stage})})" if run is not None else ""
+        listed = self.spark.sql(f"SHOW PARTITIONS {self.database}.{name}{spec}")
         # Names are listed as in paths, with the odd characters escaped.
         return [
             {column: unquote(value) for column, value in (part.split("=", 1) for part in row[0].split("/"))}
@@ -127,13 +202,10 @@ class Lake:
 
     def _drop(self, name: str, partitions: list[dict[str, str]]) -> None:
         for partition in partitions:
-            spec = ", ".join(
-                f"{column}={'NULL' if value == NO_DATE else _quoted(value)}" for column, value in partition.items()
-            )
-            self.spark.sql(f"ALTER TABLE {self.database}.{name} DROP IF EXISTS PARTITION ({spec})")
+            self.spark.sql(f"ALTER TABLE {self.database}.{name} DROP IF EXISTS PARTITION ({self._spec(partition)})")
 
     def batch(self, name: str, run: str, stage: str) -> DataFrame:
-        """The rows that a batch wrote."""
+        """The rows that a batch wrote; inside `one_batch`, also those not published yet."""
         columns, _ = LAYOUT[name]
         ours = (F.col(BATCH_RUN) == run) & (F.col(BATCH_STAGE) == stage)
         return self.table(name).where(ours).select(*[f.name for f in columns])
@@ -147,16 +219,16 @@ class Lake:
         if skip_stages:
             redone = (F.col(BATCH_RUN) == skip_run) & F.col(BATCH_STAGE).isin(*skip_stages)
             versions = versions.where(~redone)
-        return versions.drop(BATCH_RUN, BATCH_STAGE)
+        return versions.drop(*_BATCH_NAMES)
 
     def registry(self, skip_run: str = "", skip_stages: tuple[str, ...] = ()) -> DataFrame:
         return latest.current_registry(self.registry_versions(skip_run, skip_stages))
 
     def config(self) -> DataFrame:
-        return latest.current_config(self.table(CONFIG).drop(BATCH_RUN, BATCH_STAGE))
+        return latest.current_config(self.table(CONFIG).drop(*_BATCH_NAMES))
 
     def change_log(self) -> DataFrame:
-        return self.table(CHANGE_LOG).drop(BATCH_RUN, BATCH_STAGE)
+        return self.table(CHANGE_LOG).drop(*_BATCH_NAMES)
 
     def events(self, since=None, run: str | None = None) -> DataFrame:
         """Lifecycle events; a lower time bound prunes the partitions by date, a run id those of other runs' batches."""
@@ -165,20 +237,28 @@ class Lake:
             rows = rows.where(F.col(BATCH_RUN) == run)
         if since is not None:
             rows = rows.where((F.col(EVENT_DATE) >= F.lit(since.date())) & (F.col("event_timestamp") > times.ntz(since)))
-        return rows.drop(EVENT_DATE, BATCH_RUN, BATCH_STAGE)
+        return rows.drop(EVENT_DATE, *_BATCH_NAMES)
 
     def compact_registry(self, run: str) -> None:
-        """Replace the registry versions written so far by the current row of each element.
+        """Replace the registry versions written so far by the current row of each element."""
+        self._compact(REGISTRY, run, latest.current_registry)
+
+    def compact_config(self, run: str) -> None:
+        """Replace the configuration's versions by the current one of each key. The change log keeps the history."""
+        self._compact(CONFIG, run, latest.current_config)
 
-        Batches that appear meanwhile stay as they are. The old batches are dropped only
-        after the compacted rows are written, so that a failure in between loses nothing.
+    def _compact(self, name: str, run: str, current) -> None:
+        """Fold the batches of a table into one.
+
+        Batches that appear meanwhile stay as they are. The old batches are dropped only after the compacted rows are
+        published, so that a failure in between loses nothing: the latest version counts, whether once or twice there.
         """
-        versions = self.table(REGISTRY)
-        # One row per batch: a batch is a stage of a run.
-        batches = [tuple(row) for row in versions.select(BATCH_RUN, BATCH_STAGE).distinct().collect()]
+        batches = sorted(self._live(name))
         if not batches or (run, COMPACTION) in batches:
             return
         known = F.concat_ws("/", BATCH_RUN, BATCH_STAGE).isin(*["/".join(b) for b in batches])
-        live = latest.current_registry(versions.where(known).drop(BATCH_RUN, BATCH_STAGE))
-        self.write_batch(REGISTRY, live, run, COMPACTION)
-        self._drop(REGISTRY, [{BATCH_RUN: run, BATCH_STAGE: stage} for run, stage in batches])
+        live = current(self.table(name).where(known).drop(*_BATCH_NAMES))
+        self.write_batch(name, live, run, COMPACTION)
+        for batch in batches:
+            self._drop(name, self._partitions(name, *batch))
+            self._drop(COMMITS, [p for p in self._partitions(COMMITS, *batch) if p[COMMITTED] == name])

@@ -16,7 +16,8 @@ from uuid import uuid4
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from frostline import constants as C
@@ -96,6 +97,40 @@ def _put(filesystem, path: str, chunks) -> None:
         filesystem.move(target, path)
 
 
+def balanced(rows: DataFrame, partitions: int | None = None, least_bytes: int = 64 * 1024) -> DataFrame:
+    """Deal objects (with a column size) out to tasks with nearly equal bytes.
+
+    The mean load is the sum over `partitions`; an object counts least_bytes at least, for what opening it costs. Objects
+    above half the mean load get a task each. The others are cut, in the order they come, where their running sum passes
+    a multiple of the mean load, so that no task has more than 1.5 times that. Running sums are taken inside the parts
+    that the rows come in, and from one sum per part. The order of the rows in a task is no one's business.
+    """
+    n = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = written(
+        rows.withColumn("_bytes", F.greatest(F.coalesce(F.col("size").cast("bigint"), F.lit(0)), F.lit(least_bytes)))
+        .withColumn("_part", F.spark_partition_id())
+        .withColumn("_row", F.monotonically_increasing_id()),
+        "loads",
+    )
+    load = max(1, -(-(parts.agg(F.sum("_bytes")).first()[0] or 0) // n))
+    big = F.col("_bytes") * 2 > load
+    small = F.when(big, F.lit(0)).otherwise(F.col("_bytes"))
+    order = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = parts.groupBy("_part").agg(F.sum(small).alias("_sum"), F.sum(big.cast("bigint")).alias("_n")).select(
+        "_part", F.coalesce(F.sum("_sum").over(order), F.lit(0)).alias("_sum0"),
+        F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_n0"),
+    )  # one row for each part that the rows come in
+    inside = Window.partitionBy("_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = parts.withColumn("_small", F.sum(small).over(inside) - small).withColumn("_big", F.sum(big.cast("bigint")).over(inside))
+    slots = running.join(before, "_part").withColumn(
+        "_slot",
+        F.when(big, F.lit(n) + F.col("_n0") + F.col("_big") - 1)
+        .otherwise(F.floor((F.col("_sum0") + F.col("_small")) / load)).cast("int"),
+    )
+    # Fewer than 2n objects can each hold more than half of the n-th part of the bytes.
+    return slots.repartitionById(3 * n, "_slot").select(*rows.columns)
+
+
 def _spread(rows: DataFrame, partitions: int | None) -> DataFrame:
     """Spread objects over tasks by handle; a manifest alone would be one small partition."""
     n = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -205,6 +240,7 @@ def copy_jobs(
         "handle",
         F.concat_ws("/", "bucket", paths.s3_key(F.col("path"), root)).alias("source_key"),
         F.concat_ws("/", F.lit(settings.bucket), paths.aws_key(F.col("path"))).alias("dest_key"),
+        "size",
         object_metadata(
             metadata_prefix, F.col("handle"), F.col("reg_id"), F.col("path"), F.lit(cluster),
             times.iso_format(times.ntz(as_of)), F.lit(""), F.lit(settings.storage_class),
@@ -218,7 +254,8 @@ def copy_objects(
 ) -> DataFrame:
     """Copy objects and, to verify, read the copies back. One COPY_RESULTS row per job.
 
-    A failure of one object becomes its ERROR row; it does not stop the others.
+    A failure of one object becomes its ERROR row; it does not stop the others. The copies are made by this call, once,
+    and the results kept as a table; tasks get equal loads by the jobs' column size (without it, equal numbers).
     """
 
     def copy(batches):
@@ -253,11 +290,15 @@ def copy_objects(
             frame["metadata_json"] = batch["metadata_json"].to_numpy()
             yield frame
 
-    packed = jobs.select("handle", "source_key", "dest_key", F.to_json("metadata").alias("metadata_json"))
-    done = _spread(packed, partitions).mapInPandas(
-        copy,
-        "handle string, source_md5 string, destination_md5 string, bytes_copied bigint, "
-        "status string, error string, metadata_json string",
+    size = F.col("size") if "size" in jobs.columns else F.lit(0)
+    packed = jobs.select("handle", "source_key", "dest_key", F.to_json("metadata").alias("metadata_json"), size.alias("size"))
+    done = written(
+        balanced(packed, partitions).drop("size").mapInPandas(
+            copy,
+            "handle string, source_md5 string, destination_md5 string, bytes_copied bigint, "
+            "status string, error string, metadata_json string",
+        ),
+        "copies",
     )
     md5_key = f"{metadata_prefix}-source-md5"
     known = F.from_json("metadata_json", "map<string,string>")
@@ -272,6 +313,56 @@ def copy_objects(
 _RESULT_COLUMNS = ["source_md5", "destination_md5", "bytes_copied", "status", "error"]
 
 
+# The lineage of copied objects, kept with them: a second source of truth beside the tables.
+LINEAGE_DIR = "_lineage"
+_LINEAGE = "aws_bucket string, aws_key string, metadata map<string,string>, attempt string"
+_PUBLISHED = "batch string, attempt string, number bigint"
+
+
+def _lineage_dir(root: str, part: str) -> str:
+    """A folder of the lineage below a store's root, in Hadoop's spelling."""
+    return f"{re.sub('^s3://', 's3a://', root).rstrip('/')}/{LINEAGE_DIR}/{part}"
+
+
+def _published(spark: SparkSession, root: str) -> DataFrame | None:
+    try:
+        return spark.read.schema(_PUBLISHED).parquet(_lineage_dir(root, "published"))
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def publish_lineage(copies: DataFrame, root: str, batch: str) -> None:
+    """Keep the metadata of copied objects (aws_bucket, aws_key, metadata) below their store's root, for a batch.
+
+    The rows go into a folder of their own. One small file that names it is put in place last and in one step; it
+    replaces what the batch published before, and readers follow these files only.
+    """
+    spark = copies.sparkSession
+    earlier = _published(spark, root)
+    number = 0 if earlier is None else earlier.where(F.col("batch") == batch).agg(F.max("number")).first()[0] or 0
+    attempt = uuid4().hex
+    copies.select("aws_bucket", "aws_key", "metadata").write.parquet(_lineage_dir(root, f"rows/attempt={attempt}"))
+    record = spark.range(1).select(
+        F.lit(batch).alias("batch"), F.lit(attempt).alias("attempt"), F.lit(number + 1).cast("bigint").alias("number")
+    )
+    record.coalesce(1).write.mode("append").parquet(_lineage_dir(root, "published"))
+
+
+def read_lineage(spark: SparkSession, root: str) -> DataFrame:
+    """aws_bucket, aws_key and metadata of the objects below a store's root, as published with them.
+
+    An object that several batches copied has a row of each. Needs no table of the lake.
+    """
+    published = _published(spark, root)
+    if published is None:
+        return spark.createDataFrame([], _LINEAGE).drop("attempt")
+    latest = published.groupBy("batch").agg(F.max_by("attempt", "number").alias("attempt")).select("attempt")
+    rows = spark.read.schema(_LINEAGE).parquet(_lineage_dir(root, "rows"))
+    return rows.join(latest, "attempt", "left_semi").drop("attempt")
+
+
 def probe_jobs(pending: DataFrame) -> DataFrame:
     """Cold-store keys of registry rows."""
     return pending.select(
@@ -280,8 +371,27 @@ def probe_jobs(pending: DataFrame) -> DataFrame:
     )
 
 
+def probe_listed(jobs: DataFrame, root: str) -> DataFrame:
+    """Look up whether objects exist in a listing of a local or Hadoop folder. One PROBE_RESULTS row per job.
+
+    Spark lists the folder in parallel and opens no file. Empty objects and names that begin with _ or . are not listed:
+    what the listing lacks is looked up one by one.
+    """
+    spark = jobs.sparkSession
+    place = re.escape("/" + re.sub("^[a-z0-9]+:", "", root).strip("/") + "/")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    listed = files.select(F.split("path", place, 2)[1].alias("of_key")).distinct()
+    wanted = jobs.select("handle", "key")
+    found = written(wanted.join(listed, F.ltrim(F.lit("/"), F.col("key")) == F.col("of_key"), "left"), "listed")
+    there = found.where(F.col("of_key").isNotNull()).select(
+        "handle", F.lit(C.FOUND).alias("status"), F.lit(None).cast("string").alias("error")
+    )
+    rest = found.where(F.col("of_key").isNull()).select("handle", "key")
+    return there.unionByName(probe_objects(rest, root)) if rest.limit(1).count() else there
+
+
 def probe_objects(jobs: DataFrame, root: str, partitions: int | None = None) -> DataFrame:
-    """Look up whether objects exist. One PROBE_RESULTS row per job."""
+    """Look up whether objects exist, one by one. One PROBE_RESULTS row per job."""
 
     def probe(batches):
         from pyarrow import fs

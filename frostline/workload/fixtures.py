@@ -43,6 +43,11 @@ def atime(key: str) -> str:
 _KIND = "event_id % 13"
 _COPIED = "c_custkey % 5 IN (1, 2, 3)"
 
+_DOCUMENT_FOLDER = "concat('/tenant/', coalesce(source, 'none'), '/', coalesce(lang, 'none'))"
+_DOCUMENT_NAME = "concat('d_', CAST(doc_id AS STRING), '.txt')"
+_DOCUMENT_PATH = f"concat({_DOCUMENT_FOLDER}, '/', {_DOCUMENT_NAME})"
+_DOCUMENT_KEY = f"regexp_replace({_DOCUMENT_PATH}, '^/+', '')"
+
 # name: (driver table, filter, [(expression, column)])
 TABLES = {
     "catalog_snapshot": (
@@ -196,6 +201,73 @@ TABLES = {
             ("CASE WHEN doc_id % 37 = 0 THEN concat(text, 'x') ELSE text END", "body"),
         ],
     ),
+    # Documents as files on the local store.
+    "document_catalog": (
+        "documents",
+        None,
+        [
+            (handle("doc_id"), "handle"),
+            (_DOCUMENT_FOLDER, "parent_path"),
+            (_DOCUMENT_NAME, "name"),
+            ("'txt'", "extension"),
+            ("CAST(length(hex(coalesce(text, ''))) / 2 AS BIGINT)", "size"),
+            (atime("doc_id"), "atime"),
+            ("TIMESTAMP '2023-06-01 00:00:00' + INTERVAL '1' SECOND * CAST(doc_id % 86400 AS INT)", "mtime"),
+            ("TIMESTAMP '2023-05-01 00:00:00'", "ctime"),
+            ("CASE WHEN doc_id % 7 = 0 THEN NULL ELSE concat('user', CAST(doc_id % 50 AS STRING)) END", "login_name"),
+            ("CASE WHEN doc_id % 9 = 0 THEN NULL ELSE 420 END", "nfs_mode_bits"),
+            ("CASE WHEN doc_id % 29 = 0 THEN 'DIR' ELSE 'FILE' END", "element_type"),
+            ("CAST(NULL AS STRING)", "tag_offload_status"),
+        ],
+    ),
+    # What earlier runs registered of them, copied or not.
+    "document_registry": (
+        "documents",
+        "doc_id % 13 = 0",
+        [
+            (handle("doc_id"), "element_handle"),
+            ("concat('reg-', CAST(doc_id AS STRING))", "registration_id"),
+            (_DOCUMENT_PATH, "original_path"),
+            ("coalesce(source, 'none')", "original_bucket"),
+            ("coalesce(source, 'none')", "original_view"),
+            (_DOCUMENT_NAME, "file_name"),
+            ("'txt'", "file_extension"),
+            ("CAST(length(hex(coalesce(text, ''))) / 2 AS BIGINT)", "file_size_bytes"),
+            ("TIMESTAMP '2023-05-01 00:00:00'", "file_ctime"),
+            ("TIMESTAMP '2023-06-01 00:00:00'", "file_mtime"),
+            (atime("doc_id"), "file_atime"),
+            ("concat('user', CAST(doc_id % 50 AS STRING))", "owner_uid"),
+            ("concat('user', CAST(doc_id % 50 AS STRING))", "owner_login"),
+            ("420", "nfs_mode_bits"),
+            ("CASE WHEN doc_id % 39 = 0 THEN 'LOCAL' ELSE 'BOTH' END", "current_location"),
+            ("CASE WHEN doc_id % 39 = 0 THEN NULL ELSE 'corp-cold-tier' END", "current_aws_bucket"),
+            (f"CASE WHEN doc_id % 39 = 0 THEN NULL ELSE {_DOCUMENT_KEY} END", "current_aws_key"),
+            ("CASE WHEN doc_id % 39 = 0 THEN NULL ELSE 'us-east-1' END", "current_aws_region"),
+            ("TIMESTAMP '2024-01-02 02:00:00'", "registered_at"),
+            ("TIMESTAMP '2024-01-02 02:00:01'", "last_state_change"),
+            ("CASE WHEN doc_id % 39 = 0 THEN NULL ELSE md5(coalesce(text, '')) END", "source_md5"),
+            ("CASE WHEN doc_id % 39 = 0 THEN NULL ELSE md5(coalesce(text, '')) END", "destination_md5"),
+        ],
+    ),
+    # The objects that are there when a run begins: sources still to copy, and copies of earlier runs.
+    "document_sources": (
+        "documents",
+        "doc_id % 11 <> 0",
+        [
+            (handle("doc_id"), "handle"),
+            (f"concat(coalesce(source, 'none'), '/', {_DOCUMENT_KEY})", "key"),
+            ("coalesce(text, '')", "body"),
+        ],
+    ),
+    "document_copies": (
+        "documents",
+        "doc_id % 26 = 0 AND doc_id % 39 <> 0",
+        [
+            (handle("doc_id"), "handle"),
+            (f"concat('corp-cold-tier/', {_DOCUMENT_KEY})", "key"),
+            ("coalesce(text, '')", "body"),
+        ],
+    ),
     # Metadata of the objects in the cold store; some lie elsewhere, some differ from the registry.
     "dest_metadata": (
         "orders",

@@ -145,37 +145,6 @@ def _(t):
     return reconcile.layer_reconcile(t.asset_registry, t.catalog_snapshot, t.audit_table, t.dest_metadata)
 
 
-METADATA_SQL = """SELECT element_handle, registration_id, original_path, source_cluster, offload_timestamp,
- source_md5, aws_storage_class, aws_bucket, aws_key FROM dest_metadata"""
-
-
-def _metadata(t):
-    """Cold objects with their metadata as a map, as a listing gives it."""
-    packed = objects.object_metadata(
-        "source", F.col("element_handle"), F.col("registration_id"), F.col("original_path"),
-        F.col("source_cluster"), F.col("offload_timestamp"), F.col("source_md5"), F.col("aws_storage_class"),
-    )
-    return t.dest_metadata.select("aws_bucket", "aws_key", packed.alias("metadata"))
-
-
-def _lineage(t):
-    return _metadata(t).select("aws_bucket", "aws_key", *objects.metadata_fields(F.col("metadata"), "source"))
-
-
-@query("object_metadata_scan", METADATA_SQL, "dest_metadata")
-def _(t):
-    return _lineage(t)
-
-
-@query("rebuild_registry_from_dest",
-       """SELECT element_handle, registration_id, original_path,
-       regexp_extract(original_path, '[^/]*$') AS file_name, 'AWS' AS current_location,
-       aws_bucket AS current_aws_bucket, aws_key AS current_aws_key, source_md5 FROM dest_metadata
-       WHERE element_handle NOT IN (SELECT element_handle FROM asset_registry)""", "dest_metadata", REG)
-def _(t):
-    return reconcile.rebuild_registry(_lineage(t), t.asset_registry)
-
-
 # Checksums of object bodies
 
 @query("md5", "SELECT handle, md5(body) AS md5 FROM source_objects", "source_objects")

@@ -4,6 +4,7 @@ The batch size limits discover_candidates, candidate_manifest and stage_discover
 a run. The other queries put every cold file through the stages.
 """
 
+from datetime import datetime, timedelta
 from functools import reduce
 from uuid import uuid4
 
@@ -15,8 +16,9 @@ from frostline import schemas
 from frostline.functions import times
 from frostline.functions.settings import Settings
 from frostline.operators import latest
-from frostline.plans import discover, offload, purge
+from frostline.plans import config, discover, offload, purge, run
 from frostline.plans import registry as changes
+from frostline.reports import reconcile
 from frostline.sources import lake as tables
 from frostline.sources import objects
 from frostline.sources.lake import Lake
@@ -400,6 +402,122 @@ def _(t):
     )
 
 
+# A run over real objects: documents as files, with the configuration in the tables
+
+RUN_SETTINGS = Settings(
+    C.DEFAULT_CONFIG
+    | {"source_paths": "/tenant", "dry_run": "false", "auto_delete_local": "true", "batch_size": "1000000000"},
+    SETTINGS.bootstrap,
+)
+
+
+def _world(t):
+    """Tables with an earlier run's registry and the configuration, and the roots of the two stores."""
+    lake, root = _new_lake(t.spark), scratch_dir(t.spark, "stores")
+    for folder, rows in (("source", t.document_sources), ("cold", t.document_copies)):
+        written(objects.write_objects(rows, f"{root}/{folder}"), "staged")
+    lake.write_batch(tables.REGISTRY, t.document_registry, "earlier", "offload")
+    config.seed(lake, AS_OF - timedelta(days=9))
+    changed = {k: v for k, v in RUN_SETTINGS.values.items() if v != C.DEFAULT_CONFIG[k]}
+    config.update_all(lake, changed, "admin", "go live", AS_OF - timedelta(days=8))
+    return lake, f"{root}/source", f"{root}/cold"
+
+
+def _run(t):
+    lake, source, cold = _world(t)
+    run.run_all(lake, t.document_catalog, AS_OF, source, cold, RUN_SETTINGS.bootstrap, RUN)
+    return lake, cold
+
+
+DOCUMENT_RUN = {
+    "catalog_snapshot": "SELECT * FROM document_catalog",
+    "asset_registry": "SELECT * FROM document_registry",
+    "cold_files": f"SELECT {CATALOG_SQL} FROM catalog_snapshot WHERE {COLD_SQL}",
+    "candidates": CANDIDATES_SQL,
+    "copy_results": """SELECT s.handle, md5(s.body) AS source_md5, md5(s.body) AS destination_md5, 'COPIED' AS status,
+ CAST(NULL AS VARCHAR) AS error FROM document_sources s""",
+    "outcomes": OUTCOMES_SQL,
+} | {k: STATES[k] for k in ("known_assets", "copied")} | {
+    "after_offload": AFTER["after_offload"],
+    "probe_results": """SELECT element_handle AS handle, CASE WHEN element_handle IN (SELECT handle FROM document_copies)
+ OR element_handle IN (SELECT element_handle FROM copied) THEN 'FOUND' ELSE 'NOT_FOUND' END AS status,
+ CAST(NULL AS VARCHAR) AS error FROM after_offload""",
+    "plan": AFTER["plan"],
+}
+DOCUMENT_TABLES = ("document_catalog", "document_registry", "document_sources", "document_copies")
+EVENTS_SQL = " UNION ALL ".join((DISCOVER_SQL, OFFLOAD_SQL, PURGE_SQL)).replace(SETTINGS.snapshot(), RUN_SETTINGS.snapshot())
+
+
+@query("whole_run",
+       f"""SELECT 'event' AS record, element_handle, registration_id, event_type AS what, event_timestamp AS at,
+       source_path AS path, destination_path AS place, file_size_bytes AS size, success, checksum_value AS checksum,
+       CASE WHEN event_type <> 'COPY_FAILED' THEN error_message END AS note, config_snapshot FROM ({EVENTS_SQL})
+       UNION ALL
+       SELECT 'asset', a.element_handle, registration_id,
+       CASE WHEN p.deletable THEN 'LOCAL_DELETED' ELSE a.current_location END,
+       CASE WHEN p.deletable THEN {_at(6)} ELSE a.last_state_change END, a.original_path, a.current_aws_key,
+       a.file_size_bytes, NULL, a.destination_md5, a.current_aws_bucket, NULL
+       FROM after_offload a LEFT JOIN (SELECT element_handle, deletable FROM plan) p
+       ON a.element_handle = p.element_handle""", *DOCUMENT_TABLES, extra=DOCUMENT_RUN)
+def _(t):
+    """Events and registry after discovery, copies of real objects, look-ups and purge, from the tables' configuration."""
+    lake, _ = _run(t)
+    none = F.lit(None)
+    events = lake.events(run=RUN).select(
+        F.lit("event").alias("record"), "element_handle", "registration_id", F.col("event_type").alias("what"),
+        F.col("event_timestamp").alias("at"), F.col("source_path").alias("path"), F.col("destination_path").alias("place"),
+        F.col("file_size_bytes").alias("size"), "success", F.col("checksum_value").alias("checksum"),
+        # The text of a failure names the folder that the query wrote to.
+        F.when(F.col("event_type") != C.COPY_FAILED, F.col("error_message")).alias("note"), "config_snapshot",
+    )
+    assets = lake.registry().select(
+        F.lit("asset").alias("record"), "element_handle", "registration_id", F.col("current_location").alias("what"),
+        F.col("last_state_change").alias("at"), F.col("original_path").alias("path"),
+        F.col("current_aws_key").alias("place"), F.col("file_size_bytes").alias("size"),
+        none.cast("boolean").alias("success"), F.col("destination_md5").alias("checksum"),
+        F.col("current_aws_bucket").alias("note"), none.cast("string").alias("config_snapshot"),
+    )
+    return events.unionByName(assets)
+
+
+LINEAGE_SQL = """SELECT handle AS element_handle, reg_id AS registration_id, path AS original_path,
+ 'cluster-01' AS source_cluster, '2024-01-31T00:00:00' AS offload_timestamp, source_md5,
+ 'INTELLIGENT_TIERING' AS aws_storage_class, 'corp-cold-tier' AS aws_bucket, key AS aws_key
+ FROM outcomes WHERE status = 'COPIED'"""
+
+
+def _lineage(spark, cold):
+    return objects.read_lineage(spark, cold).select(
+        *objects.metadata_fields(F.col("metadata"), "source"), "aws_bucket", "aws_key"
+    )
+
+
+@query("object_metadata_scan", LINEAGE_SQL, *DOCUMENT_TABLES, extra=DOCUMENT_RUN)
+def _(t):
+    """What a run left beside its copies, read after the tables are gone."""
+    lake, cold = _run(t)
+    t.spark.sql(f"DROP DATABASE {lake.database} CASCADE")
+    return _lineage(t.spark, cold)
+
+
+@query("rebuild_registry_from_dest",
+       f"""SELECT element_handle, registration_id, original_path,
+       regexp_extract(original_path, '[^/]*$') AS file_name, 'AWS' AS current_location,
+       aws_bucket AS current_aws_bucket, aws_key AS current_aws_key, source_md5 FROM ({LINEAGE_SQL})
+       WHERE element_handle NOT IN (SELECT handle FROM catalog_snapshot WHERE mtime >= TIMESTAMP '2023-06-01 00:05:00')""",
+       *DOCUMENT_TABLES, extra=DOCUMENT_RUN)
+def _(t):
+    """The registry is lost but for the files registered since; the rest comes back from what lies with the copies."""
+    lake, cold = _run(t)
+    t.spark.sql(f"DROP DATABASE {lake.database} CASCADE")
+    lake = _new_lake(t.spark)
+    since = times.ntz(datetime(2023, 6, 1, 0, 5))
+    files = t.document_catalog.where(F.col("mtime") >= since).withColumn("known_registration_id", F.lit(None).cast("string"))
+    lake.write_batch(tables.REGISTRY, discover.registrations(files.withColumn("registration_id", F.col("handle")), AS_OF),
+                     "since", "discover")
+    return reconcile.rebuild_registry(_lineage(t.spark, cold), lake.registry())
+
+
 # Objects as files in the shared folder, one per document
 
 def _staged(t):
@@ -420,7 +538,7 @@ def _(t):
     staged, root = _staged(t)
     jobs = staged.select(
         "handle", F.col("key").alias("source_key"), F.concat(F.lit("cold/"), F.col("key")).alias("dest_key"),
-        F.create_map(F.lit("source-source-md5"), F.lit("")).alias("metadata"),
+        "size", F.create_map(F.lit("source-source-md5"), F.lit("")).alias("metadata"),
     )
     copies = objects.copy_objects(jobs, f"{root}/source", f"{root}/cold", verify=True)
     return copies.withColumn("recorded_md5", F.col("metadata")["source-source-md5"]).drop("metadata")
@@ -431,7 +549,7 @@ def _(t):
        "source_objects")
 def _(t):
     staged, root = _staged(t)
-    return objects.stream_digests(staged, f"{root}/source")
+    return objects.file_digests(staged, f"{root}/source").select("handle", "md5", "size", "error")
 
 
 @query("object_checksums_files",
@@ -448,4 +566,4 @@ def _(t):
 def _(t):
     _, root = _staged(t)
     wanted = t.dest_objects.select(F.col("key").alias("handle"), "key")
-    return objects.probe_objects(wanted, f"{root}/source")
+    return objects.probe_listed(wanted, f"{root}/source")

@@ -98,3 +98,41 @@ def test_tasks_do_not_import_the_package(tmp_path):
     )
     ran = subprocess.run([sys.executable, "-c", code], cwd="/", capture_output=True, text=True, timeout=100)
     assert ran.stdout.strip() == "5eb63bbbe01eeed093cb22bb8f5acdc3", ran.stderr
+
+
+def test_tasks_get_equal_bytes(spark):
+    """Sizes over six orders of magnitude: no task over 1.5 times the mean load, unless it is one object."""
+    sizes = [10 ** (3 + i % 7) + i for i in range(700)] + [10**11]
+    rows = spark.createDataFrame(list(enumerate(sizes)), "handle long, size long").repartition(5)
+    for n, least in ((8, 1), (40, 1), (3, 65536)):
+        dealt = objects.balanced(rows, n, least).withColumn("task", F.spark_partition_id()).collect()
+        assert sorted(r.handle for r in dealt) == list(range(701))
+        load, count = {}, {}
+        for r in dealt:
+            load[r.task] = load.get(r.task, 0) + max(r["size"], least)
+            count[r.task] = count.get(r.task, 0) + 1
+        mean = sum(load.values()) / n
+        assert all(weight <= 1.5 * mean + 1 or count[task] == 1 for task, weight in load.items())
+    assert objects.balanced(rows.limit(0), 4).count() == 0
+    unknown = rows.withColumn("size", F.lit(None).cast("long"))
+    tasks = [r["count"] for r in objects.balanced(unknown, 7).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == 701 and max(tasks) <= 1.5 * 701 / 7 + 1
+
+
+def test_copies_are_made_once(spark, tmp_path):
+    source, dest = tmp_path / "s", tmp_path / "d"
+    source.mkdir(), dest.mkdir()
+    (source / "a").write_bytes(b"body")
+    copies = objects.copy_objects(jobs(spark, ("1", "a", "a")), str(source), str(dest), True, "p")
+    (source / "a").write_bytes(b"changed")
+    assert [r.source_md5 for r in copies.collect()] == [hashlib.md5(b"body").hexdigest()]
+    assert (dest / "a").read_bytes() == b"body" and copies.count() == 1
+
+
+def test_listing_finds_what_single_looks_find(spark, tmp_path):
+    bodies = [("1", "a/b.txt", "x"), ("2", "c d.txt", ""), ("3", "_e/x", "hidden")]
+    table = spark.createDataFrame(bodies, "handle string, key string, body string")
+    objects.write_objects(table, f"{tmp_path}/source").collect()
+    wanted = table.select("handle", "key").unionByName(spark.createDataFrame([("4", "gone"), ("5", "a/b.txt"), ("6", None)], "handle string, key string"))
+    got = {r.handle: r.status for r in objects.probe_listed(wanted.where("key IS NOT NULL"), f"{tmp_path}/source").collect()}
+    assert got == {"1": C.FOUND, "2": C.FOUND, "3": C.FOUND, "4": C.NOT_FOUND, "5": C.FOUND}

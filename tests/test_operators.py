@@ -201,3 +201,14 @@ def test_lookup_splits_a_hot_key_of_an_aggregated_table(spark):
         for key in conf:
             spark.conf.unset(key)
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_first_rows_of_many(spark, monkeypatch):
+    from frostline.operators import first_rows
+
+    rows = spark.range(1000).select((F.col("id") * 37 % 101).alias("at"), "id").repartition(6)
+    want = sorted((i * 37 % 101, i) for i in range(1000))
+    monkeypatch.setattr(first_rows, "FEW", 10)
+    for n in (0, 3, 10, 11, 500, 999, 1000, 5000):
+        got = sorted(tuple(r) for r in first_rows.first_rows(rows, ["at", "id"], n).collect())
+        assert got == want[:n], n

@@ -11,6 +11,7 @@ from frostline.functions.settings import Settings
 from frostline.plans import config, discover, offload, purge, run
 from frostline.reports import reconcile
 from frostline.sources import lake as tables
+from frostline.sources import objects
 from frostline.sources.lake import Lake
 
 NOW = datetime(2024, 5, 1, 2)
@@ -246,3 +247,92 @@ def test_files_without_handle_are_never_taken_for_offloaded(spark):
     registry.createOrReplaceTempView("registry_seen")
     lost = spark.sql("SELECT * FROM files_seen WHERE handle NOT IN (SELECT element_handle FROM registry_seen)")
     assert lost.count() == 0
+
+
+@pytest.mark.parametrize("table, stage", [
+    (tables.REGISTRY, "discover"), (tables.EVENTS, "offload"), (tables.REGISTRY, "offload"), (tables.REGISTRY, "purge"),
+])
+def test_a_run_killed_between_two_writes_is_invisible(world, monkeypatch, table, stage):
+    """Readers see the stages before it whole, and nothing of the one that died."""
+    lake, catalog, source, dest = world
+    config.update(lake, "auto_delete_local", "true", "admin", "purge", NOW - timedelta(days=100))
+    write_batch = Lake.write_batch
+
+    def killed(self, name, rows, run_id, at):
+        if (name, at) == (table, stage):
+            raise OSError("driver lost")
+        return write_batch(self, name, rows, run_id, at)
+
+    with monkeypatch.context() as patch:
+        patch.setattr(Lake, "write_batch", killed)
+        with pytest.raises(OSError):
+            run.run_all(lake, catalog, NOW, source, dest)
+    reader = Lake(lake.spark, lake.database)  # of another process
+    stages = {"discover": [], "offload": ["discover"], "purge": ["discover", "offload"]}[stage]
+    for name in (tables.EVENTS, tables.REGISTRY, tables.CANDIDATES, tables.COPIES, tables.PROBES):
+        seen = {r.batch_stage for r in reader.table(name).select("batch_stage").distinct().collect()}
+        assert seen <= set(stages), name
+    assert {r.batch_stage for r in reader.table(tables.EVENTS).collect()} == set(stages)
+    states = {r.current_location for r in reader.registry().collect()}
+    assert states == {"discover": set(), "offload": {C.LOCAL}, "purge": {C.LOCAL, C.BOTH}}[stage]
+    assert reconcile.registry_vs_replay(reader.registry(), reader.events()).where("NOT agrees").count() == 0
+    assert lake.spark.table(f"{lake.database}.{tables.CANDIDATES}").count() > 0  # it had written something
+    run.run_all(reader, catalog, NOW, source, dest)
+    done = {r.current_location for r in reader.registry().collect()}
+    assert done == {C.LOCAL, C.LOCAL_DELETED}
+    rows = [lake.spark.table(f"{lake.database}.{n}").count() for n in (tables.EVENTS, tables.REGISTRY)]
+    assert rows == [reader.table(n).count() for n in (tables.EVENTS, tables.REGISTRY)]  # and no leftovers
+
+
+def test_earlier_rows_stay_while_a_batch_is_written_again(world):
+    lake, catalog, source, dest = world
+    run_id = run.run_all(lake, catalog, NOW, source, dest)
+    reader, before = Lake(lake.spark, lake.database), snapshot(lake)
+    with pytest.raises(OSError), lake.one_batch(run_id, "discover"):
+        lake.write_batch(tables.EVENTS, lake.events().limit(1), run_id, "discover")
+        assert lake.batch(tables.EVENTS, run_id, "discover").count() == 1  # the writer sees its own rows
+        assert snapshot(reader) == before
+        raise OSError("driver lost")
+    assert snapshot(lake) == snapshot(reader) == before
+    reader.drop_leftovers()
+    assert snapshot(lake) == before
+    assert lake.spark.table(f"{lake.database}.{tables.EVENTS}").count() == lake.events().count()
+
+
+def test_lineage_survives_the_tables(spark, world):
+    lake, catalog, source, dest = world
+    run_id = run.run_all(lake, catalog, NOW, source, dest)
+    assets = {r.element_handle: r for r in lake.registry().where("current_location = 'BOTH'").collect()}
+    objects.publish_lineage(objects.read_lineage(spark, dest), dest, run_id)  # a batch replaces itself
+    spark.sql(f"DROP DATABASE {lake.database} CASCADE")
+    found = {r.metadata["source-element-handle"]: r for r in objects.read_lineage(spark, f"file:{dest}").collect()}
+    assert set(found) == set(assets) == {f"0x{i}" for i in range(7) if i != 3}
+    for handle, row in found.items():
+        assert (row.aws_bucket, row.aws_key) == (assets[handle].current_aws_bucket, assets[handle].current_aws_key)
+        assert row.metadata["source-source-md5"] == assets[handle].source_md5
+        assert row.metadata["source-registration-id"] == assets[handle].registration_id
+
+
+def test_lineage_that_was_not_published_is_not_read(spark, world, monkeypatch):
+    _, _, _, dest = world
+    assert objects.read_lineage(spark, dest).collect() == []
+    rows = spark.createDataFrame([("b", "k", {"source-element-handle": "1"})], "aws_bucket string, aws_key string, metadata map<string,string>")
+    objects.publish_lineage(rows, dest, "first")
+    rows.write.parquet(f"{dest}/_lineage/rows/attempt=broken")
+    assert objects.read_lineage(spark, dest).count() == 1
+    objects.publish_lineage(rows, dest, "second")
+    assert objects.read_lineage(spark, dest).count() == 2
+
+
+def test_several_keys_change_together(world):
+    lake, *_ = world
+    config.update_all(lake, {"batch_size": "9", "dry_run": "false", "verify_checksum": "false"}, "admin", "x", NOW)
+    values = {r.config_key: r.config_value for r in lake.config().collect()}
+    assert (values["batch_size"], values["verify_checksum"]) == ("9", "false")
+    logged = {r.config_key for r in lake.change_log().where("change_reason = 'x'").collect()}
+    assert logged == {"batch_size", "verify_checksum"}
+    with pytest.raises(config.UnknownConfigKey):
+        config.update_all(lake, {"batch_size": "1", "odd": "1"}, "admin", "y", NOW)
+    lake.compact_config("c")
+    assert {r.config_key: r.config_value for r in lake.config().collect()} == values
+    assert lake.table(tables.CONFIG).count() == len(values)
