@@ -23,15 +23,16 @@ SLICE = "_slice"
 HOT_ROWS = 1_000_000
 
 
-def _cut(rows: DataFrame, keys: Sequence[str], at: str, slice_seconds: int, hot_rows: int) -> DataFrame:
-    """Add the time slice of the rows of hot keys; NULL for the others, which stay in one piece."""
-    rows = skew.classed(rows, keys)
-    hot = skew.hot_classes(rows, hot_rows)
-    return (
-        skew.flag_hot(rows, hot, "_hot")
-        .withColumn(SLICE, F.when(F.col("_hot"), time_slice(F.col(at), slice_seconds)))
-        .drop("_hot", skew.CLASS)
-    )
+def _tagged(rows: DataFrame, keys: Sequence[str], at: str, slice_seconds: int, hot_rows: int) -> tuple[DataFrame, bool]:
+    """(rows with their time slice, whether any key is hot): the one place where the rows of an input are read.
+
+    They are kept as a table, which the search for hot keys, the running values and the sums of slices all start from. The
+    slice is NULL for keys that are not hot, which stay in one piece.
+    """
+    kept = written(skew.classed(rows, keys), "timeline")
+    hot = written(skew.hot_classes(kept, hot_rows), "hot")
+    sliced = F.when(F.col("_hot"), time_slice(F.col(at), slice_seconds))
+    return skew.flag_hot(kept, hot, "_hot").withColumn(SLICE, sliced).drop("_hot", skew.CLASS), bool(hot.limit(1).count())
 
 
 def carry_last(
@@ -51,13 +52,16 @@ def carry_last(
     Keys and times must not be NULL.
     """
     order = [F.col(c) for c in (at, *tie)]
-    sliced = _cut(rows.withColumn("_value", value), keys, at, slice_seconds, hot_rows)
+    sliced, cut = _tagged(rows.withColumn("_value", value), keys, at, slice_seconds, hot_rows)
     group = [*keys, SLICE]
-
     upto = Window.currentRow if inclusive else -1
     inside = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, upto)
     local = sliced.repartition(*group).withColumn("_local", F.last("_value", ignorenulls=True).over(inside))
+    if not cut:
+        return local.withColumnRenamed("_local", out).drop("_value", SLICE)
 
+    # A slice maps the value that it starts with to the one that it ends with: to its own last value, or, without one, to
+    # the same. Such maps compose; the prefix over a key's slices composes them, one row for each.
     earlier = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     carried = (
         sliced.where(F.col(SLICE).isNotNull())
@@ -106,9 +110,8 @@ def marks_between(
         )
         .where(F.col(key).isNotNull() & F.col("_at").isNotNull())
     )
-    sliced = _cut(points, [key], "_at", slice_seconds, hot_rows).withColumn(
-        "_mark", F.when(F.col("_side") == 1, F.col("_at"))
-    )
+    sliced, cut = _tagged(points, [key], "_at", slice_seconds, hot_rows)
+    sliced = sliced.withColumn("_mark", F.when(F.col("_side") == 1, F.col("_at")))
     group = [key, SLICE]
     # Both frames grow row by row; a frame that shrinks would be computed anew for every row.
     grow = (Window.unboundedPreceding, Window.currentRow)
@@ -117,32 +120,32 @@ def marks_between(
     # Marks leave the stream as soon as the running values are known.
     local = sliced.repartition(*group).select(
         *group, probe_id, "_side",
-        F.count("_mark").over(back).alias("_n"),
+        F.count("_mark").over(back).alias("_upto"),
         F.max("_mark").over(back).alias("_prev"),
         F.min("_mark").over(ahead).alias("_next"),
     ).where(F.col("_side") != 1)
-
-    earlier = Window.partitionBy(key).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    later = Window.partitionBy(key).orderBy(F.desc(SLICE)).rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        sliced.where(F.col(SLICE).isNotNull())
-        .groupBy(*group)
-        .agg(F.count("_mark").alias("_c"), F.min("_mark").alias("_min"), F.max("_mark").alias("_max"))
-        .select(
-            *group,
-            F.sum("_c").over(earlier).alias("_n0"),
-            F.max("_max").over(earlier).alias("_prev0"),
-            F.min("_min").over(later).alias("_next0"),
+    if cut:
+        earlier = Window.partitionBy(key).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+        later = Window.partitionBy(key).orderBy(F.desc(SLICE)).rowsBetween(Window.unboundedPreceding, -1)
+        carried = (
+            sliced.where(F.col(SLICE).isNotNull())
+            .groupBy(*group)
+            .agg(F.count("_mark").alias("_c"), F.min("_mark").alias("_min"), F.max("_mark").alias("_max"))
+            .select(
+                *group,
+                F.sum("_c").over(earlier).alias("_n0"),
+                F.max("_max").over(earlier).alias("_prev0"),
+                F.min("_min").over(later).alias("_next0"),
+            )
+        )
+        local = local.join(carried, group, "left").select(
+            probe_id, "_side",
+            (F.col("_upto") + F.coalesce("_n0", F.lit(0))).alias("_upto"),
+            F.coalesce("_prev", "_prev0").alias("_prev"),
+            F.coalesce("_next", "_next0").alias("_next"),
         )
-    )
-    at_points = local.join(carried, group, "left").select(
-        probe_id, "_side",
-        (F.col("_n") + F.coalesce("_n0", F.lit(0))).alias("_upto"),
-        F.coalesce("_prev", "_prev0").alias("_prev"),
-        F.coalesce("_next", "_next0").alias("_next"),
-    )
     is_low, is_high = F.col("_side") == 0, F.col("_side") == 2
-    counted = at_points.groupBy(probe_id).agg(
+    counted = local.groupBy(probe_id).agg(
         (F.max(F.when(is_high, F.col("_upto"))) - F.max(F.when(is_low, F.col("_upto")))).alias("n_marks"),
         F.max(F.when(is_low, F.col("_next"))).alias("_first"),
         F.max(F.when(is_high, F.col("_prev"))).alias("_last"),
@@ -187,9 +190,9 @@ def _slices(rows: DataFrame, at: str, steps: DataFrame, slice_seconds: int, most
     rows, steps, level, finer = sliced(rows, at), sliced(steps, "at"), 0, width
     while finer > 1:
         counts = steps.where(F.col(_LEVEL) == level).groupBy(SLICE, _LEVEL).agg(F.count("*").alias("_n"))
-        dense = written(counts.where(F.col("_n") > most).select(SLICE, _LEVEL), "dense")
-        if not dense.limit(1).count():
+        if (counts.agg(F.max("_n")).first()[0] or 0) <= most:
             break
+        dense = written(counts.where(F.col("_n") > most).select(SLICE, _LEVEL), "dense")
         level, finer = level + 1, -(-finer // FINER)
         rows, steps = _finer(rows, dense, finer), written(_finer(steps, dense, finer), "steps")
 

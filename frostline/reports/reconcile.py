@@ -8,6 +8,7 @@ from frostline.functions import paths
 from frostline.functions.settings import json_field
 from frostline.operators import skew, timeline
 from frostline.operators.latest import current_config
+from frostline.sources.shared import written
 
 
 def current_value(config: DataFrame, key: str) -> Column:
@@ -72,11 +73,15 @@ def audit_corroborate(
 ) -> DataFrame:
     """Per event of a type, the audit rows on its path within a time span before and after it.
 
-    Returns the number of witnesses and the first and last of them.
+    Returns the number of witnesses and the first and last of them. Events and log are each read once.
     """
     span = F.expr(f"INTERVAL {within}")
-    claims = events.where(F.col("event_type") == event_type).select(
-        "event_id", "element_handle", "source_path", "event_timestamp"
+    # Kept as a table: what is sought in the log, the points in time and the result all start from it.
+    claims = written(
+        events.where(F.col("event_type") == event_type).select(
+            "event_id", "element_handle", "source_path", "event_timestamp"
+        ),
+        "claims",
     )
     seen = audit.where(F.col("operation").isin(*operations)).select(
         F.col("object_path").alias("source_path"), F.col("timestamp").alias("seen_at")

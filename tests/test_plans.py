@@ -133,3 +133,34 @@ def test_versions_are_reduced_before_the_shuffle(stored):
     lines = plan_of(latest.current_registry(stored("asset_registry"))).splitlines()
     exchange = next(i for i, line in enumerate(lines) if "Exchange hashpartitioning(element_handle" in line)
     assert any("WindowGroupLimit" in line and "Partial" in line for line in lines[exchange:])
+
+
+def scans(spark, job, folder):
+    """How often a job reads each row of a folder."""
+    reads = spark.sparkContext.accumulator(0)
+    rows = spark.read.parquet(folder)
+
+    def counted(batches):
+        for batch in batches:
+            reads.add(len(batch))
+            yield batch
+
+    job(rows.mapInPandas(counted, rows.schema)).collect()
+    return reads.value / rows.count()
+
+
+def test_inputs_of_running_values_are_read_once(spark, stored):
+    """Events for the replay; events and the audit log for the witnesses."""
+    for name in ("lifecycle_events", "audit_table"):
+        stored(name)
+    events, audit = f"{stored.root}/lifecycle_events", f"{stored.root}/audit_table"
+    assert scans(spark, reconcile.state_replay, events) == 1
+
+    def witnessed(events_read=None, audit_read=None):
+        return reconcile.audit_corroborate(
+            events_read or stored("lifecycle_events"), audit_read or stored("audit_table"), C.COPY_COMPLETED,
+            ("GetObject",), "1 HOUR",
+        )
+
+    assert scans(spark, lambda rows: witnessed(events_read=rows), events) == 1
+    assert scans(spark, lambda rows: witnessed(audit_read=rows), audit) == 1
