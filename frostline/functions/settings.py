@@ -76,3 +76,29 @@ def list_value(key: Column, value: Column) -> Column:
 
 def json_field(snapshot: Column, key: str) -> Column:
     return F.get_json_object(snapshot, f"$.{key}")
+
+
+def _escaped(char: Column) -> Column:
+    """One character as it stands in a JSON string of ASCII characters only."""
+    code, beyond = F.ascii(char), F.ascii(char) - 0x10000
+    unit = lambda number: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(number)), 4, "0"))
+    text = F.when(code > 0xFFFF, F.concat(
+        unit(F.shiftright(beyond, 10) + 0xD800), unit(beyond.bitwiseAND(0x3FF) + 0xDC00)
+    )).when((code < 0x20) | (code > 0x7E), unit(code)).otherwise(char)
+    for plain, name in (("\\", "\\"), ('"', '"'), ("\n", "n"), ("\r", "r"), ("\t", "t"), ("\b", "b"), ("\f", "f")):
+        text = F.when(char == plain, F.lit("\\" + name)).otherwise(text)
+    return text
+
+
+def json_text(value: Column) -> Column:
+    """A text as a JSON string, all but plain ASCII escaped; null for NULL."""
+    escaped = F.array_join(F.transform(F.split(value, ""), _escaped), "")
+    content = F.when(value.rlike(r"\A[ !#-\[\]-~]*\z"), value).otherwise(escaped)
+    return F.coalesce(F.concat(F.lit('"'), content, F.lit('"')), F.lit("null"))
+
+
+def snapshot_text(key: Column, value: Column) -> Column:
+    """Aggregate: the settings of a group, one row per key, as sorted JSON. The text is that of Settings.snapshot."""
+    entries = F.array_sort(F.collect_list(F.struct(key.alias("key"), value.alias("value"))))
+    pairs = F.transform(entries, lambda e: F.concat(json_text(e["key"]), F.lit(": "), json_text(e["value"])))
+    return F.concat(F.lit("{"), F.array_join(pairs, ", "), F.lit("}"))

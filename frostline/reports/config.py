@@ -2,7 +2,7 @@
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from frostline.functions import settings
@@ -63,3 +63,39 @@ def config_as_of(events: DataFrame, log: DataFrame, key: str) -> DataFrame:
         events.select("event_id", "element_handle", "event_timestamp"), "event_timestamp",
         log.where(F.col("config_key") == key), "changed_at", "change_id", "new_value", "config_value",
     )
+
+
+def daily_snapshots(versions: DataFrame) -> DataFrame:
+    """day, snapshot: the configuration at the end of each day, from the first change to the last, as JSON.
+
+    A key's last value of a day holds until the day before its next change; the days between are written out, so that
+    the result has a row per key and day whatever the number of versions. Versions without a time are left out.
+    """
+    day = F.col("updated_at").cast("date")
+    last = versions.where(F.col("updated_at").isNotNull()).groupBy("config_key", day.alias("day")).agg(
+        F.max_by("config_value", F.struct("updated_at", "config_value")).alias("config_value")
+    )
+    following = F.lead("day").over(Window.partitionBy("config_key").orderBy("day"))
+    end = last.agg(F.max("day").alias("end"))
+    valid = last.withColumn("until", F.date_sub(following, 1)).join(F.broadcast(end)).select(
+        "config_key", "config_value", F.explode(F.sequence("day", F.coalesce("until", "end"))).alias("day")
+    )
+    return valid.groupBy("day").agg(settings.snapshot_text(F.col("config_key"), F.col("config_value")).alias("snapshot"))
+
+
+def event_snapshots(events: DataFrame, versions: DataFrame) -> DataFrame:
+    """event_id, settings, built: what an event recorded of the configuration, and the configuration of its day.
+
+    settings: `key=value` of the recorded snapshot, joined by semicolons; NULL for events without one. built: NULL on
+    days before the first change, and after the last the last one's.
+    """
+    entries = F.map_entries(F.from_json("config_snapshot", "map<string,string>"))
+    pairs = F.transform(F.array_sort(entries), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    days = daily_snapshots(versions)
+    newest_day = days.agg(F.max("day").alias("newest_day"))
+    rows = events.select(
+        "event_id", F.col("event_timestamp").cast("date").alias("on_day"), F.array_join(pairs, ";").alias("settings")
+    ).join(F.broadcast(newest_day))
+    return rows.join(days, F.least("on_day", "newest_day") == F.col("day"), "left").select(
+        "event_id", "settings", F.col("snapshot").alias("built")
+    )

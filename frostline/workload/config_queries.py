@@ -187,15 +187,30 @@ def _(t):
     return changes.rollback_requests(t.config_change_log, F.lit("admin"))
 
 
-@query("config_snapshot",
-       """SELECT e.event_id, string_agg(c.config_key || '=' || c.config_value, ';' ORDER BY c.config_key) AS settings
+STORED_SQL = """SELECT e.event_id, string_agg(c.config_key || '=' || c.config_value, ';' ORDER BY c.config_key) AS settings
        FROM (SELECT event_id, json_keys(config_snapshot) AS keys, config_snapshot FROM lifecycle_events
              WHERE config_snapshot IS NOT NULL) e,
        LATERAL (SELECT unnest(e.keys) AS config_key,
                 json_extract_string(e.config_snapshot, '$.' || unnest(e.keys)) AS config_value) c
-       GROUP BY e.event_id""", "lifecycle_events")
+       GROUP BY e.event_id"""
+# Every key's latest value at the end of each day. The values here need no escapes.
+BUILT_SQL = """SELECT day, '{' || string_agg('"' || config_key || '": "' || config_value || '"', ', ' ORDER BY config_key)
+ || '}' AS built FROM (
+   SELECT d.day, v.config_key, arg_max(v.config_value, (v.updated_at, v.config_value)) AS config_value
+   FROM (SELECT CAST(unnest(generate_series(min(updated_at)::DATE, max(updated_at)::DATE, INTERVAL 1 DAY)) AS DATE) AS day
+         FROM config_versions) d
+   JOIN config_versions v ON CAST(v.updated_at AS DATE) <= d.day GROUP BY d.day, v.config_key) GROUP BY day"""
+
+
+@query("config_snapshot",
+       """SELECT e.event_id, s.settings, b.built FROM lifecycle_events e LEFT JOIN stored s ON e.event_id = s.event_id
+       LEFT JOIN built b ON b.day = least(CAST(e.event_timestamp AS DATE), (SELECT max(day) FROM built))""",
+       "lifecycle_events", V, extra={"stored": STORED_SQL, "built": BUILT_SQL})
+def _(t):
+    """The snapshot that each event carries, and the one built from the configuration's versions."""
+    return config.event_snapshots(t.lifecycle_events, t.config_versions)
+
+
+@query("config_snapshot_by_day", "SELECT day, built AS snapshot FROM built", V, extra={"built": BUILT_SQL})
 def _(t):
-    entries = F.map_entries(F.from_json("config_snapshot", "map<string,string>"))
-    pairs = F.transform(F.array_sort(entries), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
-    snapshots = t.lifecycle_events.where(F.col("config_snapshot").isNotNull())
-    return snapshots.select("event_id", F.array_join(pairs, ";").alias("settings"))
+    return config.daily_snapshots(t.config_versions)

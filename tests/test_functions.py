@@ -211,3 +211,34 @@ def test_typed_values(spark):
     assert got["dry_run"] == (None, False, None)
     assert got["source_paths"] == (None, None, ["/a", "/b"])
     assert got["target_aws_bucket"] == (None, None, None)
+
+
+def test_snapshot_aggregate_gives_the_text_of_the_settings(spark):
+    import json
+
+    from frostline.functions.settings import snapshot_text
+
+    odd = {"a b": 'say "hi"', "back": "c:\\dir\\", "é": "ü – 日本 😀", "ctl": "\t\n\r\b\f\x00\x1f\x7f", "": "", "z": "plain ~", "Z": "x/y"}
+    rows = spark.createDataFrame([(g, k, v) for g in (1, 2) for k, v in odd.items()] + [(3, "k", None)], "g int, k string, v string")
+    got = {r.g: r.s for r in rows.groupBy("g").agg(snapshot_text(F.col("k"), F.col("v")).alias("s")).collect()}
+    assert got[1] == got[2] == json.dumps(odd, sort_keys=True)
+    assert got[3] == '{"k": null}'
+    assert r'"\u00e9": "\u00fc \u2013 \u65e5\u672c \ud83d\ude00"' in got[1] and r'"say \"hi\""' in got[1]
+
+
+def test_daily_snapshots_hold_until_the_next_change(spark):
+    from frostline import schemas
+    from frostline.reports import config
+
+    at = datetime(2024, 1, 1, 5)
+    rows = [("a", "1", "u", at, ""), ("a", "2", "u", at + timedelta(hours=1), ""), ("b", 'x"', "u", at + timedelta(days=2), ""),
+            ("a", "3", "u", at + timedelta(days=3), ""), ("c", "never", "u", None, "")]
+    versions = spark.createDataFrame(rows, schemas.OFFLOAD_CONFIG)
+    got = {str(r.day): r.snapshot for r in config.daily_snapshots(versions).collect()}
+    assert got == {"2024-01-01": '{"a": "2"}', "2024-01-02": '{"a": "2"}', "2024-01-03": '{"a": "2", "b": "x\\""}',
+                   "2024-01-04": '{"a": "3", "b": "x\\""}'}
+    events = spark.createDataFrame(
+        [("1", at, '{"k": "v"}'), ("2", at - timedelta(days=1), None), ("3", at + timedelta(days=9), None)],
+        "event_id string, event_timestamp timestamp_ntz, config_snapshot string")
+    found = {r.event_id: (r.settings, r.built) for r in config.event_snapshots(events, versions).collect()}
+    assert found == {"1": ("k=v", got["2024-01-01"]), "2": (None, None), "3": (None, got["2024-01-04"])}
