@@ -33,3 +33,12 @@ def written(rows: DataFrame, purpose: str) -> DataFrame:
     folder = scratch_dir(spark, purpose)
     rows.write.parquet(folder)
     return spark.read.schema(rows.schema).parquet(folder)
+
+
+def drop_written(table: DataFrame) -> None:
+    """Delete a table that `written` made, once nothing that is still to be computed reads it."""
+    files = table.inputFiles()
+    if files:
+        jvm, spark = table.sparkSession._jvm, table.sparkSession
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(files[0].rpartition("/")[0]))
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

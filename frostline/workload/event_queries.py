@@ -216,13 +216,19 @@ def _(t):
     return days.withColumn("day", F.col("day").cast("string"))
 
 
+# A run lasts from its first start to its last completion; both kinds of events count as copies.
+STARTS_SQL = f"""SELECT pipeline_run_id, epoch_us(min(event_timestamp)) AS began, count(*) AS n FROM lifecycle_events
+ WHERE event_type = 'COPY_STARTED' AND {_last(7 * 24)} GROUP BY pipeline_run_id"""
+ENDS_SQL = f"""SELECT pipeline_run_id, epoch_us(max(event_timestamp)) AS ended, count(*) AS n FROM lifecycle_events
+ WHERE event_type = 'COPY_COMPLETED' AND {_last(7 * 24)} GROUP BY pipeline_run_id"""
+
+
 @query("copy_minutes_per_file",
-       f"""SELECT pipeline_run_id, count(*) AS files_copied,
-       round((epoch_us(max(CASE WHEN event_type = 'COPY_COMPLETED' THEN event_timestamp END))
-       - epoch_us(min(CASE WHEN event_type = 'COPY_STARTED' THEN event_timestamp END)))
-       / 1e6 / count(*) / 60, 2) AS avg_mins_per_file
-       FROM lifecycle_events WHERE event_type IN ('COPY_STARTED', 'COPY_COMPLETED') AND {_last(7 * 24)}
-       GROUP BY pipeline_run_id ORDER BY pipeline_run_id DESC LIMIT 10""", E_)
+       """SELECT coalesce(s.pipeline_run_id, e.pipeline_run_id) AS pipeline_run_id,
+       coalesce(s.n, 0) + coalesce(e.n, 0) AS files_copied,
+       round((ended - began) / 60e6 / (coalesce(s.n, 0) + coalesce(e.n, 0)), 2) AS avg_mins_per_file
+       FROM starts s FULL JOIN ends e ON s.pipeline_run_id = e.pipeline_run_id
+       ORDER BY 1 DESC LIMIT 10""", E_, extra={"starts": STARTS_SQL, "ends": ENDS_SQL})
 def _(t):
     return events.copy_minutes_per_file(t.lifecycle_events, AS_OF, limit=10)
 
