@@ -1,11 +1,12 @@
-"""Connected components of an edge table by alternating stars, each round kept as a table."""
+"""Connected components of an edge table by alternating stars, each round kept as a table
+until the next one is."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frostline.sources.shared import written
+from frostline.sources.shared import drop_written, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -33,7 +34,9 @@ def components(edges: DataFrame) -> DataFrame:
         small = small.select("b", "least").where(F.col("b") != F.col("least")).select(
             F.col("b").alias("a"), F.col("least").alias("b")
         ).unionByName(least.select(F.col("of").alias("a"), F.col("least").alias("b"))).distinct()
-        current = written(small, "edges")
+        earlier, current = current, written(small, "edges")
+        drop_written(earlier)
+        drop_written(large)
         state = current.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first()
         if state == before or state[0] == 0:
             break

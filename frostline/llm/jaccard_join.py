@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from frostline.llm.components import components
 from frostline.llm.text import WordHashes, lowered_words, mixed, window_hashes
-from frostline.sources.shared import written
+from frostline.sources.shared import drop_written, written
 
 
 @dataclass(frozen=True)
@@ -138,15 +138,22 @@ def _shingles(settings: Settings):
 
 
 class Forest:
-    """Which members of a table of sets are connected; links are added one by one."""
+    """Which members of a table of sets are connected; links are added one by one, the smaller side to the larger."""
 
     def __init__(self, labels: np.ndarray):
         _, self.of = np.unique(labels, return_inverse=True)
+        order = np.argsort(self.of, kind="stable")
+        cuts = np.flatnonzero(np.diff(self.of[order])) + 1
+        self.members = dict(enumerate(np.split(order, cuts))) if len(order) else {}
 
     def join(self, left: int, right: int) -> None:
-        a, b = self.of[left], self.of[right]
+        a, b = int(self.of[left]), int(self.of[right])
         if a != b:
-            self.of[self.of == max(a, b)] = min(a, b)
+            if len(self.members[a]) < len(self.members[b]):
+                a, b = b, a
+            moved = self.members.pop(b)
+            self.of[moved] = a
+            self.members[a] = np.concatenate([self.members[a], moved])
 
 
 class CountTree:
@@ -295,22 +302,26 @@ def _neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _clusters(sets: DataFrame) -> DataFrame:
     """fa, root: the sets that chains of shared groups connect, by half of their fingerprint.
 
-    The keys are shuffled once, into ranges of (key, set): a key of very many sets is spread over several tasks.
+    The keys are shuffled once, into ranges of (key, set): a key of very many sets is spread over several tasks. The
+    table of keys is read here alone, and deleted then.
     """
     entries = sets.select(F.explode("keys").alias("key"), "fa")
     ranged = entries.repartitionByRange("key", "fa").sortWithinPartitions("key", "fa")
     found = written(ranged.mapInPandas(_neighbours, "key long, a long, b long"), "neighbours")
+    drop_written(sets)
     ends = found.where(F.col("key").isNotNull())
     least = ends.groupBy("key").agg(F.min("a").alias("least")).select(F.col("key").alias("of"), "least")
     across = ends.join(least, F.col("key") == F.col("of")).select("a", F.col("least").alias("b"))
     edges = found.where(F.col("b").isNotNull()).select("a", "b").unionByName(across)
-    return components(edges).select(F.col("node").alias("in_cluster"), "root")
+    clusters = components(edges).select(F.col("node").alias("in_cluster"), "root")
+    drop_written(found)
+    return clusters
 
 
-def _links(documents: DataFrame, sets: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
+def _links(documents: DataFrame, sets: DataFrame, keyed: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
     """(classes, links): distinct sets that may link (node, fa, fb, n_shingles, doc_id), and links between nodes."""
     spark = documents.sparkSession
-    clusters = written(_clusters(sets), "clusters")
+    clusters = written(_clusters(keyed), "clusters")
     classes = sets.where(F.col("n_shingles") > 0).groupBy("fa", "fb").agg(
         F.first("n_shingles").alias("n_shingles"), F.min("doc_id").alias("doc_id")
     )
@@ -320,6 +331,7 @@ def _links(documents: DataFrame, sets: DataFrame, settings: Settings) -> tuple[D
         "members",
     )
     band = F.floor(F.log(F.col("n_shingles").cast("double")) / math.log(100 / settings.percent)).cast("int")
+    drop_written(clusters)
     banded = members.withColumn("band", band)
     sums = banded.groupBy("root", "band").agg(F.sum("n_shingles").alias("of_band"))
     whole = sums.groupBy("root").agg(F.sum("of_band").alias("of_root"))
@@ -384,18 +396,20 @@ def _links(documents: DataFrame, sets: DataFrame, settings: Settings) -> tuple[D
     return members, inside.unionByName(across)
 
 
-def _described(documents: DataFrame, settings: Settings) -> DataFrame:
+def _described(documents: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
+    """(sets, keyed): every document's set by its fingerprint, and the group keys of the sets."""
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return written(
-        documents.mapInPandas(_describe(settings), "doc_id long, n_shingles long, fa long, fb long, keys array<long>"), "sets"
+    keyed = written(
+        documents.mapInPandas(_describe(settings), "doc_id long, n_shingles long, fa long, fb long, keys array<long>"), "keys"
     )
+    return written(keyed.drop("keys"), "sets"), keyed
 
 
-def _classes(documents: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
+def _classes(documents: DataFrame, sets: DataFrame, keyed: DataFrame, settings: Settings) -> DataFrame:
     """of_a, of_b, component_id, leads: each distinct set with shingles, and the smallest id of its component (null if
     the component has none). One set of each component leads."""
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    members, links = _links(documents, sets, settings)
+    members, links = _links(documents, sets, keyed, settings)
     roots = components(links).withColumnRenamed("root", "in_root")
     least = written(
         members.join(roots, "node").select("fa", "fb", "in_root", "doc_id"), "roots"
@@ -429,8 +443,8 @@ def join(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
     smallest unless a component has no other. Repeated rows are equal sets and one component. An empty table gives no
     rows; other columns don't matter.
     """
-    sets = _described(documents, settings)
-    return _joined(sets, _classes(documents, sets, settings))
+    sets, keyed = _described(documents, settings)
+    return _joined(sets, _classes(documents, sets, keyed, settings))
 
 
 def _marks(settings: Settings):
@@ -449,8 +463,8 @@ def without_copies(documents: DataFrame, settings: Settings = Settings(), null_i
     Of rows that repeat an id those of one text count once. Rows without doc_id stay, unless null_ids: then one stays
     of each component without any id, and none of the others; those without shingles link with nothing and stay.
     """
-    sets = _described(documents, settings)
-    classes = written(_classes(documents, sets, settings), "classes")
+    sets, keyed = _described(documents, settings)
+    classes = written(_classes(documents, sets, keyed, settings), "classes")
     first = _joined(sets, classes).where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(
         F.count("*").alias("n_rows")
     )
