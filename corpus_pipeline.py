@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frostline.llm import jaccard_join, mixing, packing, secret_scans, toxicity
-from frostline.sources.shared import written
+from frostline.sources.shared import drop_written, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +54,11 @@ ORACLE_SQL = None  # classifiers, similarity classes of hashed order and batches
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the documents of a folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
+    """All stages on the documents of a folder. A stage's table is deleted once the next one is written."""
+    docs, stored = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), "pipeline")
+        if stored is not None:
+            drop_written(stored)  # the stage before has been read whole
+        stored = docs
     return STAGES[-1][1](spark, docs, sf_dir)
