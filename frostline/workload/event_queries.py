@@ -210,9 +210,9 @@ def _(t):
        count(CASE WHEN event_type = 'COPY_COMPLETED' THEN 1 END) AS offloaded,
        count(CASE WHEN event_type = 'LOCAL_DELETED' THEN 1 END) AS purged,
        count(CASE WHEN success = FALSE THEN 1 END) AS errors
-       FROM lifecycle_events WHERE {_last(7 * 24)} GROUP BY 1""", E_)
+       FROM events_twice_a_day WHERE {_last(7 * 24)} GROUP BY 1""", "events_twice_a_day")
 def _(t):
-    days = events.daily_dashboard(t.lifecycle_events, AS_OF)
+    days = events.daily_dashboard(t.events_twice_a_day, AS_OF)
     return days.withColumn("day", F.col("day").cast("string"))
 
 

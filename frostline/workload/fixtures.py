@@ -312,6 +312,36 @@ TABLES = {
 }
 
 
+def _variant(base: str, name: str, condition: str | None = None, **changed: str) -> None:
+    """The same table with some rows left out and some columns changed."""
+    source, earlier, columns = TABLES[base]
+    both = " AND ".join(f"({c})" for c in (earlier, condition) if c)
+    TABLES[name] = (source, both or None, [(changed.get(column, expr), column) for expr, column in columns])
+
+
+# The catalog a while before and after: files gone, new, read meanwhile, set back, or moved.
+_variant("catalog_snapshot", "catalog_earlier", "o_orderkey % 37 <> 0")
+_variant(
+    "catalog_snapshot", "catalog_later", "o_orderkey % 31 <> 0",
+    atime=f"CASE WHEN o_orderkey % 29 = 0 THEN {AS_OF_SQL} ELSE {atime('o_orderkey')}"
+          " - INTERVAL '1' DAY * CAST(CASE WHEN o_orderkey % 23 = 0 THEN 200 ELSE 0 END AS INT) END",
+    parent_path=f"CASE WHEN o_orderkey % 41 = 0 THEN '/tenant/moved' ELSE {folder('o_orderkey')} END",
+)
+# A registry that lost some of its rows.
+_variant("asset_registry", "registry_with_gaps", "c_custkey % 31 <> 0")
+# Two runs a day.
+_variant(
+    "lifecycle_events", "events_twice_a_day",
+    pipeline_run_id="concat('schedule-', CAST(CAST(ts AS DATE) AS STRING), CASE WHEN event_id % 2 = 0 THEN '-am' ELSE '-pm' END)",
+)
+# Cold objects that were never recorded as copies.
+_variant(
+    "dest_metadata", "dest_with_extras",
+    original_path="concat(CASE WHEN o_orderkey % 53 <> 0 AND (o_orderkey % 5 IN (0, 4) OR o_orderkey % 41 = 0)"
+                  f" THEN '/misplaced' ELSE '' END, {path('o_orderkey')})",
+)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived table as DataFrame."""
     return derive(spark.read.parquet(f"{sf_dir}/{TABLES[name][0]}.parquet"), name)

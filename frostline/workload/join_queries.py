@@ -103,10 +103,10 @@ def _(t):
 
 @query("orphan_events",
        """SELECT event_id, element_handle, registration_id, event_type, event_timestamp FROM lifecycle_events e
-       WHERE registration_id IS DISTINCT FROM 'dry-run' AND NOT EXISTS (SELECT 1 FROM asset_registry a
-       WHERE a.element_handle = e.element_handle AND a.registration_id = e.registration_id)""", REG, EV)
+       WHERE registration_id IS DISTINCT FROM 'dry-run' AND NOT EXISTS (SELECT 1 FROM registry_with_gaps a
+       WHERE a.element_handle = e.element_handle AND a.registration_id = e.registration_id)""", "registry_with_gaps", EV)
 def _(t):
-    return reconcile.orphan_events(t.lifecycle_events, t.asset_registry)
+    return reconcile.orphan_events(t.lifecycle_events, t.registry_with_gaps)
 
 
 @query("layer_reconcile",
@@ -132,17 +132,17 @@ def _(t):
          r.original_path IS NOT NULL AND coalesce(r.current_location IN ('AWS', 'BOTH', 'LOCAL_DELETED'), FALSE)
            AS claimed
          FROM asset_registry r
-         FULL JOIN (SELECT *, concat(parent_path, '/', name) AS path FROM catalog_snapshot) c
+         FULL JOIN (SELECT *, concat(parent_path, '/', name) AS path FROM catalog_earlier) c
            ON c.path = r.original_path
-         FULL JOIN dest_metadata d ON d.original_path = coalesce(r.original_path, c.path)
+         FULL JOIN dest_with_extras d ON d.original_path = coalesce(r.original_path, c.path)
          FULL JOIN (SELECT object_path,
              CAST(sum(CASE WHEN operation = 'GetObject' THEN 1 ELSE 0 END) AS BIGINT) AS reads,
              CAST(sum(CASE WHEN operation = 'PutObject' THEN 1 ELSE 0 END) AS BIGINT) AS writes
              FROM audit_table GROUP BY object_path) a
            ON a.object_path = coalesce(r.original_path, c.path, d.original_path))""",
-       REG, "catalog_snapshot", "dest_metadata", "audit_table")
+       REG, "catalog_earlier", "dest_with_extras", "audit_table")
 def _(t):
-    return reconcile.layer_reconcile(t.asset_registry, t.catalog_snapshot, t.audit_table, t.dest_metadata)
+    return reconcile.layer_reconcile(t.asset_registry, t.catalog_earlier, t.audit_table, t.dest_with_extras)
 
 
 # Checksums of object bodies

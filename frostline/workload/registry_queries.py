@@ -1,5 +1,7 @@
 """Queries on the asset registry and the catalog."""
 
+from datetime import timedelta
+
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -8,7 +10,9 @@ from frostline.functions import ids, paths
 from frostline.operators import latest, prefixes
 from frostline.plans import discover
 from frostline.reports import catalog, reconcile, registry
+from frostline.sources import catalog as catalog_source
 from frostline.sources.catalog import cold, is_file, scan_catalog
+from frostline.sources.shared import scratch_dir
 from frostline.workload.fixtures import AS_OF, AS_OF_SQL
 from frostline.workload.registered import query
 
@@ -97,14 +101,41 @@ def _(t):
     return catalog.freshness(t.catalog_snapshot)
 
 
+def _kept_snapshots(t):
+    """Two snapshots in one folder, and the start of a third."""
+    folder = scratch_dir(t.spark, "catalog")
+    names = [catalog_source.write_snapshot(rows, folder, AS_OF - timedelta(days=ago))
+             for rows, ago in ((t.catalog_earlier, 1), (t.catalog_later, 0))]
+    return folder, names
+
+
+@query("scan_latest_snapshot", f"SELECT {CATALOG_SQL} FROM catalog_later WHERE {COLD_SQL}", "catalog_later")
+def _(t):
+    folder, _ = _kept_snapshots(t)
+    return scan_catalog(catalog_source.read_catalog(t.spark, folder), AS_OF, 60)
+
+
+@query("catalog_changes",
+       """SELECT coalesce(e.handle, l.handle) AS handle, coalesce(l.path, e.path) AS path,
+       CASE WHEN e.handle IS NULL THEN 'ADDED' WHEN l.handle IS NULL THEN 'REMOVED' ELSE 'CHANGED' END AS change,
+       coalesce(l.path <> e.path, FALSE) AS moved
+       FROM (SELECT *, concat(parent_path, '/', name) AS path FROM catalog_earlier) e
+       FULL JOIN (SELECT *, concat(parent_path, '/', name) AS path FROM catalog_later) l ON e.handle = l.handle
+       WHERE e.handle IS NULL OR l.handle IS NULL OR e.path <> l.path OR e.atime <> l.atime""",
+       "catalog_earlier", "catalog_later")
+def _(t):
+    folder, names = _kept_snapshots(t)
+    return catalog_source.snapshot_changes(*[catalog_source.read_catalog(t.spark, folder, name) for name in names])
+
+
 @query("catalog_vs_registry",
        """SELECT a.element_handle, a.original_path, c.atime AS catalog_atime, a.file_atime AS registry_atime,
        c.atime IS DISTINCT FROM a.file_atime AS atime_changed, c.atime > a.file_atime AS read_since,
        concat(c.parent_path, '/', c.name) <> a.original_path AS moved
-       FROM asset_registry a JOIN catalog_snapshot c ON a.element_handle = c.handle""",
-       "catalog_snapshot", "asset_registry")
+       FROM asset_registry a JOIN catalog_later c ON a.element_handle = c.handle""",
+       "catalog_later", "asset_registry")
 def _(t):
-    return reconcile.catalog_drift(t.asset_registry, t.catalog_snapshot)
+    return reconcile.catalog_drift(t.asset_registry, t.catalog_later)
 
 
 @query("tag_vs_registry",

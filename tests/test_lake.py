@@ -237,3 +237,31 @@ def test_events_of_a_run_read_its_partitions_only(spark, lake):
     file = found.select(F.input_file_name().alias("f")).first().f
     handles = [r.element_handle for r in spark.read.parquet(file).select("element_handle").coalesce(1).collect()]
     assert len(handles) > 50 and handles == sorted(handles)
+
+
+def test_of_two_snapshots_each_file_comes_once(spark, tmp_path):
+    from frostline.sources import catalog
+
+    folder = str(tmp_path / "catalog")
+
+    def row(handle, name, atime=T0, parent="/t/a"):
+        return (handle, parent, name, None, 1, atime, T0, T0, None, None, "FILE", None)
+
+    first = [row("1", "same"), row("2", "read"), row("3", "gone"), row("4", "moved"), row(None, "nameless"), row(None, "other")]
+    then = [row("1", "same"), row("2", "read", T0 + timedelta(1)), row("4", "moved", parent="/t/b"), row("5", "new"),
+            row(None, "nameless"), row(None, "fresh")]
+    early = catalog.write_snapshot(spark.createDataFrame(first, schemas.CATALOG), folder, T0)
+    late = catalog.write_snapshot(spark.createDataFrame(then, schemas.CATALOG), folder, T0 + timedelta(hours=1))
+    broken = tmp_path / "catalog" / "snapshot_ts=20990101T000000.000000"
+    spark.createDataFrame(first, schemas.CATALOG).write.parquet(str(broken))
+    (broken / "_SUCCESS").unlink()  # it died before its end
+    assert catalog.snapshots(spark, folder) == [early, late]
+    assert sorted(r.name for r in catalog.read_catalog(spark, folder).collect()) == sorted(r[2] for r in then)
+    assert catalog.read_catalog(spark, folder, early).count() == 6
+    with pytest.raises(ValueError):
+        catalog.read_catalog(spark, folder, "never")
+    got = catalog.snapshot_changes(catalog.read_catalog(spark, folder, early), catalog.read_catalog(spark, folder))
+    assert {(r.handle, r.path, r.change, r.moved) for r in got.collect()} == {
+        ("2", "/t/a/read", "CHANGED", False), ("3", "/t/a/gone", "REMOVED", False), ("4", "/t/b/moved", "CHANGED", True),
+        ("5", "/t/a/new", "ADDED", False), (None, "/t/a/other", "REMOVED", False), (None, "/t/a/fresh", "ADDED", False),
+    }
