@@ -61,6 +61,10 @@ LAYOUT = {
 }
 
 
+# Columns that single rows are looked up by: the usual order of the files, and a path with a Bloom filter for each row group.
+ORDER = {EVENTS: "element_handle", REGISTRY: "element_handle"}
+PATHS = {EVENTS: "source_path", REGISTRY: "original_path"}
+
 # How the catalog lists the partition of rows without a date.
 NO_DATE = "__HIVE_DEFAULT_PARTITION__"
 
@@ -79,6 +83,9 @@ class Lake:
     # Batches being written through this object: their attempt, and the tables that each attempt has rows in.
     _open: dict[tuple[str, str], str] = field(default_factory=dict, compare=False, repr=False)
     _written: dict[str, list[str]] = field(default_factory=dict, compare=False, repr=False)
+    # The column by which the rows of a batch are ordered in its files: look-ups by it read the few row groups whose
+    # range holds the value. Paths are found by Bloom filters in any case.
+    order: dict[str, str] = field(default_factory=lambda: dict(ORDER), compare=False)
 
     def ensure_tables(self, location: str | None = None) -> None:
         """Create database (at a location, if given) and tables where they do not exist yet."""
@@ -89,9 +96,16 @@ class Lake:
             by = ", ".join(f.name for f in partitions)
             self.spark.sql(
                 f"CREATE TABLE IF NOT EXISTS {self.database}.{name} ({spec}) USING parquet"
-                f" OPTIONS (partitionOverwriteMode 'dynamic') PARTITIONED BY ({by})"
+                f" OPTIONS ({self._options(name)}) PARTITIONED BY ({by})"
             )
 
+    @staticmethod
+    def _options(name: str) -> str:
+        options = {"partitionOverwriteMode": "dynamic"}
+        if name in PATHS:
+            options[f"parquet.bloom.filter.enabled#{PATHS[name]}"] = "true"
+        return ", ".join(f"{_quoted(key)} {_quoted(value)}" for key, value in options.items())
+
     def list_tables(self) -> DataFrame:
         """Names of the owned tables that exist."""
         tables = self.spark.sql(f"SHOW TABLES IN {self.database}")
@@ -131,8 +145,8 @@ class Lake:
             *[F.col(f.name).cast(f.dataType).alias(f.name) for f in columns],
             *[values[f.name].alias(f.name) for f in partitions],
         )
-        if name in (EVENTS, REGISTRY):  # statistics of the files then tell where an element's rows may be
-            batch = batch.sortWithinPartitions(*[f.name for f in partitions], "element_handle")
+        if name in self.order:  # statistics of the files then tell where a value's rows may be
+            batch = batch.sortWithinPartitions(*[f.name for f in partitions], self.order[name])
         batch.write.insertInto(f"{self.database}.{name}", overwrite=True)
         self._written.setdefault(attempt, []).append(name)
 

@@ -265,3 +265,36 @@ def test_of_two_snapshots_each_file_comes_once(spark, tmp_path):
         ("2", "/t/a/read", "CHANGED", False), ("3", "/t/a/gone", "REMOVED", False), ("4", "/t/b/moved", "CHANGED", True),
         ("5", "/t/a/new", "ADDED", False), (None, "/t/a/other", "REMOVED", False), (None, "/t/a/fresh", "ADDED", False),
     }
+
+
+def rows_read(df):
+    """Rows that the scan of a plan gave out, after row groups were passed over."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().collectLeaves().apply(0).metrics().apply("numOutputRows").value()
+
+
+@pytest.mark.parametrize("order", ["element_handle", "source_path"])
+def test_an_absent_path_is_told_by_the_bloom_filter(spark, lake, order):
+    """Paths are too many for a dictionary, and the absent one lies between them: ranges and dictionaries can't tell."""
+    from frostline.reports import events as reports
+
+    writer = tables.Lake(spark, lake.database, order={tables.EVENTS: order})
+    rows = spark.range(60_000).select(
+        *[F.lit(None).cast(f.dataType).alias(f.name) for f in schemas.LIFECYCLE_EVENTS
+          if f.name not in ("element_handle", "source_path", "event_timestamp")],
+        F.col("id").cast("string").alias("element_handle"), F.lit(T0).cast("timestamp_ntz").alias("event_timestamp"),
+        F.concat(F.lit("/tenant/"), F.sha2(F.col("id").cast("string"), 256)).alias("source_path"),
+    )
+    writer.write_batch(tables.EVENTS, rows.coalesce(1), "r", "discover")
+    there = rows.where("id = 777").first().source_path
+    found = lake.events().where(F.col("source_path") == there).select("element_handle")
+    assert [r.element_handle for r in found.collect()] == ["777"] and rows_read(found) > 0
+    absent = there[:-1] + ("0" if there[-1] != "0" else "1")
+    assert rows_read(lake.events().where(F.col("source_path") == absent).select("element_handle")) == 0
+    assert reports.lifecycle_by_source_path(lake.events(), there).count() == 1
+    assert reports.lifecycle_by_source_path(lake.events(), absent).count() == 0
+    spark.conf.set("spark.sql.parquet.filterPushdown", "false")
+    try:
+        assert rows_read(lake.events().where(F.col("source_path") == absent).select("element_handle")) == 60_000
+    finally:
+        spark.conf.unset("spark.sql.parquet.filterPushdown")
