@@ -83,6 +83,62 @@ def test_newton_meets_every_target(spark):
         assert r.rate * r.s == pytest.approx(r.t, rel=1e-9)
 
 
+def dense_rates(sizes, target, most=2.0):
+    """Rates of one source by halving the interval of the multiplier, in plain numpy."""
+    sizes = np.asarray(sizes, float)
+    if target <= 0 or target >= most * sizes.sum():
+        return np.full(len(sizes), 0.0 if target <= 0 else most)
+    low, high = -800.0 / sizes[sizes > 0].min(), 800.0 / sizes[sizes > 0].min()
+    for _ in range(300):
+        middle = (low + high) / 2
+        if (sizes * np.minimum(most, np.exp(np.minimum(middle * sizes, 700)))).sum() > target:
+            high = middle
+        else:
+            low = middle
+    return np.minimum(most, np.exp(np.minimum(low * sizes, 700)))
+
+
+def test_rates_as_by_a_dense_solver(spark):
+    """Sources far below, near, far above and at their cap, with sizes of four orders of magnitude."""
+    rng = np.random.default_rng(8)
+    rows = [(int(i), int(x), f"s{s}") for s in range(9) for i, x in enumerate(rng.integers(1, 10 ** (1 + s % 4), 10 + 20 * s))]
+    rows += [(0, 7, "single"), (1, 0, "empty"), (0, 50_000, "s8"), (5, 3, None), (6, 400, None)]
+    sized = spark.createDataFrame(rows, "doc_id long, size long, source string")
+    for share in (0.05, 0.9, 1.5, 1.95):
+        settings = mixing.Settings(share=share)
+        solved = mixing.solved(sized, settings)
+        got = defaultdict(list)
+        for r in mixing.join_sources(sized, solved).select("source", "target", "size", mixing.rate(settings).alias("rate")).collect():
+            got[r.source, r.target].append((r["size"], r.rate))
+        assert len(got) == 12
+        for (source, target), pairs in got.items():
+            sizes, rates = zip(*[p for p in sorted(pairs) if p[0]] or [(0, 0.0)], strict=True)
+            assert np.allclose(rates, dense_rates(sizes, target) if sum(sizes) else 0, atol=1e-5), (share, source)
+            assert sum(a * b for a, b in zip(sizes, rates, strict=True)) == pytest.approx(target, rel=1e-6, abs=1e-4)
+
+
+def test_long_documents_are_taken_more_often_where_tokens_are_short(spark):
+    rows = [(i, 1 + i % 100, "short") for i in range(2000)] + [(i, 1 + i % 100, "long") for i in range(6000)]
+    table = spark.createDataFrame(rows, "doc_id long, n int, source string").select(
+        "doc_id", "source", F.array_join(F.array_repeat(F.lit("w"), F.col("n")), " ").alias("text"))
+    out = mixing.mix(table, mixing.Settings(weights=(1.0, 1.0), share=0.8)).collect()
+    for source, sign in (("short", 1), ("long", -1)):
+        own = [r for r in out if r.source == source]
+        third = sorted(own, key=lambda r: r["size"])
+        few, many = third[: len(own) // 3], third[-len(own) // 3 :]
+        gain = sum(r.copies for r in many) / len(many) - sum(r.copies for r in few) / len(few)
+        assert gain * sign > 0.1
+        bucket = [r for r in own if 45 <= r["size"] <= 55]  # copies go by the rates
+        assert abs(sum(r.copies for r in bucket) / len(bucket) - sum(r.rate for r in bucket) / len(bucket)) < 0.12
+
+
+def test_a_source_for_each_of_many_documents(spark):
+    rows = spark.range(100_000).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), F.concat(F.lit("s"), F.col("id")).alias("source"))
+    got = mixing.mix(rows).groupBy("copies").agg(F.count("*").alias("n"), F.sum("target").alias("t")).collect()
+    assert sum(r.n for r in got) == 100_000 and sum(r.t for r in got) == pytest.approx(450_000, rel=1e-9)
+    assert {r.copies for r in got} <= {0, 1, 2}
+
+
 # Packing
 
 
