@@ -37,7 +37,7 @@ class Settings:
     words: int = 3
     percent: int = 90
     band: float = 1.5
-    tile_shingles: int = 1_000_000
+    tile_shingles: int = 2_000_000
     leaf: int = 32
     nodes: int = 16
 
@@ -137,6 +137,9 @@ def _shingles(settings: Settings):
     return shingles
 
 
+POINTS = 1 << 23  # counts of a tile
+
+
 class Forest:
     """Which members of a table of sets are connected; links are added one by one, the smaller side to the larger."""
 
@@ -221,7 +224,9 @@ def join_sets(sets: list[np.ndarray], labels: np.ndarray, sides: np.ndarray | No
     if len(sets) < 2:
         return []
     largest = max(len(s) for s in sets)
-    groups = 1 << int(min(max(math.ceil(math.log2(max(largest, 1) / 8 + 1)), 4), 11))
+    # A long set beside very many short ones has coarser counts: the points of a tile keep a bounded size.
+    finest = int(math.log2(max(POINTS // len(sets), 16)))
+    groups = 1 << int(min(max(math.ceil(math.log2(max(largest, 1) / 8 + 1)), 4), 11, finest))
     base = np.arange(len(sets)) if sides is None else np.flatnonzero(sides == 0)
     probes = np.arange(len(sets)) if sides is None else np.flatnonzero(sides == 1)
     if not len(base) or not len(probes):
