@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from frostline import constants as C
 from frostline.reports.common import gib, newest, of_elements
+from frostline.sources import lake as tables
 
 
 def by_location(registry: DataFrame, location: str, columns: list[str]) -> DataFrame:
@@ -51,6 +52,33 @@ def locate_contains(registry: DataFrame, pattern: str) -> DataFrame:
     )
 
 
+def locate_indexed(lake, pattern: str, few: int = 1000) -> DataFrame:
+    """locate_contains on the tables of a lake that keeps the postings of its paths.
+
+    The postings of the pattern's runs of three characters are read, those rows of the files that hold them; elements
+    with all of them are looked up and their paths verified. Up to `few` of them reach the registry's files as literals,
+    more by a join. Patterns under three characters, which have no run, look at every path.
+    """
+    part = pattern.replace("*", "").replace("%", "")
+    grams = sorted({part[at : at + tables.GRAM] for at in range(len(part) - tables.GRAM + 1)})
+    if not grams:
+        return locate_contains(lake.registry(), pattern)
+    holders = (
+        lake.table(tables.PATH_GRAMS).where(F.col("gram").isin(*grams))
+        .select("gram", "element_handle", "registration_id").distinct()
+        .groupBy("element_handle", "registration_id").agg(F.count("*").alias("n")).where(F.col("n") == len(grams))
+        .select("element_handle").distinct()
+    )
+    found = [row.element_handle for row in holders.limit(few + 1).collect()]
+    if len(found) > few:
+        of = holders.withColumnRenamed("element_handle", "of")
+        rows = lake.registry().join(of, F.col("element_handle").eqNullSafe(F.col("of")), "left_semi")
+    else:
+        known = F.col("element_handle").isin(*[h for h in found if h is not None])
+        rows = lake.registry().where(known | F.col("element_handle").isNull() if None in found else known)
+    return locate_contains(rows, pattern)
+
+
 def purged_by_path(registry: DataFrame, pattern: str) -> DataFrame:
     found = registry.where(
         F.col("original_path").like(pattern) & (F.col("current_location") == C.LOCAL_DELETED)

@@ -34,6 +34,7 @@ CHANGE_LOG = "config_change_log"
 CANDIDATES = "discovery_batches"
 COPIES = "copy_results"
 PROBES = "probe_results"
+PATH_GRAMS = "path_grams"
 COMMITS = "batch_commits"
 COMPACTION = "compaction"
 
@@ -56,19 +57,35 @@ LAYOUT = {
     ),
     COPIES: (schemas.COPY_RESULTS.fields, _BATCH),
     PROBES: (schemas.PROBE_RESULTS.fields, _BATCH),
+    # Which runs of three characters the paths of which elements hold.
+    PATH_GRAMS: (
+        [T.StructField(name, T.StringType()) for name in ("gram", "element_handle", "registration_id")], _BATCH,
+    ),
     # Commits have no rows: what counts is that the catalog knows the partition.
     COMMITS: ([T.StructField("note", T.StringType())], [*_BATCH, T.StructField(COMMITTED, T.StringType())]),
 }
 
 
 # Columns that single rows are looked up by: the usual order of the files, and a path with a Bloom filter for each row group.
-ORDER = {EVENTS: "element_handle", REGISTRY: "element_handle"}
+ORDER = {EVENTS: "element_handle", REGISTRY: "element_handle", PATH_GRAMS: "gram"}
 PATHS = {EVENTS: "source_path", REGISTRY: "original_path"}
 
 # How the catalog lists the partition of rows without a date.
 NO_DATE = "__HIVE_DEFAULT_PARTITION__"
 
 
+GRAM = 3
+
+
+def path_grams(rows: DataFrame) -> DataFrame:
+    """gram, element_handle, registration_id: each run of three characters that an element's path holds, once."""
+    starts = F.sequence(F.lit(1), F.length("original_path") - (GRAM - 1))
+    grams = F.array_distinct(F.transform(starts, lambda at: F.substring(F.col("original_path"), at, F.lit(GRAM))))
+    return rows.where(F.length("original_path") >= GRAM).select(
+        F.explode(grams).alias("gram"), "element_handle", "registration_id"
+    ).distinct()
+
+
 def _quoted(value: str) -> str:
     """A text as a SQL literal."""
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
@@ -86,6 +103,11 @@ class Lake:
     # The column by which the rows of a batch are ordered in its files: look-ups by it read the few row groups whose
     # range holds the value. Paths are found by Bloom filters in any case.
     order: dict[str, str] = field(default_factory=lambda: dict(ORDER), compare=False)
+    # Buckets of the registry by element, chosen when the tables are created (0: none). Its latest rows and its updates
+    # then need no exchange of the registry, and a write shuffles the batch once.
+    buckets: int = 0
+    # Whether a batch of the registry brings the postings of its paths along, for `reports.registry.locate_indexed`.
+    path_index: bool = False
 
     def ensure_tables(self, location: str | None = None) -> None:
         """Create database (at a location, if given) and tables where they do not exist yet."""
@@ -97,6 +119,8 @@ class Lake:
             self.spark.sql(
                 f"CREATE TABLE IF NOT EXISTS {self.database}.{name} ({spec}) USING parquet"
                 f" OPTIONS ({self._options(name)}) PARTITIONED BY ({by})"
+                + (f" CLUSTERED BY (element_handle) SORTED BY (element_handle) INTO {self.buckets} BUCKETS"
+                   if self.buckets and name == REGISTRY else "")
             )
 
     @staticmethod
@@ -145,10 +169,16 @@ class Lake:
             *[F.col(f.name).cast(f.dataType).alias(f.name) for f in columns],
             *[values[f.name].alias(f.name) for f in partitions],
         )
+        if self.buckets and name == REGISTRY:
+            batch = batch.repartition(self.buckets, "element_handle")
+        elif name == PATH_GRAMS:
+            batch = batch.repartitionByRange("gram", "element_handle")
         if name in self.order:  # statistics of the files then tell where a value's rows may be
             batch = batch.sortWithinPartitions(*[f.name for f in partitions], self.order[name])
         batch.write.insertInto(f"{self.database}.{name}", overwrite=True)
         self._written.setdefault(attempt, []).append(name)
+        if name == REGISTRY and self.path_index:
+            self.write_batch(PATH_GRAMS, path_grams(self.batch(REGISTRY, run, stage)), run, stage)
 
     @contextmanager
     def one_batch(self, run: str, stage: str) -> Iterator[None]:
@@ -273,6 +303,8 @@ class Lake:
         known = F.concat_ws("/", BATCH_RUN, BATCH_STAGE).isin(*["/".join(b) for b in batches])
         live = current(self.table(name).where(known).drop(*_BATCH_NAMES))
         self.write_batch(name, live, run, COMPACTION)
+        folded = {name, PATH_GRAMS} if name == REGISTRY else {name}
         for batch in batches:
-            self._drop(name, self._partitions(name, *batch))
-            self._drop(COMMITS, [p for p in self._partitions(COMMITS, *batch) if p[COMMITTED] == name])
+            for table in folded:
+                self._drop(table, self._partitions(table, *batch))
+            self._drop(COMMITS, [p for p in self._partitions(COMMITS, *batch) if set(p[COMMITTED].split("+")) <= folded])

@@ -1,6 +1,7 @@
 """Queries on the asset registry and the catalog."""
 
 from datetime import timedelta
+from uuid import uuid4
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -11,7 +12,9 @@ from frostline.operators import latest, prefixes
 from frostline.plans import discover
 from frostline.reports import catalog, reconcile, registry
 from frostline.sources import catalog as catalog_source
+from frostline.sources import lake as tables
 from frostline.sources.catalog import cold, is_file, scan_catalog
+from frostline.sources.lake import Lake
 from frostline.sources.shared import scratch_dir
 from frostline.workload.fixtures import AS_OF, AS_OF_SQL
 from frostline.workload.registered import query
@@ -280,6 +283,18 @@ def _(t):
     return registry.locate_contains(t.asset_registry, "*.xlsx")
 
 
+@query("locate_contains_indexed",
+       """SELECT element_handle, original_path, current_location, current_aws_bucket, current_aws_key, source_md5
+       FROM asset_registry WHERE contains(coalesce(original_path, ''), '_77')""",
+       "asset_registry")
+def _(t):
+    """By the postings that a batch of the registry brings along."""
+    lake = Lake(t.spark, f"frostline_{uuid4().hex}", path_index=True)
+    lake.ensure_tables(scratch_dir(t.spark, "lake"))
+    lake.write_batch(tables.REGISTRY, t.asset_registry, "load", "load")
+    return registry.locate_indexed(lake, "*_77*")
+
+
 @query("purged_by_path",
        """SELECT element_handle, file_name, file_size_bytes, original_path, current_aws_bucket, current_aws_key,
        registered_at, last_state_change, source_md5 FROM asset_registry

@@ -298,3 +298,68 @@ def test_an_absent_path_is_told_by_the_bloom_filter(spark, lake, order):
         assert rows_read(lake.events().where(F.col("source_path") == absent).select("element_handle")) == 60_000
     finally:
         spark.conf.unset("spark.sql.parquet.filterPushdown")
+
+
+def test_contained_texts_are_found_by_postings(spark, lake):
+    from frostline.reports import registry as reports
+
+    indexed = tables.Lake(spark, lake.database, path_index=True)
+
+    def batch(numbers, run, **changed):
+        rows = spark.createDataFrame([(i,) for i in numbers], "i long").select(
+            *[F.lit(None).cast(f.dataType).alias(f.name) for f in schemas.ASSET_REGISTRY
+              if f.name not in ("element_handle", "registration_id", "original_path", "current_location", "last_state_change")],
+            F.format_string("h%06d", "i").alias("element_handle"), F.format_string("r%d", "i").alias("registration_id"),
+            F.concat(F.lit("/tenant/ü_"), F.md5(F.col("i").cast("string"))).alias("original_path"),
+            F.lit(changed.get("location", "LOCAL")).alias("current_location"),
+            F.lit(changed.get("at", T0)).cast("timestamp_ntz").alias("last_state_change"),
+        )
+        indexed.write_batch(tables.REGISTRY, rows.repartitionByRange(8, "element_handle"), run, "discover")
+
+    batch(range(4000), "r1")
+    batch(range(100), "r2", location="BOTH", at=T0 + timedelta(days=1))
+    path = next(r.original_path for r in indexed.registry().where("element_handle = 'h000042'").collect())
+    for pattern in (path, f"*{path[10:20]}*", "ü_a", "/ten", "ab", "", "nowhere", "ü_0%"):
+        for few in (1000, 0):
+            got = sorted(map(tuple, reports.locate_indexed(indexed, pattern, few).collect()), key=str)
+            assert got == sorted(map(tuple, reports.locate_contains(indexed.registry(), pattern).collect()), key=str), (pattern, few)
+    narrow, wide = reports.locate_indexed(indexed, path[10:24]), reports.locate_contains(indexed.registry(), path[10:24])
+    assert narrow.collect() == wide.collect() and len(narrow.collect()) == 1
+
+    def rows_of_registry(df):
+        """Rows that the scan of the registry gives out: row groups without the elements are passed over."""
+        plan = df._jdf.queryExecution().executedPlan()
+        df.collect()
+        leaf = plan.finalPhysicalPlan() if "AdaptiveSparkPlan" in plan.nodeName() else plan
+        leaves = leaf.collectLeaves()
+        while "QueryStage" in leaves.apply(0).nodeName():
+            leaves = leaves.apply(0).plan().collectLeaves()
+        return leaves.apply(0).metrics().apply("numOutputRows").value()
+
+    assert rows_of_registry(narrow) < rows_of_registry(wide) / 4
+    indexed.compact_registry("c")
+    assert reports.locate_indexed(indexed, path[10:24]).collect() == wide.collect()
+    assert {r.batch_stage for r in indexed.table(tables.PATH_GRAMS).select("batch_stage").distinct().collect()} == {tables.COMPACTION}
+
+
+def test_bucketed_registry_needs_no_exchange(spark, tmp_path):
+    from uuid import uuid4
+
+    lake = tables.Lake(spark, f"test_{uuid4().hex}", buckets=4)
+    lake.ensure_tables(str(tmp_path / "bucketed"))
+    lake.write_batch(tables.REGISTRY, assets(spark, *[(f"e{i}", "LOCAL", T0, None) for i in range(50)]), "r1", "discover")
+    lake.write_batch(tables.REGISTRY, assets(spark, ("e7", "BOTH", T0 + timedelta(1), "m")), "r2", "offload")
+    update = spark.createDataFrame([("e7", "LOCAL_DELETED"), ("e8", "BOTH")], "element_handle string, current_location string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        latest = lake.registry()
+        assert "Exchange" not in latest._jdf.queryExecution().executedPlan().toString()
+        updated = changes.update_state(latest, update, times.ntz(T0 + timedelta(2)))
+        plan = updated._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "Bucketed: true" in plan  # that of the changes
+        assert locations(updated) == {"e7": "LOCAL_DELETED", "e8": "BOTH"}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert locations(lake.registry())["e7"] == "BOTH" and lake.registry().count() == 50
+    lake.compact_registry("c")
+    assert locations(lake.registry())["e7"] == "BOTH" and lake.table(tables.REGISTRY).count() == 50
