@@ -93,3 +93,9 @@ def run_all(
         run_offload(lake, settings, as_of, run_id, source_root, dest_root)
     run_purge(lake, settings, as_of, run_id, dest_root)
     return run_id
+
+
+def left_over(lake: Lake, catalog: DataFrame, as_of: datetime) -> int:
+    """Cold files that still have no copy: what a run's batch size left for the next one, and what could not be copied."""
+    settings = load_settings(lake.config())
+    return discover.not_offloaded(discover.cold_files(catalog, settings, as_of), lake.registry()).count()

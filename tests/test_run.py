@@ -176,6 +176,17 @@ def test_batch_takes_the_longest_unused(world):
     assert {r.handle for r in lake.table(tables.CANDIDATES).collect()} == {"0x5", "0x6"}
 
 
+def test_what_a_batch_leaves_is_counted(world):
+    lake, catalog, source, dest = world
+    config.update(lake, "batch_size", "2", "admin", "small", NOW - timedelta(days=1))
+    assert run.left_over(lake, catalog, NOW) == 7
+    run.run_all(lake, catalog, NOW, source, dest)
+    assert run.left_over(lake, catalog, NOW) == 5
+    config.update(lake, "batch_size", "500", "admin", "large", NOW)
+    run.run_all(lake, catalog, NOW + timedelta(hours=1), source, dest)
+    assert run.left_over(lake, catalog, NOW) == 1  # the one whose source is gone
+
+
 SETTINGS = Settings(C.DEFAULT_CONFIG | {"auto_delete_local": "true"})
 
 
