@@ -113,20 +113,21 @@ def indexed(documents: DataFrame, vocabulary: Iterable[bytes], settings: Setting
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         block = _Block()
         for batch in batches:
-            ids = batch["doc_id"].astype("Int64")
-            for doc_id, text in zip(ids, batch["text"], strict=True):
+            for doc_id, known, text in zip(batch["doc_id"], batch["known"], batch["text"], strict=True):
                 counts = term_counts(text)
                 if not counts:
                     continue
                 hits = {numbers[term]: counts[term] for term in counts.keys() & numbers.keys()}
-                block.add(None if doc_id is pd.NA else doc_id, counts.total(), hits)
+                block.add(doc_id if known else None, counts.total(), hits)
                 if len(block.ids) >= settings.block_docs or len(block.at) >= settings.block_postings:
                     yield block.row()
                     block = _Block()
         if block.ids:
             yield block.row()
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    doc_id = F.col("doc_id").cast("long")  # with nulls it would come as doubles, which round large ids
+    rows = documents.select(F.coalesce(doc_id, F.lit(0)).alias("doc_id"), doc_id.isNotNull().alias("known"),
+                            F.col("text").cast("string").alias("text"))
     return rows.mapInPandas(blocks, INDEX)
 
 

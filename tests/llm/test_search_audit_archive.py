@@ -72,6 +72,13 @@ def test_search_of_messy_rows(messy, empty, spark):
     assert found(empty, asked) == [] and found(messy, asked.limit(0)) == []
 
 
+def test_large_ids_stay_exact_beside_unknown_ones(spark):
+    docs = [((1 << 60) + 1, "a b"), (None, "a"), (-(1 << 60) - 1, "a c d")]
+    table = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    items = [((1 << 59) + 1, "a a b")]
+    assert found(table, spark.createDataFrame(items, ITEMS)) == plain_search(docs, items)
+
+
 def test_long_texts_are_taken_apart_whole(monkeypatch):
     text = "Ab,c4é \x00x" * 500
     whole = lexical_search.term_counts(text)
