@@ -76,9 +76,9 @@ def daily_snapshots(versions: DataFrame) -> DataFrame:
         F.max_by("config_value", F.struct("updated_at", "config_value")).alias("config_value")
     )
     following = F.lead("day").over(Window.partitionBy("config_key").orderBy("day"))
-    end = last.agg(F.max("day").alias("end"))
-    valid = last.withColumn("until", F.date_sub(following, 1)).join(F.broadcast(end)).select(
-        "config_key", "config_value", F.explode(F.sequence("day", F.coalesce("until", "end"))).alias("day")
+    end = last.agg(F.max("day").alias("end")).select("end").scalar()
+    valid = last.withColumn("until", F.coalesce(F.date_sub(following, 1), end)).select(
+        "config_key", "config_value", F.explode(F.sequence("day", "until")).alias("day")
     )
     return valid.groupBy("day").agg(settings.snapshot_text(F.col("config_key"), F.col("config_value")).alias("snapshot"))
 
@@ -92,10 +92,11 @@ def event_snapshots(events: DataFrame, versions: DataFrame) -> DataFrame:
     entries = F.map_entries(F.from_json("config_snapshot", "map<string,string>"))
     pairs = F.transform(F.array_sort(entries), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
     days = daily_snapshots(versions)
-    newest_day = days.agg(F.max("day").alias("newest_day"))
+    newest = versions.agg(F.max(F.col("updated_at").cast("date")).alias("newest")).select("newest").scalar()
     rows = events.select(
-        "event_id", F.col("event_timestamp").cast("date").alias("on_day"), F.array_join(pairs, ";").alias("settings")
-    ).join(F.broadcast(newest_day))
-    return rows.join(days, F.least("on_day", "newest_day") == F.col("day"), "left").select(
+        "event_id", F.array_join(pairs, ";").alias("settings"),
+        F.least(F.col("event_timestamp").cast("date"), newest).alias("on_day"),
+    )
+    return rows.join(days, F.col("on_day") == F.col("day"), "left").select(
         "event_id", "settings", F.col("snapshot").alias("built")
     )
