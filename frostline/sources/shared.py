@@ -42,3 +42,12 @@ def drop_written(table: DataFrame) -> None:
         jvm, spark = table.sparkSession._jvm, table.sparkSession
         path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(files[0].rpartition("/")[0]))
         path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files that no table in use can read any more.
+
+    Spark does so when the driver's JVM collects garbage; jobs of many stages fill the executors' disks before that
+    happens by itself.
+    """
+    spark._jvm.System.gc()
