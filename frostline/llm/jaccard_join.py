@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from frostline.llm.components import components
 from frostline.llm.text import WordHashes, lowered_words, mixed, window_hashes
-from frostline.sources.shared import drop_written, written
+from frostline.sources.shared import drop_written, free_shuffles, written
 
 
 @dataclass(frozen=True)
@@ -337,6 +337,7 @@ def _links(documents: DataFrame, sets: DataFrame, keyed: DataFrame, settings: Se
     )
     band = F.floor(F.log(F.col("n_shingles").cast("double")) / math.log(100 / settings.percent)).cast("int")
     drop_written(clusters)
+    free_shuffles(spark)  # of keys and rounds
     banded = members.withColumn("band", band)
     sums = banded.groupBy("root", "band").agg(F.sum("n_shingles").alias("of_band"))
     whole = sums.groupBy("root").agg(F.sum("of_band").alias("of_root"))
@@ -370,6 +371,8 @@ def _links(documents: DataFrame, sets: DataFrame, keyed: DataFrame, settings: Se
         ).dropDuplicates(["node"]),
         "contents",
     )
+    del contents, texts, wanted
+    free_shuffles(spark)  # of texts
     packs = max(1, -(-total // settings.tile_shingles)) * 4
     pack = F.pmod(F.xxhash64("root", "band", "tile"), F.lit(packs))
     inside = written(
@@ -377,6 +380,7 @@ def _links(documents: DataFrame, sets: DataFrame, keyed: DataFrame, settings: Se
     )
     if not tiled.where("large").limit(1).count():
         return members, inside
+    free_shuffles(spark)
     # Pairs of tiles of the same band or the next, with what is connected already.
     known = components(inside).select(F.col("node").alias("in_node"), F.col("root").alias("known_label"))
     large = full.where("large").join(known, F.col("node") == F.col("in_node"), "left").select(
