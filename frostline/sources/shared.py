@@ -27,11 +27,26 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     return f"{shared_dir(spark)}/{purpose}-{uuid4().hex}"
 
 
+# Spark's setting: delete the shuffle files of a query when it ends, not when the driver happens to collect garbage.
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(rows: DataFrame, purpose: str) -> DataFrame:
-    """The rows as a table in the shared folder: computed once, and safe from lost executors."""
+    """The rows as a table in the shared folder: computed once, and safe from lost executors.
+
+    Once they are there, nothing reads the shuffle files that they came from; jobs of many stages would fill the
+    executors' disks with them.
+    """
     spark = rows.sparkSession
-    folder = scratch_dir(spark, purpose)
-    rows.write.parquet(folder)
+    folder, before = scratch_dir(spark, purpose), spark.conf.get(_FREE_SHUFFLES, None)
+    spark.conf.set(_FREE_SHUFFLES, "true")
+    try:
+        rows.write.parquet(folder)
+    finally:
+        if before is None:
+            spark.conf.unset(_FREE_SHUFFLES)
+        else:
+            spark.conf.set(_FREE_SHUFFLES, before)
     return spark.read.schema(rows.schema).parquet(folder)
 
 
@@ -42,12 +57,3 @@ def drop_written(table: DataFrame) -> None:
         jvm, spark = table.sparkSession._jvm, table.sparkSession
         path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(files[0].rpartition("/")[0]))
         path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-
-
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files that no table in use can read any more.
-
-    Spark does so when the driver's JVM collects garbage; jobs of many stages fill the executors' disks before that
-    happens by itself.
-    """
-    spark._jvm.System.gc()
