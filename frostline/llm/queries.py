@@ -219,14 +219,15 @@ FROM documents d JOIN reach USING (doc_id) LEFT JOIN sizes USING (doc_id) GROUP
 SNAPSHOT_SQL = """
 WITH turns AS (
   SELECT DISTINCT conv_id, turn, role, text, md5(coalesce('r' || role, '') || '/' || md5(coalesce('t' || text, ''))) AS h FROM conversations),
-logged AS (SELECT conv_id, count(*) AS n_turns, string_agg(h, ',' ORDER BY turn) || ',' AS whole FROM turns GROUP BY conv_id),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS place FROM turns),
+logged AS (SELECT conv_id, count(*) AS n_turns, string_agg(h, ',' ORDER BY place) || ',' AS whole FROM placed GROUP BY conv_id),
 kept AS (
   SELECT min(conv_id) AS conv_id, n_turns, count(*) AS n_copies FROM logged l
   WHERE NOT EXISTS (SELECT 1 FROM logged o WHERE o.n_turns > l.n_turns AND starts_with(o.whole, l.whole))
   GROUP BY whole, n_turns)
-SELECT conv_id, turn // 1024 AS part, n_turns, n_copies,
-  string_agg('<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10), '' ORDER BY turn) AS rendered
-FROM turns JOIN kept USING (conv_id) GROUP BY conv_id, part, n_turns, n_copies"""
+SELECT conv_id, (place - 1) // 1024 AS part, n_turns, n_copies,
+  string_agg('<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10), '' ORDER BY place) AS rendered
+FROM placed JOIN kept USING (conv_id) GROUP BY conv_id, part, n_turns, n_copies"""
 
 LEXICAL_SQL = r"""
 WITH texts AS (

@@ -1,6 +1,5 @@
 """Operators that bring rows together, against brute force: similarity, neighbours, host links, conversations."""
 
-import itertools
 import random
 import re
 from collections import Counter, defaultdict
@@ -261,8 +260,8 @@ def plain_render(rows, block=1024):
         same = [o for o in plain if plain[o] == turns]
         inside = any(len(o) > len(turns) and o[: len(turns)] == turns for o in plain.values())
         if not inside and c == min((o for o in same if o is not None), default=None):
-            parts = itertools.groupby(ordered[c], key=lambda t: -1 if t[0] is None else t[0] // block)
-            for part, own in parts:
+            for part in range(-(-len(turns) // block)):
+                own = ordered[c][part * block : (part + 1) * block]
                 text = "".join(f"<|{'unknown' if r is None else r}|>\n{x or ''}<|end|>\n" for _, r, x in own)
                 out.append((c, part, len(turns), len(same), text))
     return sorted(out)
@@ -282,8 +281,9 @@ def test_collapse_as_by_brute_force(spark, block):
         rows += [(conv, *r) for r in own]
     rows += [(200, None, "user", "a"), (200, 0, "x", "b"), (201, 0, "", None), (202, 0, None, "")]
     table = spark.createDataFrame(rows + rows[:30], "conv_id long, turn long, role string, text string").withColumn("h1", F.lit(1))
-    out = chat.render(table, chat.Settings(turn_block=block))
-    assert sorted(tuple(r) for r in out.collect()) == plain_render(rows, block)
+    for crowded in (1 << 16, 2):
+        out = chat.render(table, chat.Settings(turn_block=block, crowded=crowded))
+        assert sorted(tuple(r) for r in out.collect()) == plain_render(rows, block)
 
 
 def test_turns_of_one_number_have_one_order(spark):
@@ -301,6 +301,26 @@ def test_conversations_without_id_or_turns(spark):
     assert chat.render(table.where("false")).count() == 0
 
 
+def test_a_third_of_all_turns_without_id_or_number(spark):
+    """No group of the plan grows with a conversation: shards and parts stay near turn_block rows."""
+    rows = spark.range(30000).select(
+        F.when(F.col("id") % 3 > 0, F.col("id")).alias("conv_id"), F.when(F.col("id") % 3 > 0, F.lit(0)).alias("turn"),
+        F.lit("user").alias("role"), F.col("id").cast("string").alias("text"),
+    )
+    numbered = rows.union(spark.range(6000).selectExpr("null", "id % 2", "'user'", "concat('n', id)"))
+    settings = chat.Settings(turn_block=64, crowded=1000)
+    out = chat.render(numbered.union(numbered), settings).collect()
+    own = sorted((r for r in out if r.conv_id is None), key=lambda r: r.part)
+    assert [r.part for r in own] == list(range(250)) and all(r.n_turns == 16000 for r in own)
+    assert all(r.rendered.count("<|user|>") == 64 for r in own) and len(out) == 20250
+    texts = re.findall(r"\n(n?\d+)<", "".join(r.rendered for r in own))
+    assert sorted(texts) == sorted([str(i) for i in range(0, 30000, 3)] + [f"n{i}" for i in range(6000)])
+    assert [t[0] == "n" for t in texts] == [False] * 10000 + [True] * 6000
+    assert [int(t[1:]) % 2 for t in texts[10000:]] == [0] * 3000 + [1] * 3000
+    sizes = chat._sharded(numbered, settings).groupBy("conv_id", "shard").count().agg(F.max("count")).first()[0]
+    assert sizes < 3 * 64
+
+
 # The pipeline's copies
 
 
