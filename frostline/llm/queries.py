@@ -134,7 +134,7 @@ def _host_trust_sql(rounds: int = 40, damping: float = 0.7) -> str:
     for name, source, target in (("t", "source", "target"), ("d", "target", "source")):
         seed = {"t": "allowed", "d": "blocked"}[name]
         walks.append(f"{name}_share AS (SELECT {source} AS s, {target} AS g, "
-                     f"weight / sum(weight) OVER (PARTITION BY {source}) AS share FROM links)")
+                     "weight / sum(weight) OVER (PARTITION BY source) AS share FROM links)")
         walks.append(f"{name}0 AS (SELECT host, {seed} AS mass FROM seeds)")
         for i in range(1, rounds + 1):
             walks.append(f"{name}{i} AS MATERIALIZED (SELECT g AS host, sum(mass * share * {damping}) AS mass "
@@ -162,7 +162,8 @@ found AS (
   SELECT host AS source, unnest(regexp_extract_all(html, '(?i)href\\x20*=\\x20*["'']?\\x20*([^"''\\x20>]+)', 1)) AS link FROM acted),
 links AS (
   SELECT source, target, count(*) AS weight FROM (
-    SELECT source, {host.format(link)} AS target FROM found WHERE contains(link, '://') OR starts_with(link, '//'))
+    SELECT source, {host.format(link)} AS target FROM found
+    WHERE regexp_matches(link, '^([A-Za-z][A-Za-z0-9+.-]*:)?//'))
   WHERE source <> '' AND target <> '' AND source <> target GROUP BY 1, 2),
 {", ".join(walks)}
 SELECT page_id, a.host, path, rule, coalesce(action, CASE WHEN coalesce(d.score, 0) >= 0.5

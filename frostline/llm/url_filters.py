@@ -1,7 +1,9 @@
 """URL filters by rules, and by trust and distrust that spread over the link graph of hosts.
 
-Trust walks along links from hosts that the rules allow, distrust walks against them from hosts that the rules block:
-a host is as good as those that link to it, and as bad as those it links to. Both are personalised PageRanks.
+Trust walks along links from hosts that the rules allow: a personalised PageRank, shared among the hosts that a host
+links to. Distrust walks against the links from hosts that the rules block. It isn't shared among a blocked host's
+linkers; each takes as much as the share of its own links that goes there, so a host is as bad as the hosts it links
+to, however many others link to them too.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 
 from frostline.sources.shared import written
 
+ABSOLUTE = r"^([A-Za-z][A-Za-z0-9+.-]*:)?//"
 HREF = r"""(?i)href\x20*=\x20*["']?\x20*([^"'\x20>]+)"""
 
 
@@ -28,9 +31,9 @@ class Rules:
 
 @dataclass(frozen=True)
 class Settings:
-    """damping: share of a score that goes on along links. A walk ends when what is left to pass on falls below
-    tolerance times the seeds' sum, or after max_rounds. Hosts with at least min_distrust and more distrust than trust
-    are blocked; a host whose pages are all blocked by rules has distrust 1 or more."""
+    """damping: share of a score that goes on along links. A walk ends when no host has more than tolerance left to
+    pass on, or after max_rounds. Hosts with at least min_distrust and more distrust than trust are blocked; a host
+    whose pages are all blocked by rules has distrust 1 or more, one that links to nothing else at least the damping."""
 
     damping: float = 0.7
     tolerance: float = 1e-4
@@ -62,10 +65,10 @@ def rule_for(host: Column, path: Column, rules: Rules) -> Column:
 def links(pages: DataFrame) -> DataFrame:
     """source, target, weight: hosts, and the number of links between them. Links within a host don't count.
 
-    The links of a page are counted before the shuffle.
+    Only links that begin with a scheme or // name a host; an address in the query of another link doesn't. The links
+    of a page are counted before the shuffle.
     """
-    targets = F.filter(F.regexp_extract_all("html", F.lit(HREF), F.lit(1)),
-                       lambda x: x.contains("://") | x.startswith("//"))
+    targets = F.filter(F.regexp_extract_all("html", F.lit(HREF), F.lit(1)), lambda x: x.rlike(ABSOLUTE))
     found = pages.where(F.col("html").isNotNull()).select(host_of(F.col("url")).alias("source"), F.explode(targets).alias("link"))
     target = host_of(F.when(F.col("link").startswith("//"), F.concat(F.lit("x:"), F.col("link"))).otherwise(F.col("link")))
     return found.select("source", target.alias("target")).where(
@@ -73,27 +76,30 @@ def links(pages: DataFrame) -> DataFrame:
     ).groupBy("source", "target").agg(F.count("*").alias("weight"))
 
 
-def walk(seeds: DataFrame, edges: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """host, score: what the seeds (host, mass) spread over the edges (source, target, weight).
+def shares(edges: DataFrame) -> DataFrame:
+    """source, target, share: the share of the source's links that goes to the target."""
+    sums = edges.groupBy("source").agg(F.sum("weight").alias("out"))
+    return written(
+        edges.join(sums, "source").select("source", "target", (F.col("weight") / F.col("out")).alias("share")), "shares"
+    )
+
+
+def walk(seeds: DataFrame, steps: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """host, score: what the seeds (host, mass) spread over the steps (source, target, share).
 
     The score of a host is the sum over all walks from the seeds that end there, each step damped. Every round is one
     join and one aggregation, kept as a table; a host with very many links is one that adaptive execution splits.
     """
-    sums = edges.groupBy("source").agg(F.sum("weight").alias("out"))
-    shares = written(
-        edges.join(sums, "source").select("source", "target", (F.col("weight") / F.col("out")).alias("share")), "shares"
-    )
     front = written(seeds.where(F.col("mass") > 0).select("host", "mass"), "front")
-    all_fronts, total, rounds = [front], front.agg(F.sum("mass")).first()[0] or 0.0, 0
-    least = settings.tolerance * total
-    while total > least and rounds < settings.max_rounds:
+    all_fronts, most, rounds = [front], front.agg(F.max("mass")).first()[0] or 0.0, 0
+    while most > settings.tolerance and rounds < settings.max_rounds:
         front = written(
-            front.join(shares, F.col("host") == F.col("source")).groupBy("target").agg(
+            front.join(steps, F.col("host") == F.col("source")).groupBy("target").agg(
                 F.sum(F.col("mass") * F.col("share") * settings.damping).alias("mass")
             ).withColumnRenamed("target", "host"),
             "front",
         )
-        total, rounds = front.agg(F.sum("mass")).first()[0] or 0.0, rounds + 1
+        most, rounds = front.agg(F.max("mass")).first()[0] or 0.0, rounds + 1
         all_fronts.append(front)
     reached = all_fronts[0]
     for front in all_fronts[1:]:
@@ -120,9 +126,9 @@ def judge(pages: DataFrame, rules: Rules, settings: Settings = Settings()) -> Da
         ),
         "hosts",
     )
-    edges = written(links(pages), "links")
-    back = edges.select(F.col("target").alias("source"), F.col("source").alias("target"), "weight")
-    trust = walk(hosts.select("host", F.col("allowed").alias("mass")), edges, settings).withColumnRenamed("score", "trust")
+    ahead = shares(written(links(pages), "links"))
+    back = ahead.select(F.col("target").alias("source"), F.col("source").alias("target"), "share")
+    trust = walk(hosts.select("host", F.col("allowed").alias("mass")), ahead, settings).withColumnRenamed("score", "trust")
     distrust = walk(hosts.select("host", F.col("blocked").alias("mass")), back, settings).withColumnRenamed("score", "distrust")
     scores = written(trust.join(distrust, "host", "full_outer").na.fill(0.0, ["trust", "distrust"]), "scores")
     judged = ruled.join(scores, "host", "left").na.fill(0.0, ["trust", "distrust"])

@@ -232,11 +232,11 @@ def test_scores_as_by_dense_iteration(spark):
         own = [u for _, u, _ in pages if u.split("/")[2] == hosts[h]]
         actions = ["block" if hosts[h].endswith(".net") else "allow" if hosts[h].endswith(".org") and "/fr/" in u else "" for u in own]
         seeds[:, h] = [actions.count(a) / max(len(own), 1) for a in ("allow", "block")]
-    for seed, matrix, column in ((seeds[0], links, "trust"), (seeds[1], links.T, "distrust")):
-        shares = matrix / np.maximum(matrix.sum(axis=1, keepdims=True), 1e-9)
+    shares = links / np.maximum(links.sum(axis=1, keepdims=True), 1e-9)
+    for seed, steps, column in ((seeds[0], shares, "trust"), (seeds[1], shares.T, "distrust")):
         front = total = seed
         for _ in range(60):
-            front = 0.7 * front @ shares
+            front = 0.7 * front @ steps
             total = total + front
         for r in out:
             assert abs(r[column] - total[place[r.host]]) < 1e-3
@@ -246,6 +246,18 @@ def test_scores_as_by_dense_iteration(spark):
     assert url_filters.judge(table.where("false"), RULES).count() == 0
 
 
+@pytest.mark.parametrize("linkers", [2, 1000])
+def test_hosts_that_link_only_to_blocked_ones(spark, linkers):
+    pages = [("http://bad.net/x", "")] + [(f"http://only{i}.com/", "<a href=http://bad.net/x>") for i in range(linkers)]
+    pages += [(f"http://few{i}.com/", "<a href=http://bad.net/><a href=http://fine.com/><a href=//fine.com/>") for i in range(linkers)]
+    pages += [("http://fine.com/", "<a href='/go?u=http://bad.net/x'><a href='?//bad.net/'>")]
+    table = spark.createDataFrame([(i, *p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    out = {r.host: (r.verdict, r.distrust) for r in url_filters.judge(table, RULES).collect()}
+    assert all(out[f"only{i}.com"] == ("block", pytest.approx(0.7)) for i in range(linkers))
+    assert all(out[f"few{i}.com"] == ("allow", pytest.approx(0.7 / 3)) for i in range(linkers))
+    assert out["fine.com"] == ("allow", 0.0)
+
+
 # Conversations
 
 
