@@ -139,12 +139,15 @@ def render(conversations: DataFrame, settings: Settings = Settings()) -> DataFra
     """
     rolled = written(prefixes(conversations, settings), "prefixes")
     kept = written(maximal(rolled), "maximal").withColumnRenamed("conv_id", "of_conv")
-    # One struct as key: its null fields are equal to each other, and the texts keep their partitions for the join.
-    key = F.struct("conv_id", "turn", "h1", "h2").alias("key")
+    # One struct as key: its null fields are equal to each other. Its type is the same on both sides (hashes are never
+    # null), so the texts keep their partitions for the join.
+    key = F.struct("conv_id", "turn", *[F.coalesce(h, F.lit(0)).alias(h) for h in ("h1", "h2")]).alias("key")
     places = rolled.join(kept, F.col("conv_id").eqNullSafe(F.col("of_conv"))).select(
         key, "conv_id", "place", F.floor((F.col("place") - 1) / settings.turn_block).cast("long").alias("part"), "n_turns", "n_copies"
     )
-    texts = _turns(conversations).groupBy(key).agg(F.first("role").alias("role"), F.first("text").alias("text"))
+    texts = _turns(conversations).select(key, "role", "text").groupBy("key").agg(
+        F.first("role").alias("role"), F.first("text").alias("text")
+    )
     piece = lambda t: F.concat(
         F.lit(settings.before_role), F.coalesce(t["role"], F.lit("unknown")), F.lit(settings.after_role),
         F.coalesce(t["text"], F.lit("")), F.lit(settings.after_turn),
