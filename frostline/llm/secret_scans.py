@@ -30,13 +30,15 @@ class Settings:
     """min_length: characters of a token that is judged. train_length: of one that trains the models.
 
     prior: share of random strings among such tokens; the ratio must outweigh it. smoothing: added to every count.
-    min_distinct: different characters of a random string; rulers and fillers have fewer.
+    novel: share of a new token's characters that don't depend on the one before, but come as often as in all samples of
+    their class: a word with a pair that no sample holds isn't random for that. min_distinct: different characters of a random string; rulers and fillers have fewer.
     """
 
     min_length: int = 16
     train_length: int = 8
     prior: float = 1e-4
     smoothing: float = 0.5
+    novel: float = 0.2
     min_distinct: int = 7
 
 
@@ -64,30 +66,50 @@ def labelled_samples(documents: DataFrame, settings: Settings = Settings()) -> D
     )
 
 
+def _identifiers(word: Column) -> Column:
+    """A word of letters as it stands in identifiers: camel and Pascal case, with _ and -, in capitals, in paths, and
+    with a number after it. A word is joined to itself, so that all ends and beginnings of words meet somewhere."""
+    low, number = F.lower(word), F.pmod(F.xxhash64(word), F.lit(100)).cast("string")
+    title, capitals = F.initcap(low), F.upper(word)
+    return F.array(
+        F.concat(low, title, title), F.concat(title, title, number), F.concat(low, F.lit("_"), low, number),
+        F.concat(capitals, F.lit("_"), capitals), F.concat(low, F.lit("-"), low, F.lit("-"), title),
+        F.concat(F.lit("/"), low, F.lit("/"), low, number, F.lit("/"), low),
+        F.concat(low, number, F.lit("_"), low), F.concat(number, F.lit("-"), low, F.lit("_"), number),
+    )
+
+
 def train(samples: DataFrame, settings: Settings = Settings()) -> Model:
     """Transition models from labelled samples (token, is_random).
 
-    Only counts of pairs reach the driver, at most 2 * len(ALPHABET)^2. A class without samples is uniform. Characters
-    outside the alphabet are left out.
+    Ordinary tokens of letters alone also count in the shapes of identifiers made of them. Equal tokens are counted
+    before they are taken apart. Only counts of pairs reach the driver, at most 2 * len(ALPHABET)^2. A class without
+    samples is uniform. Characters outside the alphabet are left out.
     """
     letters = F.split("token", "")
-    pairs = samples.where(F.length("token") >= 2).select(
-        "is_random",
+    counted = samples.where(F.length("token") >= 2).groupBy("is_random", "token").agg(F.count("*").alias("n"))
+    shaped = F.when(~F.col("is_random") & F.col("token").rlike(r"^[A-Za-z]+\z"), _identifiers(F.col("token")))
+    forms = F.concat(F.array("token"), F.coalesce(shaped, F.array().cast("array<string>")))
+    pairs = counted.select("is_random", "n", F.explode(forms).alias("token")).select(
+        "is_random", "n",
         F.explode(let(letters, lambda c: F.transform(
             F.sequence(F.lit(1), F.size(c) - 1), lambda i: F.concat(F.element_at(c, i), F.element_at(c, i + 1))
         ))).alias("pair"),
     ).where(F.col("pair").rlike(r"^[A-Za-z0-9+/_-]{2}\z"))
-    counts = {(r.is_random, r.pair): r["count"] for r in pairs.groupBy("is_random", "pair").count().collect()}
-    ratios = []
+    counts = {(r.is_random, r.pair): r.n for r in pairs.groupBy("is_random", "pair").agg(F.sum("n").alias("n")).collect()}
+    size, ratios = len(ALPHABET), []
+    seconds = {(kind, x): sum(counts.get((kind, first + x), 0) for first in ALPHABET) for kind in (True, False) for x in ALPHABET}
+    seen = {kind: sum(seconds[kind, x] for x in ALPHABET) for kind in (True, False)}
     for first in ALPHABET:
         sums = {kind: sum(counts.get((kind, first + x), 0) for x in ALPHABET) for kind in (True, False)}
         for second in ALPHABET:
             chance = {
-                kind: math.log((counts.get((kind, first + second), 0) + settings.smoothing)
-                               / (sums[kind] + settings.smoothing * len(ALPHABET)))
+                kind: settings.novel * (seconds[kind, second] + settings.smoothing) / (seen[kind] + settings.smoothing * size)
+                + (1 - settings.novel) * (counts.get((kind, first + second), 0) + settings.smoothing)
+                / (sums[kind] + settings.smoothing * size)
                 for kind in (True, False)
             }
-            ratios.append(chance[True] - chance[False])
+            ratios.append(math.log(chance[True] / chance[False]))
     return Model(tuple(ratios))
 
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+import string
 from collections import Counter
 
 import numpy as np
@@ -154,6 +155,36 @@ def test_markov_spans_and_held_out_tokens(spark, secret_model):
     assert all(("markov", 2, 2 + len(r.t)) == (secret_scans.KINDS[r.s[0].rank], r.s[0].start, r.s[0].end) for r in rows if r.s and r.r)
 
 
+IDENTIFIER_WORDS = (  # none of those that the share of novel characters was chosen with
+    "create delete image vector matrix kernel driver window button label panel layout client server socket service bridge "
+    "adapter visitor observer context module binding resource template string number object array query result record "
+    "column schema storage engine cluster node shard replica backup restore monitor metric logger trace debug error"
+).split()
+
+
+def test_identifiers_of_every_shape_are_no_secrets(spark, secret_model):
+    """Made of words of which the documents hold few; under 2 % false alarms for each shape."""
+    rng = random.Random(5)
+    of = lambda n: [rng.choice(IDENTIFIER_WORDS) for _ in range(n)]
+    shapes = {
+        "camel": lambda: "x" + "".join(w.title() for w in of(4)), "pascal": lambda: "".join(w.title() for w in of(4)),
+        "snake": lambda: "_".join(of(4)), "capitals": lambda: "_".join(of(4)).upper(), "kebab": lambda: "-".join(of(4)),
+        "path": lambda: "/" + "/".join(of(4)) + str(rng.randrange(10)),
+        "numbered": lambda: "_".join(of(3)) + str(rng.randrange(100)) + "-" + of(1)[0] + "-v2",
+    }
+    rows = [(shape, make()) for shape, make in shapes.items() for _ in range(400)]
+    rows += [("known", x) for x in ("getUserAccountSettingsById", "AbstractSingletonProxyFactoryBean",
+                                    "/usr/local/lib/python3/site-packages", "x86_64-unknown-linux-gnu-v2")]
+    letters = string.ascii_letters + string.digits
+    rows += [(f"random{n}", "".join(rng.choice(letters) for _ in range(n))) for n in (16, 20, 32, 40) for _ in range(300)]
+    table = spark.createDataFrame(rows, "shape string, t string").repartition(4)
+    found = table.select("shape", F.size(secret_scans.scan(F.concat(F.lit("a "), F.col("t"), F.lit(" b")), secret_model)).alias("n"))
+    share = {r.shape: r.share for r in found.groupBy("shape").agg(F.avg((F.col("n") > 0).cast("int")).alias("share")).collect()}
+    assert share.pop("known") == 0
+    for shape, part in share.items():
+        assert (part >= 0.95) if shape.startswith("random") else (part < 0.02), (shape, part)
+
+
 def test_redaction_leaves_no_secret(spark, secret_model):
     texts = spark.createDataFrame([(i, t) for i, t in enumerate(SECRETS)], "doc_id long, text string")
     clean = texts.select(F.col("text").alias("old"), secret_scans.redacted(F.col("text"), secret_model).alias("text"))
