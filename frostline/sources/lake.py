@@ -75,15 +75,24 @@ NO_DATE = "__HIVE_DEFAULT_PARTITION__"
 
 
 GRAM = 3
+POSTINGS = 1 << 19  # of one task, about
 
 
 def path_grams(rows: DataFrame) -> DataFrame:
-    """gram, element_handle, registration_id: each run of three characters that an element's path holds, once."""
+    """gram, element_handle, registration_id: each run of three characters that an element's path holds, once, in ranges.
+
+    A task gets a bounded number of them, however many rows the one that reads the paths has: paths are dealt out
+    before they are taken apart, and equal postings meet in their range, not in a table of all that a reader finds.
+    """
+    paths = rows.where(F.length("original_path") >= GRAM).select("element_handle", "registration_id", "original_path")
+    total = paths.agg(F.sum(F.length("original_path") - (GRAM - 1))).first()[0] or 0
+    parts = total // POSTINGS + 1
     starts = F.sequence(F.lit(1), F.length("original_path") - (GRAM - 1))
     grams = F.array_distinct(F.transform(starts, lambda at: F.substring(F.col("original_path"), at, F.lit(GRAM))))
-    return rows.where(F.length("original_path") >= GRAM).select(
+    postings = paths.repartition(parts, *paths.columns).distinct().select(
         F.explode(grams).alias("gram"), "element_handle", "registration_id"
-    ).distinct()
+    )
+    return postings.repartitionByRange(parts, *postings.columns).distinct()
 
 
 def _quoted(value: str) -> str:
@@ -171,8 +180,6 @@ class Lake:
         )
         if self.buckets and name == REGISTRY:
             batch = batch.repartition(self.buckets, "element_handle")
-        elif name == PATH_GRAMS:
-            batch = batch.repartitionByRange("gram", "element_handle")
         if name in self.order:  # statistics of the files then tell where a value's rows may be
             batch = batch.sortWithinPartitions(*[f.name for f in partitions], self.order[name])
         batch.write.insertInto(f"{self.database}.{name}", overwrite=True)

@@ -288,10 +288,11 @@ def _(t):
        FROM asset_registry WHERE contains(coalesce(original_path, ''), '_77')""",
        "asset_registry")
 def _(t):
-    """By the postings that a batch of the registry brings along."""
+    """By the postings that a batch of the registry brings along, loaded in ranges of elements: few readers may have all."""
     lake = Lake(t.spark, f"frostline_{uuid4().hex}", path_index=True)
     lake.ensure_tables(scratch_dir(t.spark, "lake"))
-    lake.write_batch(tables.REGISTRY, t.asset_registry, "load", "load")
+    loaded = t.asset_registry.repartitionByRange("element_handle", "registration_id")
+    lake.write_batch(tables.REGISTRY, loaded, "load", "load")
     return registry.locate_indexed(lake, "*_77*")
 
 

@@ -342,6 +342,27 @@ def test_contained_texts_are_found_by_postings(spark, lake):
     assert {r.batch_stage for r in indexed.table(tables.PATH_GRAMS).select("batch_stage").distinct().collect()} == {tables.COMPACTION}
 
 
+def test_postings_of_one_reader_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(tables, "POSTINGS", 2000)
+    rows = spark.range(0, 400, 1, 1).select(
+        F.when(F.col("id") % 50 > 0, F.format_string("h%d", F.col("id") % 200)).alias("element_handle"),
+        F.when(F.col("id") % 7 > 0, F.format_string("r%d", F.col("id") % 200)).alias("registration_id"),
+        F.when(F.col("id") % 9 > 0, F.concat(F.lit("/tenant/"), F.col("id") % 300, F.lit("/"), F.col("id") % 300)).alias("original_path"),
+    )
+    rows = rows.unionByName(rows.limit(3)).unionByName(spark.createDataFrame([("h", "r", "ab"), ("h", "r", "")], rows.schema)).coalesce(1)
+    wanted = {(path[at : at + 3], of, as_) for of, as_, path in rows.collect() if path for at in range(len(path) - 2)}
+    grams = tables.path_grams(rows)
+    of_task = [list(map(tuple, part)) for part in grams.rdd.glom().collect()]
+    assert sorted(sum(of_task, []), key=str) == sorted(wanted, key=str)
+    assert len(of_task) > 2 and max(map(len, of_task)) < 4000  # before: as many as shuffles have parts
+    order = [set(p) for p in of_task if p]
+    assert all(max(r[0] for r in a) <= min(r[0] for r in b) for a, b in zip(order, order[1:], strict=False))
+    # No aggregate in the stage that reads the paths: below the first exchange there is only the scan.
+    plan = grams._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("HashAggregate") and "HashAggregate" not in plan.rpartition("Exchange")[2]
+    assert tables.path_grams(rows.limit(0)).count() == 0
+
+
 def test_bucketed_registry_needs_no_exchange(spark, tmp_path):
     from uuid import uuid4
 
