@@ -164,9 +164,9 @@ class CountTree:
 
     def __init__(self, sets: list[np.ndarray], groups: int, leaf: int, fan: int):
         self.sizes = np.array([len(s) for s in sets])
-        self.points = np.stack([
-            np.bincount((mixed(s) >> np.uint64(17)) % np.uint64(groups), minlength=groups) for s in sets
-        ]).astype(np.int32)
+        self.points = np.empty((len(sets), groups), np.int32)  # filled in place: a tile's counts are held once
+        for point, s in zip(self.points, sets, strict=True):
+            point[:] = np.bincount((mixed(s) >> np.uint64(17)) % np.uint64(groups), minlength=groups)
         # Sorted by size, then by the heaviest group: like sets share leaves.
         self.order = np.lexsort((self.points.argmax(axis=1), self.sizes))
         self.levels = []

@@ -37,7 +37,7 @@ def lowered_words(text: str | None) -> list[bytes]:
 class WordHashes(dict):
     """64-bit hash of each word, remembered while it fits."""
 
-    LIMIT = 1 << 19
+    LIMIT = 1 << 17
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

@@ -64,7 +64,7 @@ def distinct_words(text: str | None) -> set[str]:
 class Features(dict):
     """Features of each word, remembered while they fit."""
 
-    LIMIT = 200_000
+    LIMIT = 1 << 16
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) >= self.LIMIT:
@@ -229,7 +229,7 @@ def score_column(text: Column, model: Model) -> Column:
                 for word in distinct_words(text):
                     hits = known.get(word)
                     if hits is None:
-                        if len(known) > 500_000:
+                        if len(known) > 1 << 17:
                             known.clear()
                         hits = known[word] = tuple(f for f in features_of(word) if f in weights)
                     if hits:

@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -351,3 +352,35 @@ def test_pipeline_takes_near_copies_at_five_words_and_four_fifths(spark):
     kept = corpus_pipeline.drop_copies(spark, docs, "").collect()
     assert sorted(r.doc_id for r in kept if r.doc_id is not None) == [1, 4, 5]
     assert sorted(r.text[:1] for r in kept if r.doc_id is None) == ["", "", "c"]
+
+
+def test_python_gets_small_batches_while_tables_are_written(spark):
+    from frostline.sources.shared import written
+
+    def sizes(batches):
+        for batch in batches:
+            yield pd.DataFrame({"n": [int(batch["text"].str.len().sum())]})
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    texts = spark.range(0, 6000, 1, 1).select(F.repeat(F.lit("text "), 1000).alias("text"))
+    found = [r.n for r in written(texts.mapInPandas(sizes, "n long"), "sizes").collect()]
+    assert sum(found) == 30_000_000 and max(found) < 6_000_000  # before: 30,000,000 in one
+    assert spark.conf.get(key) == before
+
+
+def test_counts_of_a_tile_are_held_once():
+    import tracemalloc
+
+    from frostline.llm.text import mixed
+
+    sets = [np.unique(np.random.default_rng(i).integers(0, 1 << 63, 40).astype(np.uint64)) for i in range(2000)]
+    tracemalloc.start()
+    try:
+        tree = jaccard_join.CountTree(sets, 1024, 32, 16)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 3 * tree.points.nbytes  # the counts and their copy in order; before: six times
+    for point, s in zip(tree.points, sets, strict=True):
+        assert (point == np.bincount((mixed(s) >> np.uint64(17)) % np.uint64(1024), minlength=1024)).all()
