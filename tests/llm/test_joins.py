@@ -381,6 +381,6 @@ def test_counts_of_a_tile_are_held_once():
         peak = tracemalloc.get_traced_memory()[1]
     finally:
         tracemalloc.stop()
-    assert peak < 3 * tree.points.nbytes  # the counts and their copy in order; before: six times
+    assert peak < 3 * tree.points.nbytes  # the counts and their copy in order; before: four times
     for point, s in zip(tree.points, sets, strict=True):
         assert (point == np.bincount((mixed(s) >> np.uint64(17)) % np.uint64(1024), minlength=1024)).all()
