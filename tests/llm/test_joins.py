@@ -127,6 +127,33 @@ def test_sets_under_one_key_are_connected(spark, partitions):
     assert got == {i: 0 for i in range(300)} | {902: 0, 900: 900, 901: 900}
 
 
+@pytest.mark.parametrize("run", [1 << 17, 8])
+def test_shared_passages_chain_no_strangers(spark, monkeypatch, run):
+    """Only sets whose first keys, rare ones first, meet are looked at; keys may come in pieces and with repeated rows."""
+    rng = random.Random(3)
+    text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    passage, settings = text(60), jaccard_join.Settings(words=5, percent=80)
+    rows = [f"{passage} {text(200 + i % 90)}" for i in range(60)]
+    rows += [f"{rows[7]} {text(9)}", rows[3]]
+    documents = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    # A task would hold more in a run than these tables have: what it yields is the same whatever it holds.
+    keys = {k: sorted(i for i, r in enumerate(rows[:-1]) if k in jaccard_join.group_keys(
+        jaccard_join.shingle_set(r, 5, jaccard_join.WordHashes()), settings).tolist())
+        for k in jaccard_join.group_keys(jaccard_join.shingle_set(rows[7], 5, jaccard_join.WordHashes()), settings).tolist()}
+    monkeypatch.setattr(jaccard_join, "RUN", run)
+    flat = pd.DataFrame([(k, i) for k in sorted(keys) for i in keys[k] for _ in range(2)], columns=["key", "fa"])
+    out = pd.concat(jaccard_join._shared(flat[i : i + 7] for i in range(0, len(flat), 7)))
+    sizes = out[out["fa"].isna()].groupby("key")["n"].sum()
+    got = {(k, i, int(sizes[k] if pd.isna(n) else n)) for k, i, n in out[out["fa"].notna()].itertuples(index=False)}
+    assert {x for x in got if x[2] > 1} == {(k, i, len(v)) for k, v in keys.items() if len(v) > 1 for i in v}
+    sets, keyed = jaccard_join._described(documents, settings)
+    clusters = jaccard_join._clusters(jaccard_join._telling(keyed, sets)).collect()
+    pair = {r.fa for r in sets.where("doc_id in (7, 60)").collect()}
+    assert len(pair) == 2 and {r.in_cluster for r in clusters} == pair and len({r.root for r in clusters}) == 1
+    got = {r.doc_id: r.component_id for r in jaccard_join.join(documents, settings).collect()}
+    assert got == {i: i for i in range(60)} | {60: 7, 61: 3}
+
+
 def test_tree_passes_over_no_link():
     rng = np.random.default_rng(7)
     base = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in rng.integers(20, 400, 150)]
