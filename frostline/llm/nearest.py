@@ -6,12 +6,18 @@ A vector at distance s from the query falls into a window of half-width h of one
 a nearer vector than its k-th best would have collided often enough with probability 1 - miss, so the recall follows
 from the parameters and not from a cap on candidates.
 
+Collisions are counted for 64 vectors at a time: each sorted array has marks at even steps, each mark the bits of the
+vectors before it. A window is the difference of two marks' bits (the window reaches out to them), and the windows'
+bits are added up by full adders over whole words. That is so cheap that many projections can be counted, which tell
+near from far vectors well enough that few are verified.
+
 Largest inner products become smallest distances by one more coordinate: vectors x are lengthened to a common norm.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,21 +30,23 @@ from frostline.sources.shared import written
 
 @dataclass(frozen=True)
 class Settings:
-    """k: neighbours. miss: chance at most that a true neighbour is passed over. ratio: growth of the windows.
+    """k: neighbours. miss: chance at most that a true neighbour is passed over. ratio: growth of the windows until they
+    hold k verified vectors. marks: steps of a sorted array.
 
-    block_rows, query_rows: vectors and queries that meet in one task; every query meets every block. batch: queries
-    whose windows are looked up together.
+    block_rows, query_rows: vectors and queries that meet in one task; every query meets every block. words: 64-bit words
+    of a projection's windows, for the queries that are counted together.
     """
 
     k: int = 20
-    projections: int = 40
-    collisions: int = 24
+    projections: int = 255
+    collisions: int = 192
     miss: float = 0.02
     first_width: float = 0.4
     ratio: float = 1.12
+    marks: int = 128
     block_rows: int = 16384
     query_rows: int = 2048
-    batch: int = 256
+    words: int = 8192
     seed: int = 17
 
 
@@ -54,74 +62,125 @@ def stop_width(settings: Settings) -> float:
     return high
 
 
+def _totals(windows: Iterator[np.ndarray]) -> list[np.ndarray]:
+    """Binary digits, the lowest first, of the number of windows that have each bit."""
+    digits: list[list[np.ndarray]] = [[]]
+
+    def put(place: int, bits: np.ndarray) -> None:
+        if place == len(digits):
+            digits.append([])
+        digits[place].append(bits)
+        if len(digits[place]) == 3:
+            a, b, c = digits[place]
+            either = a ^ b
+            digits[place] = [either ^ c]
+            put(place + 1, (a & b) | (either & c))
+
+    for bits in windows:
+        put(0, bits)
+    place = 0
+    while place < len(digits):
+        if len(digits[place]) == 2:
+            a, b = digits[place]
+            digits[place] = [a ^ b]
+            put(place + 1, a & b)
+        place += 1
+    return [of[0] for of in digits]
+
+
+def _at_least(digits: list[np.ndarray], least: int) -> np.ndarray:
+    """Bits whose number, given by its binary digits, is not less."""
+    more, same = np.zeros_like(digits[0]), ~np.zeros_like(digits[0])
+    if least >> len(digits):
+        return more
+    for place in range(len(digits) - 1, -1, -1):
+        if least >> place & 1:
+            same &= digits[place]
+        else:
+            more |= same & digits[place]
+            same &= ~digits[place]
+    return more | same
+
+
 class Index:
-    """Projections of a block of vectors, each sorted by value."""
+    """Projections of a block of vectors, each sorted by value and cut at marks. Lengths are in units of the longest."""
 
     def __init__(self, vectors: np.ndarray, settings: Settings):
-        self.vectors, self.settings = vectors, settings
+        self.vectors, self.settings, rows = vectors, settings, len(vectors)
         norms = np.einsum("ij,ij->i", vectors, vectors)
-        self.longest = float(norms.max())
-        self.scale = math.sqrt(self.longest) or 1.0
-        extra = np.sqrt(np.maximum(self.longest - norms, 0))
+        longest = float(norms.max())
+        self.scale = math.sqrt(longest) or 1.0
+        extra = np.sqrt(np.maximum(longest - norms, 0)) / self.scale
         self.lines = np.random.default_rng(settings.seed).standard_normal((vectors.shape[1] + 1, settings.projections))
-        values = vectors @ self.lines[:-1] + extra[:, None] * self.lines[-1]
-        self.order = np.ascontiguousarray(np.argsort(values, axis=0, kind="stable").T)
-        self.values = np.ascontiguousarray(np.take_along_axis(values, self.order.T, axis=0).T)
+        values = (vectors / self.scale) @ self.lines[:-1] + extra[:, None] * self.lines[-1]
+        values = np.ascontiguousarray(values.T.astype(np.float32))
+        places = np.arange(0, rows, -(-rows // settings.marks))
+        self.marks = np.full((settings.projections, len(places) + 1), np.inf, np.float32)
+        self.before = np.zeros((settings.projections, len(places) + 1, -(-rows // 64)), np.uint64)
+        for value, marks, before in zip(values, self.marks, self.before, strict=True):
+            marks[:-1] = np.sort(value)[places]
+            marks[0] = -np.inf
+            before.view(np.uint8)[:, : -(-rows // 8)] = np.packbits(value < marks[:, None], axis=1)
+        self.reach = 2 * float(np.abs(values).max()) + 1e-6
         self.stop = stop_width(settings)
 
     def search(self, queries: np.ndarray, own: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Places and inner products of each query's nearest; `own` places take no part."""
-        settings, (rows, _) = self.settings, self.vectors.shape
-        lengths = np.einsum("ij,ij->i", queries, queries)
+        settings = self.settings
+        lengths = np.sqrt(np.einsum("ij,ij->i", queries, queries))
         # Queries are scaled to the vectors' norm: their order of inner products stays.
-        factors = np.sqrt(self.longest / np.where(lengths > 0, lengths, 1.0))
-        centres = (queries @ self.lines[:-1]) * factors[:, None]
-        widths = [settings.first_width * self.scale]
-        reach = max(float(np.abs(self.values).max()), float(np.abs(centres).max(initial=0.0))) * 2 + 1e-9
-        while widths[-1] < reach:
-            widths.append(widths[-1] * settings.ratio)
-        results = []
-        for at in range(0, len(queries), settings.batch):
-            part = slice(at, at + settings.batch)
-            edges = self._windows(centres[part], widths)
-            results += [self._expand(*args, widths) for args in zip(queries[part], factors[part], own[part], edges, strict=True)]
+        lengths = np.where(lengths > 0, lengths, 1.0)
+        centres = (queries / lengths[:, None]) @ self.lines[:-1]
+        start, results, at = settings.first_width, [], 0
+        batch = max(1, settings.words // self.before.shape[2])
+        while at < len(queries):
+            # The first few find out where the others can begin; a query that begins too wide only verifies more.
+            part = slice(at, at + (batch if at else min(batch, 8)))
+            found, widths = self._expand(queries[part], lengths[part], centres[part], own[part], start)
+            start, at = float(np.median(widths)), part.stop
+            results += found
         return results
 
-    def _windows(self, centres: np.ndarray, widths: list[float]) -> np.ndarray:
-        """[query, width, side, projection]: where each window begins and ends in the sorted arrays."""
-        edges = np.empty((len(centres), len(widths), 2, len(self.values)), np.int32)
-        for j, values in enumerate(self.values):
-            for w, half in enumerate(widths):
-                edges[:, w, 0, j] = np.searchsorted(values, centres[:, j] - half, "left")
-                edges[:, w, 1, j] = np.searchsorted(values, centres[:, j] + half, "right")
-        return edges
-
-    def _expand(self, query, factor, mine, edges, widths) -> tuple[np.ndarray, np.ndarray]:
-        """Window after window, only what each adds is counted."""
-        settings, rows = self.settings, len(self.vectors)
-        counts, unseen = np.zeros(rows, np.int64), np.ones(rows, bool)
-        unseen[mine] = False
-        found, products = np.zeros(0, np.int64), np.zeros(0)
-        low = high = None
-        for half, (left, right) in zip(widths, edges, strict=True):
-            if low is None:
-                parts = [o[a:b] for o, a, b in zip(self.order, left.tolist(), right.tolist(), strict=True)]
-            else:
-                parts = [o[a:b] for o, a, b in zip(self.order, left.tolist(), low, strict=True)]
-                parts += [o[a:b] for o, a, b in zip(self.order, high, right.tolist(), strict=True)]
-            low, high = left.tolist(), right.tolist()
-            counts += np.bincount(np.concatenate(parts), minlength=rows)
-            fresh = np.flatnonzero(unseen & (counts >= settings.collisions))
-            if len(fresh):
-                unseen[fresh] = False
-                found = np.concatenate([found, fresh])
-                products = np.concatenate([products, self.vectors[fresh] @ query])
-            if len(found) >= settings.k:
-                kth = np.partition(products, len(products) - settings.k)[len(products) - settings.k]
-                distance = math.sqrt(max(2 * self.longest - 2 * factor * kth, 0.0))
-                if half >= self.stop * distance:
-                    break
-        return found, products
+    def _often(self, centres: np.ndarray, halves: np.ndarray) -> np.ndarray:
+        """[query, place]: whether the vector is in enough of the query's windows."""
+
+        def windows():
+            for marks, before, centre in zip(self.marks, self.before, centres.T, strict=True):
+                left = np.searchsorted(marks, centre - halves, "right") - 1
+                right = np.minimum(np.searchsorted(marks, centre + halves, "right"), len(marks) - 1)
+                yield before[right] ^ before[left]
+
+        often = _at_least(_totals(windows()), self.settings.collisions)
+        return np.unpackbits(often.view(np.uint8), axis=1)[:, : len(self.vectors)].view(bool)
+
+    def _expand(self, queries, lengths, centres, own, start) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+        """The windows grow till k vectors are verified, and then as far as the k-th of them asks for."""
+        settings, count = self.settings, len(queries)
+        seen = np.zeros((count, len(self.vectors)), bool)
+        for of, places in zip(seen, own, strict=True):
+            of[places] = True
+        found, products = [np.zeros(0, np.int64)] * count, [np.zeros(0)] * count
+        whole = self.reach + np.abs(centres).max(axis=1) * 2
+        halves, asked = np.full(count, start), np.arange(count)
+        while len(asked):
+            often = self._often(centres[asked], halves[asked])
+            after = []
+            for bits, i in zip(often, asked.tolist(), strict=True):
+                fresh = np.flatnonzero(bits & ~seen[i])
+                if len(fresh):
+                    seen[i, fresh] = True
+                    found[i] = np.concatenate([found[i], fresh])
+                    products[i] = np.concatenate([products[i], self.vectors[fresh] @ queries[i]])
+                more = wanted = halves[i] * settings.ratio
+                if len(found[i]) >= settings.k:
+                    last = len(products[i]) - settings.k
+                    cosine = np.partition(products[i], last)[last] / lengths[i] / self.scale
+                    wanted = self.stop * math.sqrt(max(2 - 2 * cosine, 0.0))
+                if halves[i] < wanted and halves[i] < whole[i]:
+                    halves[i] = min(wanted, more)  # nearer ones may be found on the way
+                    after.append(i)
+            asked = np.array(after, np.int64)
+        return list(zip(found, products, strict=True)), halves
 
 
 def _search(settings: Settings):

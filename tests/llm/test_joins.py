@@ -213,6 +213,33 @@ def test_messy_vectors(spark):
     assert nearest.search(table.where("false"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_few_vectors_are_verified():
+    """The collisions tell near from far: most of the vectors needn't be compared, and the nearest are found."""
+    rng = np.random.default_rng(11)
+    vectors = rng.standard_normal((6000, 64))
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    index, asked = nearest.Index(vectors, nearest.Settings()), np.arange(0, 6000, 100)
+    results = index.search(vectors[asked], [np.array([i]) for i in asked])
+    hits = 0
+    for i, (found, products) in zip(asked, results, strict=True):
+        assert i not in found and len(set(found.tolist())) == len(found)
+        assert np.allclose(products, vectors[found] @ vectors[i])
+        order = np.argsort(-(vectors @ vectors[i]))
+        hits += len(set(order[1:21].tolist()) & set(found.tolist()))
+    assert hits / (20 * len(asked)) >= 0.95
+    assert np.mean([len(found) for found, _ in results]) < 0.25 * len(vectors)
+
+
+def test_totals_of_windows():
+    rng = np.random.default_rng(1)
+    for count in (1, 2, 3, 7, 8, 40, 255):
+        bits = rng.random((count, 2, 192)) < 0.6
+        digits = nearest._totals(iter(np.packbits(b, axis=1).view(np.uint64) for b in bits))
+        for least in (1, 5, 24, 160, 300):
+            got = np.unpackbits(nearest._at_least(digits, least).view(np.uint8), axis=1).astype(bool)
+            assert (got == (bits.sum(axis=0) >= least)).all()
+
+
 def test_stop_width_keeps_the_promise():
     settings = nearest.Settings()
     width, rng = nearest.stop_width(settings), np.random.default_rng(0)
