@@ -147,25 +147,48 @@ def read_bodies(spark: SparkSession, folder: str) -> DataFrame:
     return files.select("path", F.col("length").alias("size"), F.md5("content").alias("md5"))
 
 
+def _reached(root: str) -> bool:
+    """Whether objects below a root can be streamed; some stores are open to Spark's readers only."""
+    try:
+        _store(root)
+    except (ImportError, NotImplementedError, OSError, ValueError):
+        return False
+    return True
+
+
 def file_digests(manifest: DataFrame, folder: str, whole_bytes: int = 256 * 1024 * 1024) -> DataFrame:
     """handle, key, md5, size, error: a row for each row of a manifest (handle, key) of objects below a folder.
 
-    Spark reads the listed files of up to whole_bytes; what it does not list (empty files, names that begin with _ or .)
-    and larger files are streamed. A file that cannot be read has its error.
+    Tasks open and stream the objects that the manifest names. The folder is not listed: the driver would hold the listing
+    whole, with a task for every few files. Only in stores that cannot be streamed Spark lists the files and reads those
+    of up to whole_bytes. A file that cannot be read has its error.
     """
+    if not _reached(folder):
+        return _listed_digests(manifest, folder, whole_bytes)
+    return _streamed_rows(written(manifest.select("handle", "key"), "digests"), folder)
+
+
+def _listed_digests(manifest: DataFrame, folder: str, whole_bytes: int) -> DataFrame:
+    """file_digests by Spark's reader; what it does not list (empty files, names that begin with _ or .) and larger files
+    are streamed."""
     place = re.escape("/" + re.sub("^[a-z0-9]+:", "", folder).strip("/") + "/")
     # The bound is pushed into the source, which does not read larger files.
     listed = read_bodies(manifest.sparkSession, folder).where(F.col("size") <= whole_bytes)
     listed = listed.select(F.split("path", place, 2)[1].alias("of_key"), "md5", "size")
     wanted = manifest.select("handle", "key")
-    found = written(wanted.join(listed, F.ltrim(F.lit("/"), F.col("key")) == F.col("of_key"), "left").drop("of_key"), "digests")
+    found = written(wanted.join(listed, F.ltrim(F.col("key"), F.lit("/")) == F.col("of_key"), "left").drop("of_key"), "digests")
     read = found.where(F.col("md5").isNotNull()).withColumn("error", F.lit(None).cast("string"))
     rest = found.where(F.col("md5").isNull()).select("handle", "key")
     if not rest.limit(1).count():
         return read
-    streamed = stream_digests(rest.select(F.col("key").alias("handle"), "key").distinct(), folder)
-    streamed = written(streamed.withColumnRenamed("handle", "of_key"), "streamed")  # each is read once
-    return read.unionByName(rest.join(streamed, F.col("key").eqNullSafe(F.col("of_key"))).drop("of_key"))
+    return read.unionByName(_streamed_rows(rest, folder))
+
+
+def _streamed_rows(rows: DataFrame, folder: str) -> DataFrame:
+    """Rows (handle, key) with md5, size and error of their objects, each streamed once however many rows name it."""
+    streamed = stream_digests(rows.select(F.col("key").alias("handle"), "key").distinct(), folder)
+    streamed = written(streamed.withColumnRenamed("handle", "of_key"), "streamed")
+    return rows.join(streamed, F.col("key").eqNullSafe(F.col("of_key"))).drop("of_key")
 
 
 def body_digests(objects: DataFrame, body: str = "body") -> DataFrame:
@@ -195,7 +218,10 @@ def stream_digests(files: DataFrame, root: str, partitions: int | None = None) -
 
 
 def write_objects(bodies: DataFrame, root: str, partitions: int | None = None) -> DataFrame:
-    """Write text bodies (handle, key, body) as objects; returns handle, key and size."""
+    """Write text bodies (handle, key, body) as objects; returns handle, key and size.
+
+    With 0 partitions the tasks that the bodies come in write them, and no shuffle holds them a second time.
+    """
 
     def write(batches):
         filesystem, base = _store(root)
@@ -207,9 +233,8 @@ def write_objects(bodies: DataFrame, root: str, partitions: int | None = None) -
                 sizes.append(len(data))
             yield pd.DataFrame({"handle": batch["handle"], "key": batch["key"], "size": sizes})
 
-    return _spread(bodies.select("handle", "key", "body"), partitions).mapInPandas(
-        write, "handle string, key string, size bigint"
-    )
+    rows = bodies.select("handle", "key", "body")
+    return (rows if partitions == 0 else _spread(rows, partitions)).mapInPandas(write, "handle string, key string, size bigint")
 
 
 def object_metadata(

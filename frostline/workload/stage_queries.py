@@ -523,7 +523,10 @@ def _(t):
 def _staged(t):
     """All bodies written as objects; handle, key and size of each, and the folder."""
     root = scratch_dir(t.spark, "objects")
-    staged = written(objects.write_objects(t.source_objects, f"{root}/source"), "staged")
+    bodies = t.source_objects
+    # A scan with a part for each core is spread already.
+    partitions = 0 if bodies.rdd.getNumPartitions() >= t.spark.sparkContext.defaultParallelism else None
+    staged = written(objects.write_objects(bodies, f"{root}/source", partitions), "staged")
     return staged, root
 
 

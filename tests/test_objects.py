@@ -62,6 +62,41 @@ def test_file_digests_give_every_object(spark, tmp_path):
     assert got["6"].md5 is None and "gone" in got["6"].error and got["1"].error is None
 
 
+def files_listed(spark, run):
+    """Rows of a run, and how many files the driver listed for it."""
+    counter = spark._jvm.org.apache.spark.metrics.source.HiveCatalogMetrics.METRIC_FILES_DISCOVERED()
+    before = counter.getCount()
+    return run().collect(), counter.getCount() - before
+
+
+def numbered_objects(spark, n):
+    """n objects, the last named twice."""
+    rows = [(str(i), f"d{i % 3}/o{i}", "x" * i) for i in range(n)]
+    return spark.createDataFrame([*rows, (f"{n}", *rows[-1][1:])], "handle string, key string, body string")
+
+
+def test_query_of_files_lists_no_objects(spark, tmp_path, monkeypatch):
+    """A listing of the objects would be held by the driver, whole."""
+    from frostline.workload import fixtures, registered, stage_queries  # noqa: F401
+
+    n = 200
+    monkeypatch.setattr(fixtures, "table", lambda *_: numbered_objects(spark, n))
+    rows, listed = files_listed(spark, lambda: registered.QUERIES["object_checksums_files"](spark, str(tmp_path)))
+    want = [(f"d{i % 3}/o{i}", hashlib.md5(b"x" * i).hexdigest(), i) for i in [*range(n), n - 1]]
+    assert sorted(tuple(r) for r in rows) == sorted(want)
+    assert listed < n // 2
+
+
+def test_digests_where_only_spark_reads(spark, tmp_path):
+    """A store that cannot be streamed is read by Spark."""
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.odd.link./in", f"file://{tmp_path}")
+    table = numbered_objects(spark, 5).where("body <> ''")
+    manifest = objects.write_objects(table, f"{tmp_path}/o").select("handle", "key").localCheckpoint()
+    manifest = manifest.withColumn("key", F.when(F.col("handle") == "1", F.concat(F.lit("/"), "key")).otherwise(F.col("key")))
+    got = {(r.handle, r.md5, r["size"], r.error) for r in objects.file_digests(manifest, "viewfs://odd/in/o").collect()}
+    assert got == {(str(i), hashlib.md5(b"x" * min(i, 4)).hexdigest(), min(i, 4), None) for i in range(1, 6)}
+
+
 def test_query_of_files_gives_empty_objects(spark, tmp_path, monkeypatch):
     from frostline.workload import fixtures, registered, stage_queries  # noqa: F401
 
