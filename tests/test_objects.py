@@ -87,6 +87,17 @@ def test_query_of_files_lists_no_objects(spark, tmp_path, monkeypatch):
     assert listed < n // 2
 
 
+def test_streamed_query_lists_no_objects(spark, tmp_path, monkeypatch):
+    from frostline.workload import fixtures, registered, stage_queries  # noqa: F401
+
+    n = 200
+    monkeypatch.setattr(fixtures, "table", lambda *_: numbered_objects(spark, n))
+    rows, listed = files_listed(spark, lambda: registered.QUERIES["object_checksums_streamed"](spark, str(tmp_path)))
+    want = [(str(i), hashlib.md5(b"x" * min(i, n - 1)).hexdigest(), min(i, n - 1), None) for i in range(n + 1)]
+    assert sorted(tuple(r) for r in rows) == sorted(want)
+    assert listed < n // 2
+
+
 def test_digests_where_only_spark_reads(spark, tmp_path):
     """A store that cannot be streamed is read by Spark."""
     spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.odd.link./in", f"file://{tmp_path}")
